@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import jaccard_join
+from quarry.llm import decontaminate, jaccard_join, suffix_tree, warc
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -26,3 +26,34 @@ def op7_jaccard_join(spark, sf_dir):
     """Near-duplicate classes of all documents: 5-word shingles, Jaccard similarity of 0.75 or more."""
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark, sf_dir):
+    """Every document and benchmark item that it holds within an edit for five of the item's words."""
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op4_suffix_tree")
+def op4_suffix_tree(spark, sf_dir):
+    """log10 probabilities of all documents by the unigram base and by the suffix tree."""
+    found = suffix_tree.scored(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("flag").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op8_warc",
+    """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d having count(*) > 1)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+  case when f.first is not null and f.first is distinct from p.page_id then 'revisit' else 'response' end as record_type,
+  case when f.first is distinct from p.page_id then f.first end as refers_to
+from p left join f on p.d = f.d and p.n >= 100
+""",
+)
+def op8_warc(spark, sf_dir):
+    """All pages written as dictionary-compressed WARC archives and read back."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

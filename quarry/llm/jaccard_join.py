@@ -12,10 +12,11 @@ Jaccard similarity is at least t, which means that their symmetric difference ha
   ranked by what they hold (most shingles first). Two texts that agree on K - d blocks share one
   within the first d + 1 of each (prefix principle), so only those become keys: no link is lost.
 * Keys travel as packed arrays, dealt to buckets by hash; each bucket sorts its keys. A key of few
-  texts gives its pairs; a key of many gives the links to its least text (a star), and its members.
-* Candidate pairs are verified on whole texts. Components follow; members of large keys that are
-  still in different components are compared in square blocks of bounded size by the Hamming
-  distance of whole-text parity sketches, a lower bound on the difference, then verified.
+  texts gives its pairs; a key of many gives the links to its least text (a star).
+* Candidate pairs are verified on whole texts, after the Hamming distance of whole-text parity
+  sketches, a lower bound on the difference. Components follow. Texts around the same star that are
+  still in different components are compared with one another, in square blocks of bounded size, by
+  their sketches, then verified; all keys of a star together, so a pair comes up once for a star.
 * Equal sets are joined by hash before all that, so copies are never compared with one another.
 """
 
@@ -121,20 +122,32 @@ def _set_marks(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, mark
 
 
+def _sketch(value: np.ndarray) -> bytes:
+    """A parity sketch of a set: a power of two of bits, at least as many as members, so that a
+    longer sketch folds to a shorter one."""
+    bits = 64 << max(0, int(len(value) - 1).bit_length() - 6)
+    odd = np.bincount((value % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, n_shingles, mark): size and hash of each row's set; null and wordless texts have 0."""
+    """(id, n_shingles, mark, sketch): size, hash and parity sketch of each row's set; null and
+    wordless texts have size and mark 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in slices(batch.column(1)):
-                size, mark = _set_marks(*shingles(words(buf, offs, SPACED), k), hi - lo)
+                text, value = shingles(words(buf, offs, SPACED), k)
+                size, mark = _set_marks(text, value, hi - lo)
+                cuts = np.searchsorted(text, np.arange(hi - lo + 1))
+                made = [_sketch(value[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(mark.view(np.int64))],
-                    names=["id", "n_shingles", "mark"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(mark.view(np.int64)), pa.array(made, pa.binary())],
+                    names=["id", "n_shingles", "mark", "sketch"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, mark long")
+    return rows.mapInArrow(run, "id long, n_shingles long, mark long, sketch binary")
 
 
 def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, buckets: int) -> DataFrame:
@@ -186,7 +199,7 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
 
 
 def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's keys, the pairs and the members of large keys, as (large, a, b)."""
+    """Of a bucket's keys, the pairs, and of large keys the least text and each member, as (large, a, b)."""
     ids, keys = [], []
     for batch in group:
         ids += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("ids")]
@@ -250,29 +263,37 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return joined.mapInArrow(run, "a long, b long, shared long, union_size long")
 
 
-def _sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(id, n, sketch): a parity sketch of at least 4 bits for each member of the set, a power of two
-    of bits, so that a longer sketch folds to a shorter one."""
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The Hamming distance of two sketches, the longer one folded."""
+    bits = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, bits), axis=0) if len(z) > bits else z for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches don't rule a link out."""
+    levels = Levels(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in slices(batch.column(1)):
-                text, value = shingles(words(buf, offs, SPACED), k)
-                cuts = np.searchsorted(text, np.arange(hi - lo + 1))
-                made = []
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    bits = 256 << max(0, int(4 * (y - x) - 1).bit_length() - 8)
-                    odd = np.bincount((value[x:y] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-                    made.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts), pa.int64()), pa.array(made, pa.binary())], names=["id", "n", "sketch"])
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            good = np.minimum(n, m) * den >= np.maximum(n, m) * num
+            most = levels.differ(n, m)
+            for i in np.flatnonzero(good):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
+                good[i] = _apart(x, y) <= most[i]
+            yield batch.select([0, 1]).filter(pa.array(good))
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, sketch binary")
+    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: int = 512) -> DataFrame:
-    """Pairs of a large key's members that are in different components and whose sketches don't rule
-    a link out. members: (run, id, component). A key's members are cut into parts of about `side`
-    and each two parts meet in a group of their own, so no task holds a whole key."""
+    """Pairs around a star that are in different components and whose sketches don't rule a link out.
+    members: (run, id, component), run being the star. Its members are cut into parts of about `side`
+    and each two parts meet in a group of their own, so no task holds them all."""
     levels = Levels(num, den)
     spread = members.groupBy("run").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
     spread = spread.where("x <> y").select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
@@ -318,8 +339,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     num, den = threshold
     levels = Levels(num, den)
     sets = checkpointed(shingle_sets(docs, id_col, text_col, k))
-    classes = sets.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "mark").agg(F.min("id").alias("rep"))
-    rows = checkpointed(sets.join(classes, ["n_shingles", "mark"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")))
+    marks = sets.drop("sketch")
+    classes = marks.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "mark").agg(F.min("id").alias("rep"))
+    rows = checkpointed(marks.join(classes, ["n_shingles", "mark"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")))
     total = rows.where("id = rep").agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, min(1 << 20, int(total * 0.8 / BUCKET) + 1))
     dealt = _deal(docs, id_col, text_col, k, levels, buckets)
@@ -335,7 +357,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         .where("a <> b").distinct()
     )
-    pairs = checkpointed(pairs)
+    sketches = sets.join(rows.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"])
+    pairs = checkpointed(_close(pairs, sketches, num, den))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = checkpointed(verified(pairs, _only(texts, needed), k, num, den))
@@ -350,8 +373,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = checkpointed(members.join(split.select("run"), "run", "left_semi"))
     if members.isEmpty():
         return rows, links
-    held = _only(texts, members.select("id").distinct())
-    more = checkpointed(_across(members, _sketches(held, k), num, den))
+    more = checkpointed(_across(members, sketches, num, den))
     needed = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return rows, checkpointed(links.union(verified(more, _only(texts, needed), k, num, den)).distinct())
 

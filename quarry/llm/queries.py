@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, jaccard_join, suffix_tree, warc
+from quarry.llm import chat, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, site_quality, suffix_tree, warc
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -57,3 +57,107 @@ def op8_warc(spark, sf_dir):
     """All pages written as dictionary-compressed WARC archives and read back."""
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def quality_labels(spark, sf_dir):
+    """(id, good): the labelled quality of documents, one row for each id."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("good"))
+
+
+@query("op1_pfair_mix")
+def op1_pfair_mix(spark, sf_dir):
+    """All documents mixed by source; a source's target is the square root of its number of rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return pfair.mixed(docs)
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    """Every candidate secret of all documents with the forest's vote; values as digests."""
+    trees = secrets.train(secrets.labelled_findings(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.with_findings(docs, trees).select("doc_id", F.explode("findings").alias("f"))
+    return found.select(
+        "doc_id", F.col("f.start").alias("start"), F.length("f.value").alias("length"), F.col("f.times").alias("times"),
+        F.sha2("f.value", 256).alias("digest"), F.col("f.assigned").alias("assigned"), F.col("f.score").alias("score"), F.col("f.is_secret").alias("is_secret"),
+    )
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query(
+    "op3_url_reputation",
+    """
+with u as (
+  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+l as (select doc_id, min(quality) as q from labels group by doc_id),
+o as (select u.*, 1 - l.q as bad,
+    case when regexp_matches(host, '(^|[.])(co[.]uk|org[.]uk|ac[.]uk|gov[.]uk|com[.]au|net[.]au|org[.]au|co[.]jp|co[.]nz|co[.]za|co[.]in|com[.]br|com[.]mx|com[.]cn|com[.]tr)$') then 2 else 1 end as k,
+    string_split(host, '.') as parts
+  from u left join l on l.doc_id = try_cast(regexp_extract(u.path, '^/[a-z]{2}/([0-9]+)', 1) as bigint)),
+h as (select host, array_to_string(parts[greatest(1, len(parts) - k):], '.') as domain, array_to_string(parts[greatest(1, len(parts) - k + 1):], '.') as suffix,
+    count(bad)::double as n, coalesce(sum(bad), 0)::double as b from o group by all),
+d as (select domain, suffix, sum(n) as n, sum(b) as b from h group by all),
+s as (select suffix, sum(n) as n, sum(b) as b from d group by all),
+m as (
+  select lev, r as rate, greatest(1.0, least(1000.0, case when sp > 0 then r * (1 - r) / sp - 1 else 1000.0 end)) as st from (
+    select lev, r, coalesce(sq / nullif(n, 0) - r * r - r * (1 - r) * kk / nullif(n, 0), 0) as sp from (
+      select lev, sum(n) as n, case when sum(n) > 0 then sum(b) / sum(n) else 0.5 end as r, sum((n > 0)::int) as kk, sum(case when n > 0 then b * b / n end) as sq
+      from (select 'h' as lev, n, b from h union all select 'd', n, b from d union all select 's', n, b from s) group by lev))),
+sp as (select suffix, (b + st * rate) / (n + st) as p from s, m where lev = 's'),
+dp as (select d.domain, d.suffix, (b + st * sp.p) / (n + st) as p from d join sp using (suffix), m where lev = 'd'),
+hp as (select h.host, h.n + st as size, (b + st * dp.p) / (n + st) as p from h join dp using (domain, suffix), m where lev = 'h'),
+r as (select * from (values ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'), ('block', 'example.org', '/en/1', 'example.org/en/1'),
+  ('allow', 'com', '/fr/', 'com/fr/'), ('block', 'com', '/de/', 'com/de/')) as t(action, rh, rp, rule))
+select o.page_id, o.host, o.path, f.rule, coalesce(f.action, case when hp.p - 1.645 * sqrt(hp.p * (1 - hp.p) / (hp.size + 1)) > 0.25 then 'block' else 'allow' end) as verdict,
+  round(hp.p, 6) as posterior, round(hp.p - 1.645 * sqrt(hp.p * (1 - hp.p) / (hp.size + 1)), 6) as bound
+from o join hp on hp.host = o.host
+left join lateral (select action, rule from r where (o.host = rh or ends_with(o.host, '.' || rh)) and starts_with(o.path, rp) order by length(rule) desc limit 1) f on true
+""",
+)
+def op3_url_reputation(spark, sf_dir):
+    """A verdict for every page's url; a page's outcome is the label of the document in its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    numbered = pages.select(
+        F.col("page_id").alias("id"), F.regexp_extract(reputation.path_of(F.col("url")), "^/[a-z]{2}/([0-9]+)", 1).try_cast("long").alias("doc_id")
+    )
+    labels = quality_labels(spark, sf_dir).select(F.col("id").alias("doc_id"), (1 - F.col("good")).alias("bad"))
+    outcomes = numbered.join(labels, "doc_id").groupBy("id").agg(F.max("bad").alias("bad"))
+    found = reputation.judged(pages, outcomes, URL_RULES)
+    return found.withColumnRenamed("id", "page_id").withColumns({c: F.round(c, 6) for c in ("posterior", "bound")})
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    """Base counts and the divergence verdict of all documents."""
+    found = divergence.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance",
+    )
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    """The posterior quality of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = site_quality.with_quality(docs, quality_labels(spark, sf_dir))
+    return found.select("doc_id", "evidence", "site_odds", "quality", (F.col("quality") >= site_quality.LEAST_GOOD).alias("kept"))
+
+
+@query(
+    "op10_tool_calls",
+    """
+select conv_id, turn, role, turn as "at", 0 as depth, cast(0 as bigint) as n_calls, cast(0 as bigint) as n_answered, cast(0 as bigint) as n_invalid,
+  cast(0 as bigint) as n_needs_unmet, cast(null as bigint) as answered_by,
+  to_json(struct_pack(content := coalesce(text, ''), conv_id := conv_id, role := role, tool_calls := []::int[], turn := turn))::varchar as line
+from conversations
+""",
+)
+def op10_tool_calls(spark, sf_dir):
+    """All messages as canonical lines with their calls linked (the generated table has no calls)."""
+    schemas = {"search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}}}}
+    return chat.linked(table(spark, sf_dir, "conversations"), schemas)

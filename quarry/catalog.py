@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import events
+from quarry.plans import events, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (events,):
+for _module in (events, text):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

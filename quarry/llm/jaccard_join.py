@@ -221,14 +221,14 @@ def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = np.unique(own[lo:hi])
         a.append(np.full(len(members) - 1, members[0]))
         b.append(members[1:])
-        big.append((np.full(len(members), int(key[lo].view(np.int64))), members))
+        big.append((np.full(len(members), members[0]), members))
     if a:
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["large", "a", "b"])
     if big:
-        run, member = (np.concatenate(x) for x in zip(*big, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(run), bool)), pa.array(run), pa.array(member)], names=["large", "a", "b"])
+        around = np.unique(np.stack([np.concatenate(x) for x in zip(*big, strict=True)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(around), bool)), pa.array(around[:, 0]), pa.array(around[:, 1])], names=["large", "a", "b"])
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:

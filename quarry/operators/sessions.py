@@ -33,3 +33,139 @@ def task_spans(
     return spans.where(F.col("n_actions") >= min_actions).select(
         session, number.alias("span_index"), F.coalesce("_opened", "_first").alias("title"), "n_actions", "start_ts", "end_ts"
     )
+
+
+def runs(rows: DataFrame, key: str, order: list[str], value: str, unknown: str | None = None) -> DataFrame:
+    """Adds run, the number (from 0) of each maximal run of equal values in a key's order. Values equal
+    to `unknown` take the last known one first (a leading unknown stays)."""
+    by = Window.partitionBy(key).orderBy(*order)
+    if unknown is not None:
+        known = F.when(F.col(value) != unknown, F.col(value))
+        rows = rows.withColumn(value, F.coalesce(F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(unknown)))
+    changed = ~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1)
+    return rows.withColumn("_c", changed.cast("int")).withColumn("run", (F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("_c")
+
+
+def turns(rows: DataFrame, key: str, order: list[str], speaker: str, text: str, unknown: str | None = None) -> DataFrame:
+    """(key, run, speaker, text, n): consecutive rows of one speaker joined, in order, by a space."""
+    grouped = runs(rows, key, order, speaker, unknown).groupBy(key, "run").agg(
+        F.first(speaker).alias(speaker), F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct(*order, text))).alias("_rows"),
+    )
+    joined = F.array_join(F.transform("_rows", lambda x: x[text]), " ")
+    return grouped.select(key, "run", speaker, joined.alias(text), "n")
+
+
+def collapse_inputs(rows: DataFrame, key: str, order: list[str], kind: str, target: str, value: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Consecutive rows of input kinds on one target become one row that has the last value; other rows
+    stay. Adds n, how many rows were put together."""
+    by = Window.partitionBy(key).orderBy(*order)
+    is_input = F.col(kind).isin(*kinds)
+    same = is_input & F.lag(is_input).over(by) & F.col(target).eqNullSafe(F.lag(target).over(by))
+    marked = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    marked = marked.withColumn("step", (F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    at = F.struct(*order)
+    return marked.groupBy(key, "step").agg(
+        F.max_by(kind, at).alias(kind), F.max_by(target, at).alias(target), F.max_by(value, at).alias(value), F.count("*").alias("n")
+    )
+
+
+def without_adjacent_copies(rows: DataFrame, key: str, order: list[str], mark: str) -> DataFrame:
+    """Rows whose mark differs from that of the row before them; the first row of a key stays."""
+    by = Window.partitionBy(key).orderBy(*order)
+    before = F.lag(mark).over(by)
+    first = F.row_number().over(by) == 1
+    return rows.withColumn("_keep", first | ~F.col(mark).eqNullSafe(before)).where("_keep").drop("_keep")
+
+
+def every_kth(rows: DataFrame, key: str, order: list[str], k: int, most: int | None = None) -> DataFrame:
+    """Rows 0, k, 2k, ... of a key's order, at most so many."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    kept = rows.withColumn("_at", at).where(F.col("_at") % k == 0)
+    kept = kept.where(F.col("_at") < k * most) if most is not None else kept
+    return kept.drop("_at")
+
+
+def action_ngrams(spans: DataFrame, span: list[str], order: str, kind: str, n: int = 3, least: int = 2, min_confidence: float = 0.1) -> DataFrame:
+    """(gram, frequency, confidence): runs of n kinds within spans, counted as often as they occur, of
+    those that occur at least so often; confidence is frequency by number of spans, at most 1."""
+    listed = spans.groupBy(*span).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda x: x[kind]).alias("_k"))
+    total = F.broadcast(listed.agg(F.count("*").alias("_spans")))
+    grams = listed.where(F.size("_k") >= n).select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.size("_k") - n + 1), lambda i: F.array_join(F.slice("_k", i, n), " → "))).alias("gram")
+    )
+    counted = grams.groupBy("gram").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
+    scored = counted.crossJoin(total).withColumn("confidence", F.least(F.lit(1.0), F.col("frequency") / F.col("_spans")))
+    return scored.where(F.col("confidence") >= min_confidence).select("gram", "frequency", "confidence")
+
+
+def windowed_counts(rows: DataFrame, key: str, ts: str, seconds: float, threshold: int) -> DataFrame:
+    """Adds n_recent, the rows of the key within the last so many seconds (both ends in), and alert."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    by = Window.partitionBy(key).orderBy(micros).rangeBetween(-int(seconds * 1e6), 0)
+    return rows.withColumn("n_recent", F.count("*").over(by)).withColumn("alert", F.col("n_recent") >= threshold)
+
+
+def spaced(rows: DataFrame, key: str, order: str, ts: str, seconds: float, strict: bool = False) -> DataFrame:
+    """Rows accepted when the last accepted one of their key is at least so many seconds back (a cooldown,
+    a dedup window or a delivery limit). Acceptance hangs on what was accepted before, so a key's
+    times are folded in order within its group; a key's rows are what one task holds."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(order).alias("o")))).alias("_r"))
+    gap = int(seconds * 1e6)
+    far = (lambda t, last: t - last > gap) if strict else (lambda t, last: t - last >= gap)
+    kept = F.aggregate(
+        "_r",
+        F.struct(F.lit(None).cast("long").alias("last"), F.slice(F.transform("_r", lambda x: x["o"]), 1, 0).alias("kept")),
+        lambda acc, x: F.when(acc["last"].isNull() | far(x["t"], acc["last"]), F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["o"])).alias("kept"))).otherwise(acc),
+        lambda acc: acc["kept"],
+    )
+    accepted = listed.select(key, F.explode(kept).alias(order))
+    return rows.join(accepted, [key, order], "left_semi")
+
+
+def transitions(rows: DataFrame, key: str, order: list[str], status: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(key, before, after, legal) for each change of status in order; the first status has no before."""
+    by = Window.partitionBy(key).orderBy(*order)
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, x in allowed.items() for b in x]
+    moved = rows.withColumn("before", F.lag(status).over(by)).withColumn("after", F.col(status))
+    legal = F.col("before").isNull() | F.array_contains(F.array(*pairs), F.struct(F.col("before").alias("a"), F.col("after").alias("b")))
+    return moved.select(key, *order, "before", "after", legal.alias("legal"))
+
+
+def latest(rows: DataFrame, key: list[str], order: list[str], nth: int = 1) -> DataFrame:
+    """The nth row from the last of each key: upserts (1), rollbacks (2)."""
+    by = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    return rows.withColumn("_r", F.row_number().over(by)).where(F.col("_r") == nth).drop("_r")
+
+
+def cron_due(start: str, end: str, minutes: tuple[int, ...], hours: tuple[int, ...], spark) -> DataFrame:
+    """The minutes between two times at which a schedule of minutes and hours is due."""
+    span = spark.range(1).select(F.explode(F.sequence(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end)), F.expr("interval 1 minute"))).alias("due"))
+    return span.where(F.minute("due").isin(*minutes) & F.hour("due").isin(*hours))
+
+
+def backoff(attempts: DataFrame, attempt: str, base: float, factor: float, most: float) -> DataFrame:
+    """Adds delay, the wait after the nth attempt: base times factor to the power n - 1, at most so long."""
+    return attempts.withColumn("delay", F.least(F.lit(float(most)), base * F.pow(F.lit(float(factor)), F.col(attempt) - 1)))
+
+
+def fixed_windows(rows: DataFrame, key: str, start: str, end: str, text: str, seconds: float) -> DataFrame:
+    """(key, segment, start, end, text, n): words put together in windows that begin with the first word
+    not in the window before and are so many seconds long; data-dependent, so folded over a key's words."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(start, end, text))).alias("_w"))
+    empty = F.slice(F.transform("_w", lambda x: F.struct(F.lit(0).alias("seg"), x[start].alias("s"), x[end].alias("e"), x[text].alias("x"))), 1, 0)
+    folded = F.aggregate(
+        "_w",
+        F.struct(F.lit(-1).alias("seg"), F.lit(None).cast("double").alias("from"), empty.alias("out")),
+        lambda acc, w: F.when(
+            acc["from"].isNull() | (w[start] - acc["from"] >= seconds),
+            F.struct((acc["seg"] + 1).alias("seg"), w[start].cast("double").alias("from"), F.concat(acc["out"], F.array(F.struct((acc["seg"] + 1).alias("seg"), w[start].alias("s"), w[end].alias("e"), w[text].alias("x")))).alias("out")),
+        ).otherwise(F.struct(acc["seg"].alias("seg"), acc["from"].alias("from"), F.concat(acc["out"], F.array(F.struct(acc["seg"].alias("seg"), w[start].alias("s"), w[end].alias("e"), w[text].alias("x")))).alias("out"))),
+        lambda acc: acc["out"],
+    )
+    placed = listed.select(key, F.posexplode(folded).alias("pos", "w")).select(key, "pos", "w.*")
+    return placed.groupBy(key, F.col("seg").alias("segment")).agg(
+        F.min("s").alias("start"), F.max("e").alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]), " ").alias("text"), F.count("*").alias("n"),
+    )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import events, text
+from quarry.plans import events, similarity, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (events, text):
+for _module in (events, text, similarity):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

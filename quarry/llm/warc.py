@@ -97,14 +97,18 @@ def train(records: list[bytes]) -> bytes:
         return b""
 
 
-def sample(rows: DataFrame) -> list[bytes]:
-    """At most SAMPLE_ROWS records and SAMPLE_BYTES bytes, the same for the same rows."""
-    share = SAMPLE_BYTES // SAMPLE_ROWS
-    order = F.xxhash64("page_id", "digest")
-    chosen = rows.where("refers_to is null").select(
-        "page_id", "url", F.substring("payload", 1, share).alias("payload"), "digest", "payload_bytes"
-    ).orderBy(order, "page_id", "digest").limit(SAMPLE_ROWS)
-    return [record(r.page_id, r.url, bytes(r.payload), r.digest, r.payload_bytes, None) for r in chosen.collect()]
+def sample(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[bytes]:
+    """At most SAMPLE_ROWS records and SAMPLE_BYTES bytes, the same for the same rows. A share of the
+    rows, by hash, is looked at, so that few are sent however many there are."""
+    width = SAMPLE_BYTES // SAMPLE_ROWS
+    n, mark = pages.count(), F.xxhash64(id_col)
+    share = min(1.0, 1.5 * SAMPLE_ROWS / max(1, n))
+    near = pages.where(F.pmod(mark, F.lit(1_000_003)) <= int(share * 1_000_003))
+    body = F.substring(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), 1, width)
+    rows = near.select(mark.alias("_m"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
+    chosen = rows.orderBy("_m", "page_id", "payload").limit(SAMPLE_ROWS).collect()
+    made = [(r.page_id, r.url, bytes(r.payload)) for r in chosen]
+    return [record(i, url, x, hashlib.sha256(x).hexdigest(), len(x), None) for i, url, x in made]
 
 
 def _dictionary_frame(dictionary: bytes) -> bytes:
@@ -217,7 +221,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = with_revisits(pages)
-    write_archives(rows, folder, train(sample(rows)))
+    write_archives(rows, folder, train(sample(pages)))
     return read_archives(spark, folder)
 
 

@@ -290,7 +290,7 @@ def _close(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: int = 512) -> DataFrame:
+def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: int = 8192) -> DataFrame:
     """Pairs around a star that are in different components and whose sketches don't rule a link out.
     members: (run, id, component), run being the star. Its members are cut into parts of about `side`
     and each two parts meet in a group of their own, so no task holds them all."""
@@ -298,31 +298,41 @@ def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: i
     spread = members.groupBy("run").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
     spread = spread.where("x <> y").select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
     own = members.join(spread, "run").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component"
+    marked = own.join(sketches, "id")
+    dealt = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "n", "sketch"
     )
 
     def compare(table: pa.Table) -> pa.Table:
         part, ids, comp, n = (table[c].to_numpy() for c in ("part", "id", "component", "n"))
         marks = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found: list[tuple[int, int]] = []
-        for x in left:
-            ok = right[(comp[right] != comp[x]) & (ids[right] > ids[x])] if i == j else right[comp[right] != comp[x]]
-            ok = ok[np.minimum(n[ok], n[x]) * den >= np.maximum(n[ok], n[x]) * num]
-            for size in np.unique([len(marks[y]) for y in ok]):
-                some = np.array([y for y in ok if len(marks[y]) == size])
-                bits = min(size, len(marks[x]))
-                fold = np.bitwise_xor.reduce(np.stack([marks[y] for y in some]).reshape(len(some), -1, bits), axis=1)
+        size = np.array([len(x) for x in marks])
+        right = np.flatnonzero(part == j)
+        # texts of one sketch length by rising size of set: what can link is a run of them
+        kinds = {s: (own := right[size[right] == s])[np.argsort(n[own], kind="stable")] for s in np.unique(size[right])}
+        folded = {}
+        for s, own in kinds.items():
+            held = np.stack([marks[y] for y in own])
+            for bits in {min(s, t) for t in np.unique(size)}:
+                folded[s, bits] = np.bitwise_xor.reduce(held.reshape(len(own), -1, bits), axis=1)
+        found = []
+        for x in np.flatnonzero(part == i):
+            for s, own in kinds.items():
+                lo, hi = np.searchsorted(n[own], [-(-n[x] * num // den), n[x] * den // num + 1])
+                if lo == hi:
+                    continue
+                some, bits = own[lo:hi], min(s, size[x])
                 mine = np.bitwise_xor.reduce(marks[x].reshape(-1, bits), axis=0)
-                apart = np.bitwise_count(fold ^ mine).sum(axis=1)
-                found += [(int(ids[x]), int(ids[y])) for y in some[apart <= levels.differ(n[x], n[some])]]
+                apart = np.bitwise_count(folded[s, bits][lo:hi] ^ mine).sum(axis=1)
+                ok = (apart <= levels.differ(n[x], n[some])) & (comp[some] != comp[x])
+                if i == j:
+                    ok &= ids[some] > ids[x]
+                found += [(ids[x], y) for y in ids[some[ok]]]
         pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)} if len(pairs) else {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return pa.table({"a": pairs.min(axis=1, initial=1 << 62), "b": pairs.max(axis=1, initial=-(1 << 62))})
 
-    with_marks = dealt.join(sketches, "id").select("run", "i", "j", "part", "id", "component", "n", "sketch")
-    return with_marks.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import events, similarity, text, web
+from quarry.plans import events, graph, similarity, text, web
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (events, text, similarity, web):
+for _module in (events, text, similarity, web, graph):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -26,6 +26,8 @@ from quarry.session import shared_dir
 DICTIONARY_MAGIC, GAP, FRAME_MAGIC = 0x184D2A5D, b"P*M\x18\x00\x00\x00\x00", 0xFD2FB528
 #: Bounds of the training sample and of the dictionary.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 4_000_000, 65_536
+#: Payload bytes of an archive, about.
+ARCHIVE_BYTES = 256_000_000
 #: Payloads shorter than this are always written in full.
 LEAST_SHARED = 100
 _DATE = "2024-01-01T00:00:00Z"
@@ -97,11 +99,10 @@ def train(records: list[bytes]) -> bytes:
         return b""
 
 
-def sample(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[bytes]:
-    """At most SAMPLE_ROWS records and SAMPLE_BYTES bytes, the same for the same rows. A share of the
-    rows, by hash, is looked at, so that few are sent however many there are."""
-    width = SAMPLE_BYTES // SAMPLE_ROWS
-    n, mark = pages.count(), F.xxhash64(id_col)
+def sample(pages: DataFrame, n: int, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[bytes]:
+    """At most SAMPLE_ROWS records and SAMPLE_BYTES bytes of n pages, the same for the same rows. A share
+    of the rows, by hash, is looked at, so that few are sent however many there are."""
+    width, mark = SAMPLE_BYTES // SAMPLE_ROWS, F.xxhash64(id_col)
     share = min(1.0, 1.5 * SAMPLE_ROWS / max(1, n))
     near = pages.where(F.pmod(mark, F.lit(1_000_003)) <= int(share * 1_000_003))
     body = F.substring(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), 1, width)
@@ -220,8 +221,11 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     them back."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    rows = with_revisits(pages)
-    write_archives(rows, folder, train(sample(pages)))
+    told = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("size")).first()
+    archives = max(spark.sparkContext.defaultParallelism, (told["size"] or 0) // ARCHIVE_BYTES)
+    # neighbouring partitions go to one archive: however finely a join is dealt, files stay few
+    rows = with_revisits(pages).coalesce(archives)
+    write_archives(rows, folder, train(sample(pages, told["n"])))
     return read_archives(spark, folder)
 
 

@@ -373,7 +373,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = checkpointed(verified(pairs, _only(texts, needed), k, num, den))
     # members of large keys, where the star has not joined them already
-    runs = met.where("large").select(F.col("a").alias("run"), F.col("b").alias("id"))
+    runs = met.where("large").select(F.col("a").alias("run"), F.col("b").alias("id")).distinct()
     if runs.isEmpty():
         return rows, links
     runs = runs.join(rep, "id").select("run", F.col("rep").alias("id")).distinct()

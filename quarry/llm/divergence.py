@@ -7,10 +7,11 @@ Texts with too few characters, or too few words, are not judged by that histogra
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import checkpointed
+
 #: Common words of each language: fixed values.
 COMMON = {
     "en": "the of and to in that is was for with on by are be from".split(),
@@ -80,33 +81,32 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(WORDS)).alias("common"),
     )
     total = F.aggregate("counted", F.lit(0), lambda a, x: a + x)
-    among = lambda x: F.size(F.filter("common", lambda w: w == x)).cast("long")
-    each = [among(x) for x in WORDS]
+    each = [F.size("common") - F.size(F.array_remove("common", x)) for x in WORDS]
     return common.select(
         "id", "lang", "n_words", "word_chars",
         F.get("counted", F.lit(5)).cast("long").alias("n_symbols"),
         "n_dup_lines", "n_repeat_words", "n_chars",
-        F.concat(F.transform("counted", lambda x: x.cast("long")), F.array((F.col("n_chars") - total).cast("long"))).alias("classes"),
-        F.array(*each, F.col("n_words") - F.size("common")).alias("commons"),
+        F.concat("counted", F.array((F.col("n_chars") - total).cast("int"))).alias("classes"),
+        F.array(*each, (F.col("n_words") - F.size("common")).cast("int")).alias("commons"),
     )
 
 
-def distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two histograms of counts; 0 where one of them is empty."""
-    sum_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    n, m = sum_of(p), sum_of(q)
+def distance(counts: Column, total: Column, reference: Column) -> Column:
+    """The Jensen-Shannon distance of a histogram of counts, their total given, and one of shares. Both
+    have to sum up; total is a column and no expression over the array, which the lambda would
+    compute again for every class."""
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
-    terms = F.zip_with(p, q, lambda a, b: part(a / n, b / m) + part(b / m, a / n))
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(F.lit(0.0), sum_of(terms) / 2))).otherwise(0.0)
+    terms = F.zip_with(counts, reference, lambda a, q: part(a / total, q) + part(q, a / total))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2))
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_commons): the sums of all texts of a language that the base rules pass;
-    a null language is one of its own."""
-    sums = lambda column, size: F.array(*[F.sum(F.get(column, F.lit(i))).cast("double") for i in range(size)])
+    """(lang, ref_classes, ref_commons): shares over all texts of a language that the base rules pass; a
+    null language is one of its own."""
+    sums = lambda column, total, size: F.array(*[F.sum(F.get(column, F.lit(i))) / F.nullif(F.sum(total), F.lit(0)) for i in range(size)])
     return (
         counts.where(~base_failed()).groupBy("lang")
-        .agg(sums("classes", len(CLASSES) + 1).alias("ref_classes"), sums("commons", len(WORDS) + 1).alias("ref_commons"))
+        .agg(sums("classes", "n_chars", len(CLASSES) + 1).alias("ref_classes"), sums("commons", "n_words", len(WORDS) + 1).alias("ref_commons"))
     )
 
 
@@ -116,16 +116,16 @@ def base_failed() -> Column:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The counts of every row with class_distance, word_distance (null where the text is too short to
-    be judged by them), base_failed and kept. The references have a row for each language; the join
-    with them is broadcast by Spark only while they are small."""
-    counts = base_counts(docs, id_col, text_col, lang_col).persist(StorageLevel.MEMORY_AND_DISK)
+    be judged by them), base_failed and kept. The counts are written once to the shared folder and read
+    for the references and the verdicts. The references have a row for each language; the join with
+    them is broadcast by Spark only while they are small."""
+    counts = checkpointed(base_counts(docs, id_col, text_col, lang_col))
     joined = counts.join(references(counts).withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     none = F.lit(None).cast("double")
     marked = joined.withColumns(
         {
-            "class_distance": F.when((F.col("n_chars") >= LEAST_CHARS) & F.col("ref_classes").isNotNull(), distance(as_double("classes"), F.col("ref_classes"))).otherwise(none),
-            "word_distance": F.when((F.col("n_words") >= LEAST_WORDS) & F.col("ref_commons").isNotNull(), distance(as_double("commons"), F.col("ref_commons"))).otherwise(none),
+            "class_distance": F.when((F.col("n_chars") >= LEAST_CHARS) & F.col("ref_classes").isNotNull(), distance(F.col("classes"), F.col("n_chars"), F.col("ref_classes"))).otherwise(none),
+            "word_distance": F.when((F.col("n_words") >= LEAST_WORDS) & F.col("ref_commons").isNotNull(), distance(F.col("commons"), F.col("n_words"), F.col("ref_commons"))).otherwise(none),
             "base_failed": base_failed(),
         }
     )

@@ -23,7 +23,7 @@ WORDS = sorted({w for x in COMMON.values() for w in x})
 #: Character classes, as the inside of a bracket expression; the last class is all else.
 CLASSES = ("a-z", "A-Z", "0-9", " \\t\\n\\x0B\\f\\r", ".,;:!?'\"()\\-", "#*$%&|<>")
 #: Least characters and words for a histogram to count; largest distances kept.
-LEAST_CHARS, LEAST_WORDS, MOST_CLASS, MOST_WORDS = 200, 50, 0.25, 0.32
+LEAST_CHARS, LEAST_WORDS, MOST_CLASS, MOST_WORDS = 300, 50, 0.28, 0.38
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 

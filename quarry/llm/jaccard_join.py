@@ -38,6 +38,9 @@ from quarry.session import checkpointed
 RATIO, BLOCK_BITS, SPARE = 1.6, 16, 1.3
 #: Keys gathered before they are dealt out; keys of a bucket; members of a key given as all pairs.
 FLUSH, BUCKET, FEW = 400_000, 1_000_000, 8
+#: Fewest buckets. A pair comes up once for each bucket in which it shares a key, so with few buckets
+#: the pairs made would depend on their number rather than on the input.
+LEAST_BUCKETS = 128
 #: Bits of the filter of candidate ids (at most so many numbers reach the driver).
 FILTER_BITS = 1 << 20
 
@@ -353,7 +356,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = marks.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "mark").agg(F.min("id").alias("rep"))
     rows = checkpointed(marks.join(classes, ["n_shingles", "mark"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")))
     total = rows.where("id = rep").agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, min(1 << 20, int(total * 0.8 / BUCKET) + 1))
+    buckets = max(LEAST_BUCKETS, min(1 << 20, int(total * 0.8 / BUCKET) + 1))
     dealt = _deal(docs, id_col, text_col, k, levels, buckets)
     met = checkpointed(
         dealt.groupBy("part").applyInArrow(_meet_group, "large boolean, a long, b long")

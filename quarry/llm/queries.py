@@ -105,7 +105,7 @@ s as (select suffix, sum(n) as n, sum(b) as b from d group by all),
 m as (
   select lev, r as rate, greatest(1.0, least(1000.0, case when sp > 0 then r * (1 - r) / sp - 1 else 1000.0 end)) as st from (
     select lev, r, coalesce(sq / nullif(n, 0) - r * r - r * (1 - r) * kk / nullif(n, 0), 0) as sp from (
-      select lev, sum(n) as n, case when sum(n) > 0 then sum(b) / sum(n) else 0.5 end as r, sum((n > 0)::int) as kk, sum(case when n > 0 then b * b / n end) as sq
+      select lev, sum(n) as n, case when sum(n) > 0 then sum(b) / sum(n) else 0.0 end as r, sum((n > 0)::int) as kk, sum(case when n > 0 then b * b / n end) as sq
       from (select 'h' as lev, n, b from h union all select 'd', n, b from d union all select 's', n, b from s) group by lev))),
 sp as (select suffix, (b + st * rate) / (n + st) as p from s, m where lev = 's'),
 dp as (select d.domain, d.suffix, (b + st * sp.p) / (n + st) as p from d join sp using (suffix), m where lev = 'd'),

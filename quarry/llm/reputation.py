@@ -55,7 +55,7 @@ def _strength(level: DataFrame) -> DataFrame:
     """One row: the overall rate, and the strength of the prior of this level's rates."""
     total = level.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("k"),
                       F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n"))).alias("sq"))
-    rate = F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(0.5)
+    rate = F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(0.0)  # without labels nothing is held bad
     spread = F.coalesce(F.col("sq") / F.col("n") - rate * rate - rate * (1 - rate) * F.col("k") / F.col("n"), F.lit(0.0))
     strength = F.when(spread > 0, rate * (1 - rate) / F.nullif(spread, F.lit(0.0)) - 1).otherwise(STRENGTHS[1])
     return total.select(rate.alias("rate"), F.greatest(F.lit(STRENGTHS[0]), F.least(F.lit(STRENGTHS[1]), strength)).alias("strength"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import events, govern, graph, similarity, text, web
+from quarry.plans import events, govern, graph, packs, similarity, text, web
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (events, text, similarity, web, graph, govern):
+for _module in (events, text, similarity, web, graph, govern, packs):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

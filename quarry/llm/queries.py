@@ -130,13 +130,42 @@ def op3_url_reputation(spark, sf_dir):
     return found.withColumnRenamed("id", "page_id").withColumns({c: F.round(c, 6) for c in ("posterior", "bound")})
 
 
-@query("op5_quality_rules")
+def _rules_sql() -> str:
+    words = "[" + ", ".join(f"'{w}'" for w in divergence.WORDS) + "]"
+    inside = [x.replace("\\x0B", "\\v").replace("'", "''") for x in divergence.CLASSES]
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '[{x}]+', '', 'g'))" for x in inside)
+    n, m = len(divergence.CLASSES) + 1, len(divergence.WORDS) + 1
+    total = lambda c, k: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, k + 1)) + "]"
+    part = lambda x, y: f"(case when {x} > 0 then {x} * log2(2 * {x} / ({x} + {y})) else 0 end)"
+
+    def distance(c: str, size: str, ref: str, refsize: str, k: int) -> str:
+        p, q = f"({c}[i] / {size}::double)", f"({ref}[i] / {refsize}::double)"
+        return f"sqrt(greatest(0, list_sum(list_transform(range(1, {k + 1}), lambda i: {part(p, q)} + {part(q, p)})) / 2))"
+
+    return f"""
+with d as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
+g as (select doc_id, i, array_to_string(w[i:i+4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+r as (select doc_id, count(distinct i + j) as n from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g), (select unnest(range(0, 5)) as j) where c > 1 group by doc_id),
+c as (select doc_id, lang, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+    coalesce(r.n, 0)::bigint as n_repeat_words, length(t) as n_chars, [{counts}] as k, list_transform(w, lambda x: lower(x)) as lw from d left join r using (doc_id)),
+h as (select * exclude (k, lw), k[6]::bigint as n_symbols, list_append(k, n_chars - list_sum(k)) as cl,
+    list_append(list_transform({words}, lambda v: len(list_filter(lw, lambda x: x = v))), n_words - len(list_filter(lw, lambda x: list_contains({words}, x)))) as co,
+    n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c),
+f as (select lang, {total("cl", n)} as rc, {total("co", m)} as ro, sum(n_chars) as rn, sum(n_words) as rm from h where not base_failed group by lang),
+j as (select h.*, case when n_chars >= {divergence.LEAST_CHARS} and rc is not null then {distance("cl", "n_chars", "rc", "rn", n)} end as cd,
+    case when n_words >= {divergence.LEAST_WORDS} and ro is not null then {distance("co", "n_words", "ro", "rm", m)} end as wd from h left join f on h.lang is not distinct from f.lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (coalesce(cd, 0) > {divergence.MOST_CLASS} or coalesce(wd, 0) > {divergence.MOST_WORDS}) as kept, round(cd, 6) as class_distance, round(wd, 6) as word_distance from j"""
+
+
+@query("op5_quality_rules", _rules_sql())
 def op5_quality_rules(spark, sf_dir):
     """Base counts and the divergence verdict of all documents."""
     found = divergence.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "class_distance", "word_distance",
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
 
 

@@ -153,9 +153,28 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, n_shingles long, mark long, sketch binary")
 
 
+#: What a packed row holds: (text, key), those of keys that many texts of a task share, (a, b) to be
+#: compared, and (key, text) of a shared key's members.
+KEYS, HOT_KEYS, PAIRS, MEMBERS = range(4)
+
+
+def _part(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key by its leading bits."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(kind: int, ids: np.ndarray, keys: np.ndarray, part: np.ndarray) -> list[tuple]:
+    """(part, kind, ids, keys) of each bucket that has any."""
+    order = np.argsort(part, kind="stable")
+    part, ids, keys = part[order], ids[order], keys[order]
+    cuts = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
+    return [(int(part[a]), kind, ids[a:b].tobytes(), keys[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, buckets: int) -> DataFrame:
     """Packed keys by bucket. Of equal sets within a task only the first shows its keys, so copies
-    cost a key for each task at most."""
+    cost a key for each task at most; a key that many texts of a task share costs its bucket one, too,
+    so a bucket does not grow with a hot group but with the number of tasks that hold part of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -164,16 +183,26 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
 
         def flush() -> pa.RecordBatch:
             ids, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            part, ids, keys = part[order].astype(np.int64), ids[order], keys[order]
-            cuts = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
-            packed = [(ids[a:b].tobytes(), keys[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts[:-1]], pa.int32()), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())],
-                names=["part", "ids", "keys"],
-            )
+            order = np.argsort(keys)
+            ids, keys = ids[order], keys[order]
+            cuts = np.concatenate([np.flatnonzero(np.diff(keys, prepend=~keys[:1])), [len(keys)]])
+            size = np.diff(cuts)
+            rare = np.repeat(size <= FEW, size)
+            rows = _packed(KEYS, ids[rare], keys[rare], _part(keys[rare], buckets))
+            # a key of many texts goes on as its least one; its pairs and members travel by the member
+            hot = [(keys[lo], np.unique(ids[lo:hi])) for lo, hi in zip(cuts[:-1][size > FEW], cuts[1:][size > FEW], strict=True)]
+            if hot:
+                key, least = np.array([k for k, _ in hot], np.uint64), np.array([m[0] for _, m in hot])
+                member = np.concatenate([m for _, m in hot])
+                times = [len(m) for _, m in hot]
+                run, centre = np.repeat(key.view(np.int64), times), np.repeat(least, times)
+                star = np.unique(np.stack([centre, member], 1)[centre != member], axis=0)
+                rows += _packed(HOT_KEYS, least, key, _part(key, buckets))
+                rows += _packed(PAIRS, star[:, 0], star[:, 1], _part(mix(star[:, 1].astype(np.uint64)), buckets))
+                rows += _packed(MEMBERS, run, member, _part(mix(member.astype(np.uint64)), buckets))
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "ids", "keys"])
 
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
@@ -198,21 +227,26 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "part int, ids binary, keys binary")
-
-
-def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's keys, the pairs, and of large keys the least text and each member, as (large, a, b)."""
-    ids, keys = [], []
-    for batch in group:
-        ids += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("ids")]
-        keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
-    own, key = np.concatenate(ids), np.concatenate(keys)
-    order = np.lexsort((own, key)) if len(own) < 64 else np.argsort(key)
-    own, key = own[order], key[order]
+    return rows.mapInArrow(run, "part int, kind byte, ids binary, keys binary")
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of a bucket's keys, the pairs to be compared, (false, a, b), and what is around a star or a shared
+    key, (true, star or key, text)."""
+    kinds = table["kind"].to_numpy()
+
+    def of(kind: int, column: str, dtype=np.int64) -> np.ndarray:
+        own = [np.frombuffer(x.as_buffer(), dtype) for x in table[column].filter(pa.array(kinds == kind))]
+        return np.concatenate(own) if own else np.zeros(0, dtype)
+
+    own = np.concatenate([of(KEYS, "ids"), of(HOT_KEYS, "ids")])
+    key = np.concatenate([of(KEYS, "keys", np.uint64), of(HOT_KEYS, "keys", np.uint64)])
+    shared = np.arange(len(own)) >= len(own) - len(of(HOT_KEYS, "ids"))
+    a, b, run, member = [of(PAIRS, "ids")], [of(PAIRS, "keys")], [of(MEMBERS, "ids")], [of(MEMBERS, "keys")]
+    order = np.argsort(key)
+    own, key, shared = own[order], key[order], shared[order]
     cuts = np.concatenate([np.flatnonzero(np.diff(key, prepend=~key[:1])), [len(key)]])
     size = np.diff(cuts)
-    a, b, big = [], [], []
     for m in range(2, FEW + 1):
         at = cuts[:-1][size == m]
         if len(at):
@@ -224,14 +258,19 @@ def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = np.unique(own[lo:hi])
         a.append(np.full(len(members) - 1, members[0]))
         b.append(members[1:])
-        big.append((np.full(len(members), members[0]), members))
-    if a:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), bool)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["large", "a", "b"])
-    if big:
-        around = np.unique(np.stack([np.concatenate(x) for x in zip(*big, strict=True)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(around), bool)), pa.array(around[:, 0]), pa.array(around[:, 1])], names=["large", "a", "b"])
+        run.append(np.full(len(members), members[0]))
+        member.append(members)
+    if shared.any():
+        # all texts of a key that some task holds many of, wherever they are
+        of_key = np.repeat(np.logical_or.reduceat(shared, cuts[:-1]), size)
+        run.append(key[of_key].view(np.int64))
+        member.append(own[of_key])
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    around = np.unique(np.stack([np.concatenate(run), np.concatenate(member)], 1), axis=0)
+    large = np.repeat([False, True], [len(pairs), len(around)])
+    both = np.concatenate([pairs, around])
+    return pa.table({"large": large, "a": both[:, 0], "b": both[:, 1]})
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -359,7 +398,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(LEAST_BUCKETS, min(1 << 20, int(total * 0.8 / BUCKET) + 1))
     dealt = _deal(docs, id_col, text_col, k, levels, buckets)
     met = checkpointed(
-        dealt.groupBy("part").applyInArrow(_meet_group, "large boolean, a long, b long")
+        dealt.groupBy("part").applyInArrow(_meet, "large boolean, a long, b long")
     )
     rep = rows.where("rep is not null").select("id", "rep").distinct()
     first = rep.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
@@ -391,11 +430,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows, checkpointed(links.union(verified(more, _only(texts, needed), k, num, den)).distinct())
 
 
-def _meet_group(table: pa.Table) -> pa.Table:
-    made = list(_meet(iter(table.to_batches())))
-    return pa.Table.from_batches(made, schema=pa.schema([("large", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())]))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
     """(id, n_shingles, component) for every row of docs; component is the least id reachable by
     links, the row's own id if it has none, and null for a null id."""

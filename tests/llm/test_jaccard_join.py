@@ -37,6 +37,15 @@ def test_large_groups_with_a_common_part(spark):
     assert found(spark, docs) == helpers.classes(docs)
 
 
+@pytest.mark.parametrize("flush", [1500, 5000])
+def test_keys_that_tasks_share(spark, monkeypatch, flush):
+    """Groups that are split among many hands over of a task: members in different ones still meet."""
+    monkeypatch.setattr(J, "FEW", 2)
+    monkeypatch.setattr(J, "FLUSH", flush)
+    docs = helpers.family_docs(11, 150)
+    assert found(spark, docs) == helpers.classes(docs)
+
+
 def test_edges_of_the_threshold(spark):
     """24 shared of 32 is linked, 23 of 31 + 1 is not."""
     base = [f"w{i}" for i in range(28 + 4)]

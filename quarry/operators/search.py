@@ -120,3 +120,63 @@ def bm25(chunks: DataFrame, group: str, order: str, text_col: str, query: list[s
     one = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg"))) * times[F.col("term")]
     scored = hits.groupBy(group, order).agg(F.sum(one).alias("score"))
     return chunks.join(scored, [group, order], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def coarse_lists(vectors: DataFrame, id_col: str, vector_col: str, lists: int = 16, sample: int = 2_000, rounds: int = 10) -> np.ndarray:
+    """Centres of an index's lists: k-means, on directions, of at most `sample` rows, those of the least
+    hashes of their ids. The same rows give the same centres."""
+    chosen = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).orderBy(F.xxhash64("i"), "i").limit(sample).collect()
+    x = np.array([r.v for r in chosen], np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[:: max(1, len(x) // lists)][:lists].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        for j in range(len(centres)):
+            if (near == j).any():
+                centres[j] = x[near == j].mean(axis=0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def indexed(vectors: DataFrame, id_col: str, vector_col: str, centres: np.ndarray) -> DataFrame:
+    """(id, vector, list) of every row, by the nearest centre."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                batch["list"] = (np.array(batch["vector"].to_list(), np.float64) @ centres.T).argmax(axis=1)
+                yield batch
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vector is not null")
+    return rows.mapInPandas(run, "id long, vector array<double>, list int")
+
+
+def nearest_in_lists(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, centres: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
+    """(query_id, id, score, rank): the k most similar rows of the lists nearest to each query. Queries meet
+    rows by list; a task keeps its k best for a query."""
+    asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).orderBy("q").collect()
+    names, wanted = np.array([r.q for r in asked]), np.array([r.v for r in asked], np.float64)
+    if not len(asked):
+        return index.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
+    near = np.argsort(-(wanted @ centres.T), axis=1, kind="stable")[:, :probes]
+    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)
+    shared = index.sparkSession.sparkContext.broadcast((names, wanted, near))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted, near = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, lists, rows = batch["id"].to_numpy(), batch["list"].to_numpy(), np.array(batch["vector"].to_list(), np.float64)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+            for j in range(len(names)):
+                own = np.flatnonzero(np.isin(lists, near[j]))
+                score = rows[own] @ wanted[j]
+                best = np.lexsort((-ids[own], -score))[:k]
+                yield pd.DataFrame({"query_id": names[j], "id": ids[own][best], "score": score[best]})
+
+    found = index.mapInPandas(run, "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))

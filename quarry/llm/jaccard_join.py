@@ -153,9 +153,11 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, n_shingles long, mark long, sketch binary")
 
 
-#: What a packed row holds: (text, key), those of keys that many texts of a task share, (a, b) to be
-#: compared, and (key, text) of a shared key's members.
-KEYS, HOT_KEYS, PAIRS, MEMBERS = range(4)
+#: What a packed row holds: (text, key); the same for the least text of a key that many texts of a task
+#: share; (least text, text) of such a key.
+KEYS, HOT_KEYS, STARS = range(3)
+#: What a bucket tells: (a, b) to be compared; (star, text) around it; (upper star, star) of one key.
+PAIR, AROUND, UPPER = range(3)
 
 
 def _part(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -190,17 +192,13 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
             size = np.diff(cuts)
             rare = np.repeat(size <= FEW, size)
             rows = _packed(KEYS, ids[rare], keys[rare], _part(keys[rare], buckets))
-            # a key of many texts goes on as its least one; its pairs and members travel by the member
+            # a key of many texts goes on as its least one, around which the others are
             hot = [(keys[lo], np.unique(ids[lo:hi])) for lo, hi in zip(cuts[:-1][size > FEW], cuts[1:][size > FEW], strict=True)]
             if hot:
                 key, least = np.array([k for k, _ in hot], np.uint64), np.array([m[0] for _, m in hot])
-                member = np.concatenate([m for _, m in hot])
-                times = [len(m) for _, m in hot]
-                run, centre = np.repeat(key.view(np.int64), times), np.repeat(least, times)
-                star = np.unique(np.stack([centre, member], 1)[centre != member], axis=0)
+                star = np.unique(np.stack([np.repeat(least, [len(m) for _, m in hot]), np.concatenate([m for _, m in hot])], 1), axis=0)
                 rows += _packed(HOT_KEYS, least, key, _part(key, buckets))
-                rows += _packed(PAIRS, star[:, 0], star[:, 1], _part(mix(star[:, 1].astype(np.uint64)), buckets))
-                rows += _packed(MEMBERS, run, member, _part(mix(member.astype(np.uint64)), buckets))
+                rows += _packed(STARS, star[:, 0], star[:, 1], _part(mix(star[:, 1].astype(np.uint64)), buckets))
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "ids", "keys"])
 
@@ -231,8 +229,9 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket's keys, the pairs to be compared, (false, a, b), and what is around a star or a shared
-    key, (true, star or key, text)."""
+    """What a bucket's keys tell, as (kind, a, b). A key of few texts gives its pairs, one of more the least
+    text as a star with all others around it. Where some task held many texts of a key, the stars of
+    tasks are under the least of them, so all texts of the key can be found around that."""
     kinds = table["kind"].to_numpy()
 
     def of(kind: int, column: str, dtype=np.int64) -> np.ndarray:
@@ -242,35 +241,31 @@ def _meet(table: pa.Table) -> pa.Table:
     own = np.concatenate([of(KEYS, "ids"), of(HOT_KEYS, "ids")])
     key = np.concatenate([of(KEYS, "keys", np.uint64), of(HOT_KEYS, "keys", np.uint64)])
     shared = np.arange(len(own)) >= len(own) - len(of(HOT_KEYS, "ids"))
-    a, b, run, member = [of(PAIRS, "ids")], [of(PAIRS, "keys")], [of(MEMBERS, "ids")], [of(MEMBERS, "keys")]
+    stars = np.stack([of(STARS, "ids"), of(STARS, "keys")], 1)
+    pairs, around, upper = [stars], [stars], [np.zeros((0, 2), np.int64)]
     order = np.argsort(key)
     own, key, shared = own[order], key[order], shared[order]
     cuts = np.concatenate([np.flatnonzero(np.diff(key, prepend=~key[:1])), [len(key)]])
     size = np.diff(cuts)
+    some = np.logical_or.reduceat(shared, cuts[:-1]) if len(own) else np.zeros(0, bool)
     for m in range(2, FEW + 1):
-        at = cuts[:-1][size == m]
+        at = cuts[:-1][(size == m) & ~some]
         if len(at):
             members = np.sort(own[at[:, None] + np.arange(m)], axis=1)
             i, j = np.triu_indices(m, 1)
-            a.append(members[:, i].ravel())
-            b.append(members[:, j].ravel())
-    for lo, hi in zip(cuts[:-1][size > FEW], cuts[1:][size > FEW], strict=True):
+            pairs.append(np.stack([members[:, i].ravel(), members[:, j].ravel()], 1))
+    large = (size > FEW) | some & (size > 1)
+    for lo, hi in zip(cuts[:-1][large], cuts[1:][large], strict=True):
         members = np.unique(own[lo:hi])
-        a.append(np.full(len(members) - 1, members[0]))
-        b.append(members[1:])
-        run.append(np.full(len(members), members[0]))
-        member.append(members)
-    if shared.any():
-        # all texts of a key that some task holds many of, wherever they are
-        of_key = np.repeat(np.logical_or.reduceat(shared, cuts[:-1]), size)
-        run.append(key[of_key].view(np.int64))
-        member.append(own[of_key])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    around = np.unique(np.stack([np.concatenate(run), np.concatenate(member)], 1), axis=0)
-    large = np.repeat([False, True], [len(pairs), len(around)])
-    both = np.concatenate([pairs, around])
-    return pa.table({"large": large, "a": both[:, 0], "b": both[:, 1]})
+        star = np.stack([np.full(len(members), members[0]), members], 1)
+        pairs.append(star)
+        around.append(star)
+        held = np.unique(own[lo:hi][shared[lo:hi]])
+        upper.append(np.stack([np.full(len(held), members[0]), held], 1)[held != members[0]])
+    told = [np.unique(np.concatenate(x), axis=0) for x in (pairs, around, upper)]
+    told[PAIR] = told[PAIR][told[PAIR][:, 0] != told[PAIR][:, 1]]
+    both = np.concatenate(told)
+    return pa.table({"kind": pa.array(np.repeat([PAIR, AROUND, UPPER], [len(x) for x in told]), pa.int8()), "a": both[:, 0], "b": both[:, 1]})
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -398,13 +393,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = max(LEAST_BUCKETS, min(1 << 20, int(total * 0.8 / BUCKET) + 1))
     dealt = _deal(docs, id_col, text_col, k, levels, buckets)
     met = checkpointed(
-        dealt.groupBy("part").applyInArrow(_meet, "large boolean, a long, b long")
+        dealt.groupBy("part").applyInArrow(_meet, "kind byte, a long, b long")
     )
     rep = rows.where("rep is not null").select("id", "rep").distinct()
     first = rep.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
     second = rep.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
     pairs = (
-        met.where("not large").select("a", "b").distinct()
+        met.where(F.col("kind") == PAIR).select("a", "b").distinct()
         .join(first, "a").join(second, "b")
         .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         .where("a <> b").distinct()
@@ -414,10 +409,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = checkpointed(verified(pairs, _only(texts, needed), k, num, den))
-    # members of large keys, where the star has not joined them already
-    runs = met.where("large").select(F.col("a").alias("run"), F.col("b").alias("id")).distinct()
+    # texts around stars, where links to the star have not joined them already
+    runs = met.where(F.col("kind") == AROUND).select(F.col("a").alias("run"), F.col("b").alias("id")).distinct()
     if runs.isEmpty():
         return rows, links
+    upper = met.where(F.col("kind") == UPPER).select(F.col("a").alias("top"), F.col("b").alias("run")).distinct()
+    runs = runs.union(runs.join(upper, "run").select("top", "id")).distinct()
     runs = runs.join(rep, "id").select("run", F.col("rep").alias("id")).distinct()
     joined = components(links)
     members = runs.join(joined, "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))

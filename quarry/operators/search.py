@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import textstats as S
+from quarry.session import small
 
-#: Queries held by a task at once.
-BLOCK = 1_000
+#: Queries held by a task at once, and most queries of a call: they come to the driver.
+BLOCK, MOST_QUERIES = 1_000, 100_000
+
+
+def _asked(queries: DataFrame, id_col: str, vector_col: str) -> list:
+    if not small(queries, MOST_QUERIES):
+        raise ValueError(f"more than {MOST_QUERIES} queries; ask in parts")
+    return queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null").orderBy("q").collect()
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, metric: str = "cosine", least: float | None = None) -> DataFrame:
@@ -23,7 +30,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
     by rising id. Queries go in blocks, each against every row; a task keeps its k best for a query, so
     what is shuffled is k rows for a query and task. `least` leaves out lower similarities."""
     spark = vectors.sparkSession
-    asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).orderBy("q").collect()
+    asked = _asked(queries, id_col, vector_col)
     out = None
     for lo in range(0, len(asked), BLOCK):
         part = asked[lo : lo + BLOCK]
@@ -156,7 +163,7 @@ def indexed(vectors: DataFrame, id_col: str, vector_col: str, centres: np.ndarra
 def nearest_in_lists(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, centres: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
     """(query_id, id, score, rank): the k most similar rows of the lists nearest to each query. Queries meet
     rows by list; a task keeps its k best for a query."""
-    asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).orderBy("q").collect()
+    asked = _asked(queries, id_col, vector_col)
     names, wanted = np.array([r.q for r in asked]), np.array([r.v for r in asked], np.float64)
     if not len(asked):
         return index.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")

@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_spark("tests", "4", shuffle_partitions="4", driver_memory="6g")
+    session = get_spark("tests", "4", shuffle_partitions="4", driver_memory="6g", **{"spark.sql.maxMetadataStringLength": "2000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._words import SPACED, mix, seeded, shingles, slices, words
+from quarry.llm._words import SPACED, mix, shingles, slices, words
 from quarry.llm.components import components
 from quarry.session import checkpointed
 
@@ -38,6 +38,8 @@ from quarry.session import checkpointed
 RATIO, BLOCK_BITS, SPARE = 1.6, 16, 1.3
 #: Keys gathered before they are dealt out; keys of a bucket; members of a key given as all pairs.
 FLUSH, BUCKET, FEW = 400_000, 1_000_000, 8
+#: Texts that share a key among those gathered before the key is dealt as its least text alone.
+CROWD = 64
 #: Fewest buckets. A pair comes up once for each bucket in which it shares a key, so with few buckets
 #: the pairs made would depend on their number rather than on the input.
 LEAST_BUCKETS = 128
@@ -190,10 +192,10 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
             ids, keys = ids[order], keys[order]
             cuts = np.concatenate([np.flatnonzero(np.diff(keys, prepend=~keys[:1])), [len(keys)]])
             size = np.diff(cuts)
-            rare = np.repeat(size <= FEW, size)
+            rare = np.repeat(size <= CROWD, size)
             rows = _packed(KEYS, ids[rare], keys[rare], _part(keys[rare], buckets))
             # a key of many texts goes on as its least one, around which the others are
-            hot = [(keys[lo], np.unique(ids[lo:hi])) for lo, hi in zip(cuts[:-1][size > FEW], cuts[1:][size > FEW], strict=True)]
+            hot = [(keys[lo], np.unique(ids[lo:hi])) for lo, hi in zip(cuts[:-1][size > CROWD], cuts[1:][size > CROWD], strict=True)]
             if hot:
                 key, least = np.array([k for k, _ in hot], np.uint64), np.array([m[0] for _, m in hot])
                 star = np.unique(np.stack([np.repeat(least, [len(m) for _, m in hot]), np.concatenate([m for _, m in hot])], 1), axis=0)

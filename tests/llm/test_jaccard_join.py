@@ -40,7 +40,7 @@ def test_large_groups_with_a_common_part(spark):
 @pytest.mark.parametrize("flush", [1500, 5000])
 def test_keys_that_tasks_share(spark, monkeypatch, flush):
     """Groups that are split among many hands over of a task: members in different ones still meet."""
-    monkeypatch.setattr(J, "FEW", 2)
+    monkeypatch.setattr(J, "CROWD", 2)
     monkeypatch.setattr(J, "FLUSH", flush)
     docs = helpers.family_docs(11, 150)
     assert found(spark, docs) == helpers.classes(docs)

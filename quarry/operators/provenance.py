@@ -5,8 +5,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,8 +128,3 @@ def sealed_batches(rows: DataFrame, key: str, order: str, content_hash: str, eve
     place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
     marked = rows.withColumn("_seal", F.floor(place / every)).withColumn("_k", F.struct(key, F.col("_seal").alias("seal")))
     return merkle_roots(marked, "_k", [order], content_hash).select(f"_k.{key}", "_k.seal", "n", "root")
-
-
-def canonical_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"line": [json.dumps(r, sort_keys=True, default=str) for r in batch.to_dict("records")]})

@@ -9,7 +9,6 @@ import sqlite3
 import urllib.request
 import zipfile
 from collections.abc import Callable, Iterable
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -155,7 +154,3 @@ def webhook(url: str, secret: bytes, send: Callable[[str, bytes, dict[str, str]]
                 raise RuntimeError(f"batch {epoch}: {url} took no message in {tries} tries")
 
     return run
-
-
-def save_text(text: str, path: str) -> None:
-    Path(path).write_text(text)

@@ -2,7 +2,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("quarry", deadline=None)
+settings.load_profile("quarry")
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from quarry.session import get_spark  # noqa: E402
 

@@ -22,11 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document of the least id."""
+    """Keeps of each class of near duplicates the document of the least id; of rows that repeat an id and
+    its text, one."""
     found = jaccard_join.near_duplicates(docs)
     spare = found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(spare, "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    kept = docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    again = found.groupBy(F.col("id").alias("doc_id")).count().where("count > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

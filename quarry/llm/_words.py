@@ -1,7 +1,7 @@
 """Words and hashes of whole texts, computed for an Arrow batch at a time with numpy.
 
 Words are maximal runs of the bytes a `Lexer` keeps; each gets a 64-bit hash of its (folded)
-bytes. The work goes over slices of about two megabytes, so memory stays bounded however long
+bytes. The work goes over slices of about a megabyte, so memory stays bounded however long
 the batch is; a single longer text makes a slice of its own.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -127,7 +127,7 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         total = np.zeros(n, np.uint64)
-        for j in range(k):
+        for j in range(min(k, n)):
             total[: n - j] += found.hash[j:] * factors[j]
         at = found.text_of()
         place = np.arange(n) - found.first[at]

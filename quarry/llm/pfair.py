@@ -96,14 +96,17 @@ def _numbered(docs: DataFrame, source: str, id_col: str, seed: int) -> tuple[Dat
         if n > BUCKET:
             buckets = F.when(F.col(source).eqNullSafe(F.lit(name)), F.lit(-(-n // BUCKET))).otherwise(buckets)
     mark = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    rows = docs.withColumn("_mark", mark).withColumn("_bucket", F.floor((F.shiftrightunsigned(F.col("_mark"), 1) / F.lit(float(1 << 63))) * buckets).cast("int"))
-    counts = rows.groupBy(F.col(source).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(source, "_bucket").orderBy("_mark", id_col)
+    # a key without nulls, so that the window's partitioning serves the join with the buckets' starts
+    key = F.concat(F.when(F.col(source).isNull(), "-").otherwise("+"), F.coalesce(F.col(source).cast("string"), F.lit("")))
+    rows = docs.withColumns({"_mark": mark, "_key": key})
+    rows = rows.withColumn("_bucket", F.floor((F.shiftrightunsigned(F.col("_mark"), 1) / F.lit(float(1 << 63))) * buckets).cast("int"))
+    counts = rows.groupBy("_key", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_key", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_key", "_bucket").orderBy("_mark", id_col)
     ranked = rows.withColumn("_in", F.row_number().over(within) - 1)
-    joined = ranked.join(starts, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("_rank", F.col("_start") + F.col("_in")).drop("_mark", "_bucket", "_s", "_b", "_start", "_in"), size
+    joined = ranked.join(starts, ["_key", "_bucket"])
+    return joined.withColumn("_rank", F.col("_start") + F.col("_in")).drop("_mark", "_key", "_bucket", "_start", "_in"), size
 
 
 def mixed(

@@ -36,3 +36,9 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r.doc_id for r in kept[1]) == sorted(i for i, _ in before if classes[i][1] == i)
     assert len(kept[3]) == len(kept[2]) == len(kept[4])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r.doc_id for r in kept[4])
+
+
+def test_repeated_rows_stay_once(spark, sf_dir):
+    docs = spark.createDataFrame(helpers.ODD, "doc_id long, text string, lang string, source string")
+    got = sorted((r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()), key=lambda i: (i is not None, i))
+    assert got == [None, 1, 2, 3, 4, 5, 6, 7, 8]

@@ -12,6 +12,9 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+#: Tables whose rows are worth a core's time.
+TEXTS = ("documents", "pages")
+
 
 def get_spark(app: str = "quarry", cores: str = "*", **conf: str) -> SparkSession:
     """A session with the settings the operators are written for (UTC, AQE, Arrow)."""
@@ -32,8 +35,17 @@ def get_spark(app: str = "quarry", cores: str = "*", **conf: str) -> SparkSessio
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables by its Parquet path; columns are pruned and filters pushed by Catalyst."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the tables by its Parquet path; columns are pruned and filters pushed by Catalyst. Texts
+    that come in fewer splits than there are cores are dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores, where a small file gives fewer; large inputs,
+    which have more, stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,9 +14,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of token characters that holds a digit, and a value given to a name for secrets.
-TOKEN = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]{0,199}[0-9])[A-Za-z0-9_+/=\-]{20,200}(?![A-Za-z0-9_+/=\-])"
-ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|credential)s?[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9_+/=!@#$%^&*.\-]{8,200})"
+#: A whole run of token characters that holds a digit, and a value given to a name for secrets, of any
+#: length; possessive, so the search stays linear.
+TOKEN = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/=\-]{20,}+"
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|credential)s?[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9_+/=!@#$%^&*.\-]{8,}+)"
 #: Words that make identifiers: fixed values.
 DICTIONARY = (
     "config default example sample test user name file path data value index count number string object class function method module "
@@ -25,6 +26,9 @@ DICTIONARY = (
     "insert delete create remove width height color image button window panel layout style script content header footer page document "
     "article section title label field input output format parse render public private static final const return import export"
 ).split()
+#: What a place of a value has not before and behind it; elsewhere the value is a part of a longer one.
+#: A value may follow the = that gives it.
+NOT_BEFORE, NOT_BEHIND = r"(?<![A-Za-z0-9_+/\-])", r"(?![A-Za-z0-9_+/=\-])"
 SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private"
 PLAIN_WORDS = r"(?i)sha|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|integrity|example|sample|placeholder|version"
 PLAIN_PATHS = r"(?i)test|example|fixture|sample|doc|mock|vendor|lock"
@@ -37,6 +41,11 @@ BEFORE, AFTER = 40, 20
 TREES, DEPTH, SEED = 24, 7, 7
 
 
+def neighbours(before: Column, after: Column) -> dict[str, Column]:
+    """The features that a place's surroundings give, booleans."""
+    return {"secret_word": before.rlike(SECRET_WORDS), "plain_word": before.rlike(PLAIN_WORDS) | after.rlike(r"(?i)^\W*(example|placeholder)")}
+
+
 def features(value: Column, before: Column, after: Column, path: Column, assigned: Column) -> Column:
     """The struct of a candidate's features, all doubles."""
     n = F.greatest(F.lit(1), F.length(value))
@@ -62,8 +71,7 @@ def features(value: Column, before: Column, after: Column, path: Column, assigne
         "hex": flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "uuid": flag(value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         "placeholder": flag(value.rlike(r"(?i)x{4,}|0{6,}|1234567|abcdef|your|example|changeme|placeholder|(.)\1{5}")),
-        "secret_word": flag(before.rlike(SECRET_WORDS)),
-        "plain_word": flag(before.rlike(PLAIN_WORDS) | after.rlike(r"(?i)^\W*(example|placeholder)")),
+        **{name: flag(c) for name, c in neighbours(before, after).items()},
         "plain_path": flag(path.rlike(PLAIN_PATHS)),
         "assigned": flag(assigned),
     }
@@ -128,8 +136,8 @@ def _parsed(text: str):
     return node(0)[0]
 
 
-def vote(trees: list, made: Column) -> Column:
-    """The share of trees that call a candidate, a struct of features, a secret."""
+def vote(trees: list, made: Column | dict[str, Column]) -> Column:
+    """The share of trees that call a candidate, a struct or dict of features, a secret."""
 
     def expression(tree) -> Column:
         if isinstance(tree, float):
@@ -146,33 +154,54 @@ def vote(trees: list, made: Column) -> Column:
 def with_findings(docs: DataFrame, trees: list, text_col: str = "text", path_col: str | None = "source", least: float = 0.5) -> DataFrame:
     """docs with a column findings: one (value, start, times, assigned, score, is_secret) for each
     different candidate of the whole text, in order of its first place (1 for the first character);
-    an empty array for null and empty texts. path_col names the column of the text's path."""
+    an empty array for null and empty texts. Every place of a value is judged by its own neighbours, and
+    the highest vote counts. path_col names the column of the text's path."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1))
     found = docs.withColumn("_given", given).withColumn("_any", F.array_distinct(F.concat("_given", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))))
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col else F.lit("")
 
+    def places(v: Column) -> Column:
+        """What lies before, between and behind the places of a value, as lengths."""
+        between = F.split(text, F.concat(F.lit(NOT_BEFORE + r"\Q"), v, F.lit(r"\E" + NOT_BEHIND)))
+        return F.transform(between, lambda x: F.length(x))
+
     def placed(v: Column) -> Column:
         return F.struct(
             v.alias("value"), F.position(v, text).alias("start"),
             ((F.length(text) - F.length(F.replace(text, v, F.lit("")))) / F.length(v)).cast("int").alias("times"),
-            F.array_contains("_given", v).alias("assigned"),
+            F.array_contains("_given", v).alias("assigned"), places(v).alias("between"),
         )
 
+    def starting(x: Column) -> Column:
+        # running sums as (end of the last place, starts so far); the piece behind the last place starts none
+        step = lambda a, n: F.struct((a["end"] + n + F.length(x["value"])).alias("end"), F.concat(a["starts"], F.array(a["end"] + n + 1)).alias("starts"))
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(F.slice(x["between"], 1, F.size(x["between"]) - 1), none, step, lambda a: a["starts"])
+        return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned")], starts.alias("starts"))
+
     def described(x: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), x["start"] - BEFORE), F.least(F.lit(BEFORE), x["start"] - 1))
-        after = F.substring(text, x["start"] + F.length(x["value"]), F.lit(AFTER))
-        return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned")], features(x["value"], before, after, path, x["assigned"]).alias("f"))
+        def around(start: Column) -> Column:
+            before = F.substring(text, F.greatest(F.lit(1), start - BEFORE), F.least(F.lit(BEFORE), start - 1))
+            made = neighbours(before, F.substring(text, start + F.length(x["value"]), F.lit(AFTER)))
+            return F.struct(*[c.cast("double").alias(name) for name, c in made.items()])
+
+        none = F.lit("")
+        kinds = F.array_distinct(F.transform(F.when(F.size(x["starts"]) > 0, x["starts"]).otherwise(F.array(x["start"])), around))
+        return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned")], kinds.alias("kinds"), features(x["value"], none, none, path, x["assigned"]).alias("f"))
 
     def scored(x: Column) -> Column:
-        return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned")], vote(trees, x["f"]).alias("score"))
+        own = lambda k: {name: k[name] if name in neighbours(F.lit(""), F.lit("")) else x["f"][name] for name in FEATURES}
+        most = F.array_max(F.transform(x["kinds"], lambda k: vote(trees, own(k))))
+        return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned")], most.alias("score"))
 
     def decided(x: Column) -> Column:
         return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned", "score")], (x["score"] > least).alias("is_secret"))
 
-    found = found.withColumn("_placed", F.transform("_any", placed)).withColumn("_described", F.transform("_placed", described))
+    found = found.withColumn("_placed", F.transform("_any", placed)).withColumn("_starting", F.transform("_placed", starting))
+    found = found.withColumn("_described", F.transform("_starting", described))
     found = found.withColumn("_scored", F.transform("_described", scored)).withColumn("findings", F.array_sort(F.transform("_scored", decided), lambda a, b: a["start"] - b["start"]))
-    return found.drop("_given", "_any", "_placed", "_described", "_scored")
+    return found.drop("_given", "_any", "_placed", "_starting", "_described", "_scored")
 
 
 def redacted(docs: DataFrame, trees: list, text_col: str = "text", path_col: str | None = "source", marker: str = "[SECRET]", length_col: str | None = None) -> DataFrame:

@@ -104,11 +104,10 @@ def p14_goals(spark, sf_dir):
 
 @_r.query("c3_simhash_index", None)
 def c3_simhash_index(spark, sf_dir):
-    """All documents within three bits of each benchmark item's number's document."""
+    """All other documents within three bits of each benchmark item's number's document."""
     hashed = dedup.simhash(table(spark, sf_dir, "documents"), "doc_id", "text")
-    pairs = dedup.simhash_pairs(hashed, "doc_id")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"))
-    return pairs.join(asked, "a", "left_semi")
+    return dedup.simhash_neighbours(hashed, asked, "doc_id")
 
 
 @_r.query("c19_decision_log", "select event_id, coalesce(case when event_id % 10 = 0 then event_id - 1 end, lag(event_id) over (partition by user_id, event_type order by event_id)) as parent, sha256(props) as payload_hash from events")

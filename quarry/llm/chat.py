@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from quarry.session import checkpointed
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
-#: Largest number of results that wait for one another in a chain.
-MOST_ROUNDS = 64
 
 _CALL = "struct<id:string,name:string,arguments:string,needs:array<string>,errors:array<string>>"
 _PARSED = f"conv_id long, turn long, role string, content string, calls array<{_CALL}>, answers string"
@@ -134,7 +132,8 @@ def linked(messages: DataFrame, schemas: dict[str, dict] | None = None, **column
 
     (at, depth, turn) orders a conversation topologically: a message stands at its own turn, or later,
     right behind the last of what it needs (a result its call, a call the results that its arguments
-    refer to); messages that wait for one another in a circle keep their own turns. A call's first
+    refer to); messages that wait for one another in a circle keep their own turns. Chains may have any
+    length; each link that moves is a round. A call's first
     result by turn is the one that counts, and an id's first call; results of no call are orphans
     (answered_by is null). A conversation is never gathered in one task: links are joins by
     conversation and id, and lines are made message by message. Null texts and roles count as empty
@@ -181,21 +180,48 @@ def linked(messages: DataFrame, schemas: dict[str, dict] | None = None, **column
 
 def _ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, turn, at, depth) of the messages that need others. Keys grow along the edges until
-    none does any more; messages on circles, and behind them, keep their own turns."""
-    later = edges.where("other > turn")
-    if later.isEmpty():
+    none does any more, however long a chain is. A message is settled once all that it needs are; when
+    no more settle while keys still grow, the rest are on circles or behind them. Messages on circles,
+    and between two, then keep their own turns, and those behind follow them."""
+    if edges.where("other > turn").isEmpty():
         return edges.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("depth")).distinct()
-    keys = edges.select("conv_id", "turn").union(edges.select("conv_id", F.col("other").alias("turn"))).distinct()
-    keys = checkpointed(keys.select("conv_id", "turn", F.col("turn").alias("at"), F.lit(0).alias("depth")))
-    for _ in range(MOST_ROUNDS):
-        need = keys.select("conv_id", F.col("turn").alias("other"), F.struct("at", (F.col("depth") + 1).alias("depth")).alias("k"))
-        least = edges.join(need, ["conv_id", "other"]).groupBy("conv_id", "turn").agg(F.max("k").alias("k"))
-        grown = keys.join(least, ["conv_id", "turn"], "left").select(
-            "conv_id", "turn", F.greatest(F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth")), F.coalesce("k", F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth")))).alias("k"), F.struct("at", "depth").alias("was")
+    grown, open_ = _grown(edges)
+    if open_ is None:
+        return grown
+    return _grown(edges.join(_circles(edges, open_), ["conv_id", "turn"], "left_anti"), edges)[0]
+
+
+def _grown(edges: DataFrame, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(conv_id, turn, at, depth) of the ends of edges, and None; or where circles are, what of it is not
+    settled as (conv_id, turn). ends are the edges whose ends get keys, if not the same."""
+    ends = edges if ends is None else ends
+    edges = checkpointed(edges)
+    keys = ends.select("conv_id", "turn").union(ends.select("conv_id", F.col("other").alias("turn"))).distinct()
+    own = F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth"))
+    keys = checkpointed(keys.select("conv_id", "turn", own.alias("k"), F.lit(False).alias("settled")))
+    settled = 0
+    while True:
+        need = keys.select("conv_id", F.col("turn").alias("other"), F.struct("k.at", (F.col("k.depth") + 1).alias("depth")).alias("k"), "settled")
+        least = edges.join(need, ["conv_id", "other"]).groupBy("conv_id", "turn").agg(F.max("k").alias("most"), F.min("settled").alias("told"))
+        keys = checkpointed(
+            keys.join(least, ["conv_id", "turn"], "left").select(
+                "conv_id", "turn", F.greatest(own, F.coalesce("most", own)).alias("k"), F.col("k").alias("was"), F.coalesce("told", F.lit(True)).alias("settled")
+            )
         )
-        grown = checkpointed(grown)
-        moving = grown.where("k <> was")
-        if moving.isEmpty():
-            return grown.select("conv_id", "turn", "k.*")
-        keys = grown.select("conv_id", "turn", "k.*")
-    return grown.select("conv_id", "turn", F.when(F.col("k") == F.col("was"), F.col("k.at")).otherwise(F.col("turn")).alias("at"), F.when(F.col("k") == F.col("was"), F.col("k.depth")).otherwise(0).alias("depth"))
+        now = keys.agg(F.count_if("settled").alias("settled"), F.count_if(F.col("k") != F.col("was")).alias("moving")).first()
+        if not now.moving:
+            return keys.select("conv_id", "turn", "k.*"), None
+        if now.settled == settled:
+            return keys, keys.where("not settled").select("conv_id", "turn")
+        settled = now.settled
+
+
+def _circles(edges: DataFrame, among: DataFrame) -> DataFrame:
+    """(conv_id, turn) of the messages on circles, or between two, of those that are not settled: what
+    stays when those that none of the rest needs are taken away until there are none."""
+    rest, n = checkpointed(among), -1
+    while (left := rest.count()) != n:
+        n = left
+        needed = edges.join(rest, ["conv_id", "turn"], "left_semi").select("conv_id", F.col("other").alias("turn")).distinct()
+        rest = checkpointed(rest.join(needed, ["conv_id", "turn"], "left_semi"))
+    return rest

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, jaccard_join, pfair, secrets, site_quality
 from quarry.llm.queries import quality_labels
-from quarry.session import shared_dir, table
+from quarry.session import checkpointed, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document of the least id; of rows that repeat an id and
-    its text, one."""
+    """Keeps of each class of near duplicates a document of the least id; of rows that repeat an id and
+    its text, one. Rows without an id stay."""
     found = jaccard_join.near_duplicates(docs)
-    spare = found.where("component <> id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(spare, "doc_id", "left_anti").select(docs.columns)
-    again = found.groupBy(F.col("id").alias("doc_id")).count().where("count > 1 and doc_id is not null").select("doc_id")
-    if again.isEmpty():
+    told = checkpointed(found.groupBy("id", "text_hash").agg(F.max(F.col("component") != F.col("id")).alias("spare"), F.count("*").alias("n")).where("id is not null"))
+    text_hash = F.xxhash64(docs["text"])
+
+    def rows(held: str) -> tuple[DataFrame, list]:
+        own = told.where(held).select("id", F.col("text_hash").alias("_hash"))
+        return own, [docs["doc_id"] == own["id"], text_hash == own["_hash"]]
+
+    kept = docs.join(*rows("spare or n > 1"), "left_anti")
+    if told.where("n > 1 and not spare").isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    return kept.unionByName(docs.join(*rows("n > 1 and not spare"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quarry-"))
         current = context._jsc.sc().getCheckpointDir()
     return named.rstrip("/") if named else os.path.dirname(current.get().rstrip("/"))
@@ -66,6 +68,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """The frame in as many tasks as so many rows ask for, `each` to a task, and one for each core at least;
+    never in more than it has. Tasks of few rows cost more than their work."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def small(df: DataFrame, most: int) -> bool:
     """True if the frame has no more rows than `most`; reads no further than that."""
     return df.limit(most + 1).count() <= most

@@ -1,4 +1,4 @@
-"""Filters of fixed size that keep rows out of a shuffle; an exact join follows."""
+"""Filters of bounded size that keep rows out of a shuffle; an exact join follows."""
 
 from __future__ import annotations
 
@@ -9,13 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of a filter for each id, and at least and at most. Beyond that (8 MB) more rows pass in vain.
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 26
+
+
+def filter_size(ids: int) -> int:
+    """Bits for a filter of so many ids."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS_EACH * ids).bit_length()))
+
 
 def id_bits(ids: DataFrame, column: str, bits: int) -> bytes:
-    """A bit for each hash value that occurs: at most `bits` numbers come to the driver."""
-    found = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).cast("int").alias("bit")).distinct().toArrow()
-    on = np.zeros(bits, np.uint8)
-    on[found["bit"].to_numpy()] = 1
-    return np.packbits(on).tobytes()
+    """A bit for each hash value that occurs, gathered as words of 64 bits: at most bits / 64 rows come to
+    the driver."""
+    placed = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("place"))
+    marked = placed.select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    found = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return held.astype("<i8").tobytes()
 
 
 def in_bits(docs: DataFrame, column: str, bits: bytes) -> DataFrame:
@@ -25,8 +36,9 @@ def in_bits(docs: DataFrame, column: str, bits: bytes) -> DataFrame:
     hashed = docs.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(len(bits) * 8)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        on = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            yield batch.select(names).filter(pa.array(on[batch.column("_bit").to_numpy()]))
+            bit = batch.column("_bit").to_numpy()
+            yield batch.select(names).filter(pa.array(on[bit >> 3] >> (bit & 7) & 1 == 1))
 
     return hashed.mapInArrow(run, schema)

@@ -30,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._filters import filter_size, id_bits, in_bits
 from quarry.llm._words import SPACED, mix, shingles, slices, words
 from quarry.llm.components import components
-from quarry.session import checkpointed
+from quarry.session import checkpointed, sized
 
-#: Ratio of a band's ends; bits of a sketch's block; share of blocks beyond d + 1.
-RATIO, BLOCK_BITS, SPARE = 1.6, 16, 1.3
+#: Ratio of a band's ends; share of blocks beyond d + 1.
+RATIO, SPARE = 1.6, 1.3
+#: Fewest blocks of a sketch for a bound of 1, 2 and more: a set of few shingles then fills more blocks than
+#: it shows, so that (but for a few in a hundred thousand) none that it shows is empty and alike for all.
+LEAST_BLOCKS = (0, 128, 24, 16)
 #: Keys gathered before they are dealt out; keys of a bucket; members of a key given as all pairs.
 FLUSH, BUCKET, FEW = 400_000, 1_000_000, 8
 #: Texts that share a key among those gathered before the key is dealt as its least text alone.
@@ -43,64 +47,71 @@ CROWD = 64
 #: Fewest buckets. A pair comes up once for each bucket in which it shares a key, so with few buckets
 #: the pairs made would depend on their number rather than on the input.
 LEAST_BUCKETS = 128
-#: Bits of the filter of candidate ids (at most so many numbers reach the driver).
-FILTER_BITS = 1 << 20
+#: Pairs, sets and members of a task, where there are enough for all cores.
+EACH = 20_000
 
 
 class Levels:
-    """Bands of set sizes, and the bound d of each level, for similarity num/den."""
+    """Bands of set sizes, and the bounds of each level, for similarity num/den."""
 
     def __init__(self, num: int, den: int, most: int = 1 << 40):
         self.num, self.den = num, den
         ends = [1]
         while ends[-1] <= most:
-            ends.append(max(ends[-1] + 1, math.ceil(ends[-1] * RATIO)))
+            ends.append(max(ends[-1] + 1, math.ceil(ends[-1] * max(RATIO, den / num))))
         self.ends = np.array(ends, dtype=np.int64)
 
     def differ(self, a, b):
         """The largest symmetric difference of linked sets of sizes a and b."""
         return (np.asarray(a) + b) * (self.den - self.num) // (self.den + self.num)
 
-    def of(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, level number, d) for own bands, borders above and borders below."""
+    def of(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, level number, d, own d) for own bands, borders above and borders below: d bounds all
+        pairs of a level, own d those of a set of this size."""
         band = np.searchsorted(self.ends, n, side="right") - 1
         low, high = self.ends[band], self.ends[band + 1]
         rows = np.arange(len(n))
-        up = n * self.den // self.num >= high
+        most = n * self.den // self.num  # the largest partner
+        up = most >= high
         down = (n * self.num + self.den - 1) // self.den <= low - 1
 
         def border(end):
             return self.differ(end - 1, (end - 1) * self.den // self.num)
 
         return [
-            (rows, 2 * band, self.differ(high - 1, high - 1)),
-            (rows[up], 2 * band[up] + 1, border(high[up])),
-            (rows[down], 2 * band[down] - 1, border(low[down])),
+            (rows, 2 * band, self.differ(high - 1, high - 1), self.differ(n, np.minimum(most, high - 1))),
+            (rows[up], 2 * band[up] + 1, border(high[up]), self.differ(n, most)[up]),
+            (rows[down], 2 * band[down] - 1, border(low[down]), self.differ(n, low - 1)[down]),
         ]
 
 
+def _blocks(d: np.ndarray) -> np.ndarray:
+    """The number of blocks of the sketches of a level."""
+    return np.maximum(np.ceil(SPARE * d).astype(np.int64) + 2, np.array(LEAST_BLOCKS)[np.minimum(d, len(LEAST_BLOCKS) - 1)])
+
+
 def _keys(text: np.ndarray, value: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of all blocks that the texts' sets have to show."""
     if not len(text):
         return text[:0], value[:0]
     ids, first, n = np.unique(text, return_index=True, return_counts=True)
     out_text, out_key = [], []
-    for rows, level, d in levels.of(n):
-        some = d > 0  # else only equal sets link
-        rows, level, d = rows[some], level[some], d[some]
+    for rows, level, d, own in levels.of(n):
+        some = own > 0  # else only equal sets link
+        rows, level, d, own = rows[some], level[some], d[some], own[some]
         if not len(rows):
             continue
-        blocks = np.ceil(SPARE * d).astype(np.int64) + 2
+        blocks = _blocks(d)
         base = np.concatenate([[0], np.cumsum(blocks)])
         size = n[rows]
         owner = np.repeat(np.arange(len(rows)), size)
         member = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[rows], size)
-        width = blocks[owner].astype(np.uint64) << np.uint64(BLOCK_BITS)
         with np.errstate(over="ignore"):
-            bit = (value[member] >> np.uint64(8)) % width
-            cell = base[owner] + (bit >> np.uint64(BLOCK_BITS)).astype(np.int64)
+            # a shingle's block by the upper half of its hash; its bit there is the whole hash
+            block = (value[member] >> np.uint64(32)) * blocks[owner].astype(np.uint64) >> np.uint64(32)
+            cell = base[owner] + block.astype(np.int64)
             held = np.zeros(base[-1], np.uint64)
-            np.bitwise_xor.at(held, cell, mix(bit))
+            np.bitwise_xor.at(held, cell, mix(value[member]))
             count = np.bincount(cell, minlength=base[-1])
             of = np.repeat(np.arange(len(rows)), blocks)
             place = (np.arange(base[-1]) - base[of]).astype(np.uint64)
@@ -110,7 +121,7 @@ def _keys(text: np.ndarray, value: np.ndarray, levels: Levels) -> tuple[np.ndarr
             (255 - np.minimum(count, 255)).astype(np.uint64) << np.uint64(32)
         )
         order = np.argsort(rank | (key >> np.uint64(32)))
-        shown = np.arange(base[-1]) - base[of[order]] <= d[of[order]]
+        shown = np.arange(base[-1]) - base[of[order]] <= own[of[order]]
         out_text.append(ids[rows[of[order][shown]]])
         out_key.append(key[order][shown])
     if not out_text:
@@ -135,24 +146,37 @@ def _sketch(value: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _nodes(size: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """What stands for a set in joins: a hash of its size and members; -1 for an empty set."""
+    with np.errstate(over="ignore"):
+        found = (mix(mark + size.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    return np.where(size > 0, found, -1)
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, n_shingles, mark, sketch): size, hash and parity sketch of each row's set; null and
-    wordless texts have size and mark 0."""
+    """(id, text_hash, n_shingles, node, sketch): of each row, Spark's hash of its text, size, hash and
+    parity sketch of its set; the sketch is null where the task has shown that of an equal set. Null and
+    wordless texts have size 0 and node -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for lo, hi, buf, offs in slices(batch.column(1)):
+            for lo, hi, buf, offs in slices(batch.column(2)):
                 text, value = shingles(words(buf, offs, SPACED), k)
                 size, mark = _set_marks(text, value, hi - lo)
+                node = _nodes(size, mark)
                 cuts = np.searchsorted(text, np.arange(hi - lo + 1))
-                made = [_sketch(value[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+                made = []
+                for x, y, own in zip(cuts, cuts[1:], node.tolist(), strict=False):
+                    made.append(None if own in seen else _sketch(value[x:y]))
+                    seen.add(own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(mark.view(np.int64)), pa.array(made, pa.binary())],
-                    names=["id", "n_shingles", "mark", "sketch"],
+                    [*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(size, pa.int64()), pa.array(node), pa.array(made, pa.binary())],
+                    names=["id", "text_hash", "n_shingles", "node", "sketch"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, mark long, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, sketch binary")
 
 
 #: What a packed row holds: (text, key); the same for the least text of a key that many texts of a task
@@ -181,7 +205,7 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
     so a bucket does not grow with a hot group but with the number of tasks that hold part of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
 
@@ -205,20 +229,20 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, k: int, levels: Levels, b
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "ids", "keys"])
 
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
             known = np.asarray(batch.column(0).is_valid())
             for lo, hi, buf, offs in slices(batch.column(1)):
                 text, value = shingles(words(buf, offs, SPACED), k)
                 size, mark = _set_marks(text, value, hi - lo)
+                node = _nodes(size, mark)
                 fresh = np.zeros(hi - lo, bool)
                 for i in np.flatnonzero((size > 0) & known[lo:hi]):
-                    if (it := (int(size[i]), int(mark[i]))) not in seen:
+                    if (it := int(node[i])) not in seen:
                         seen.add(it)
                         fresh[i] = True
                 use = fresh[text]
                 text, key = _keys(text[use], value[use], levels)
                 if len(text):
-                    held.append((own[lo:hi][text].astype(np.int64), key))
+                    held.append((node[text], key))
                     total += len(text)
                 if total >= FLUSH:
                     yield flush()
@@ -270,36 +294,48 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.repeat([PAIR, AROUND, UPPER], [len(x) for x in told]), pa.int8()), "a": both[:, 0], "b": both[:, 1]})
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (id, text) whose id is in ids: first by a bit filter of fixed size, which
-    keeps most other texts out of the shuffle, then exactly."""
-    from quarry.llm._filters import id_bits, in_bits
+def _texts(docs: DataFrame, wanted: DataFrame, sets: int, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, text) of the sets that wanted (id, node) names, one row for each. A bit filter over ids, of a
+    size that grows with the number of sets up to MOST_BITS, keeps most other texts from being read
+    into shingles and shuffled; the join is exact."""
+    bits = id_bits(wanted, "id", filter_size(sets))
+    rows = in_bits(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), "id", bits)
 
-    bits = id_bits(ids, "id", FILTER_BITS)
-    return in_bits(docs, "id", bits).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for lo, hi, buf, offs in slices(batch.column(1)):
+                node = _nodes(*_set_marks(*shingles(words(buf, offs, SPACED), k), hi - lo))
+                fresh = []
+                for i, own in enumerate(node.tolist()):
+                    if own >= 0 and own not in seen:
+                        seen.add(own)
+                        fresh.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(node[fresh]), batch.column(1).slice(lo, hi - lo).take(pa.array(fresh, pa.int64()))], names=["node", "text"])
 
+    return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b), those whose sets of k-word shingles have Jaccard similarity >= num/den; with
-    columns a, b, shared and union_size. texts: (id, text), one row for each id."""
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Of pairs (x, y, a, b) of nodes and ids, those whose sets of k-word shingles have Jaccard similarity
+    >= num/den, with shared and union_size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [[], []]
             for side in (0, 1):
-                for lo, hi, buf, offs in slices(batch.column(2 + side)):
+                for lo, hi, buf, offs in slices(batch.column(4 + side)):
                     text, value = shingles(words(buf, offs, SPACED), k)
                     cuts = np.searchsorted(text, np.arange(hi - lo + 1))
                     got[side] += [value[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*got, strict=True)], np.int64)
             union = np.array([len(x) + len(y) for x, y in zip(*got, strict=True)], np.int64) - both
             good = pa.array((both * den >= union * num) & (union > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(union)], names=["a", "b", "shared", "union_size"]).filter(good)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both), pa.array(union)], names=["x", "y", "a", "b", "shared", "union_size"]).filter(good)
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long, shared long, union_size long")
+    one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "xy")
+    joined = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b", "text_x", "text_y")
+    return joined.mapInArrow(run, "x long, y long, a long, b long, shared long, union_size long")
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> int:
@@ -309,41 +345,40 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _close(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches don't rule a link out."""
+def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose sizes and sketches don't rule a link out, with the ids a and b."""
     levels = Levels(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             good = np.minimum(n, m) * den >= np.maximum(n, m) * num
             most = levels.differ(n, m)
             for i in np.flatnonzero(good):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in (6, 7))
                 good[i] = _apart(x, y) <= most[i]
-            yield batch.select([0, 1]).filter(pa.array(good))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good))
 
-    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(run, "a long, b long")
+    one, two = (sets.select(F.col("node").alias(c), F.col("rep").alias(i), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c, i in ("xa", "yb"))
+    joined = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b", "nx", "ny", "sx", "sy")
+    return joined.mapInArrow(run, "x long, y long, a long, b long")
 
 
-def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: int = 8192) -> DataFrame:
-    """Pairs around a star that are in different components and whose sketches don't rule a link out.
-    members: (run, id, component), run being the star. Its members are cut into parts of about `side`
-    and each two parts meet in a group of their own, so no task holds them all."""
+def _across(members: DataFrame, sets: DataFrame, num: int, den: int, every: bool, side: int = 8192) -> DataFrame:
+    """Pairs (x, y, a, b) around a star whose sketches don't rule a link out and, unless `every`, which are
+    in different components. members: (run, node, component), run being the star. Its members are cut
+    into parts of about `side` and each two parts meet in a group of their own, so no task holds them
+    all; a member is dealt once for each part, so rows grow with the square of a run beyond `side`."""
     levels = Levels(num, den)
-    spread = members.groupBy("run").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"))
-    spread = spread.where("x <> y").select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
-    own = members.join(spread, "run").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    marked = own.join(sketches, "id")
-    dealt = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "n", "sketch"
+    spread = members.groupBy("run").agg(F.count("*").alias("m"), F.min("component").alias("u"), F.max("component").alias("v"))
+    spread = (spread.where("m > 1") if every else spread.where("u <> v")).select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
+    own = members.join(spread, "run").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "rep", "component", "n", "sketch"
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        part, ids, comp, n = (table[c].to_numpy() for c in ("part", "id", "component", "n"))
+        part, ids, rep, comp, n = (table[c].to_numpy() for c in ("part", "node", "rep", "component", "n"))
         marks = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         size = np.array([len(x) for x in marks])
@@ -355,7 +390,7 @@ def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: i
             held = np.stack([marks[y] for y in own])
             for bits in {min(s, t) for t in np.unique(size)}:
                 folded[s, bits] = np.bitwise_xor.reduce(held.reshape(len(own), -1, bits), axis=1)
-        found = []
+        left, found = [], []
         for x in np.flatnonzero(part == i):
             for s, own in kinds.items():
                 lo, hi = np.searchsorted(n[own], [-(-n[x] * num // den), n[x] * den // num + 1])
@@ -364,74 +399,90 @@ def _across(members: DataFrame, sketches: DataFrame, num: int, den: int, side: i
                 some, bits = own[lo:hi], min(s, size[x])
                 mine = np.bitwise_xor.reduce(marks[x].reshape(-1, bits), axis=0)
                 apart = np.bitwise_count(folded[s, bits][lo:hi] ^ mine).sum(axis=1)
-                ok = (apart <= levels.differ(n[x], n[some])) & (comp[some] != comp[x])
+                ok = apart <= levels.differ(n[x], n[some])
+                if not every:
+                    ok &= comp[some] != comp[x]
                 if i == j:
                     ok &= ids[some] > ids[x]
-                found += [(ids[x], y) for y in ids[some[ok]]]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs.min(axis=1, initial=1 << 62), "b": pairs.max(axis=1, initial=-(1 << 62))})
+                left.append(np.full(int(ok.sum()), x))
+                found.append(some[ok])
+        one, two = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, found))
+        one, two = np.where(ids[one] < ids[two], one, two), np.where(ids[one] < ids[two], two, one)
+        return pa.table({"x": ids[one], "y": ids[two], "a": rep[one], "b": rep[two]})
+
+    return dealt.groupBy("run", "i", "j").applyInArrow(compare, "x long, y long, a long, b long")
+
 
-    return dealt.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): rows is shingle_sets without sketches; sets has one row for each different set of rows
+    with an id: (node, rep, n, sketch), rep being the least id."""
+    made = checkpointed(shingle_sets(docs, id_col, text_col, k))
+    sets = made.where("n_shingles > 0").groupBy("node").agg(
+        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+    )
+    return made.drop("sketch"), checkpointed(sized(sets.where("rep is not null"), made.count(), EACH))
+
+
+def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, every: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(links, joined): links (x, y, a, b, shared, union_size) of nodes x and y and their least ids, a row may
+    repeat; joined are the components of the first links' nodes, if links around stars have been
+    looked for after them."""
+    told = sets.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
+    buckets = max(LEAST_BUCKETS, min(1 << 20, int((told.n or 0) * 0.8 / BUCKET) + 1))
+    dealt = _deal(docs, id_col, text_col, k, Levels(num, den), buckets)
+    met = checkpointed(dealt.groupBy("part").applyInArrow(_meet, "kind byte, a long, b long"))
+    kinds = {r.kind: r["count"] for r in met.groupBy("kind").count().collect()}
+    pairs = met.where(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).repartition("x").distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        n = pairs.count()
+        wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id")))).alias("w")).select("w.id")
+        return checkpointed(sized(_verified(pairs, _texts(docs, wanted, told.m, id_col, text_col, k), k, num, den), n, EACH))
+
+    links = checked(checkpointed(sized(_close(pairs, sets, num, den), kinds.get(PAIR, 0), EACH)))
+    # texts around stars, where links to the star have not joined them already
+    if not kinds.get(AROUND):
+        return links, None
+    runs = met.where(F.col("kind") == AROUND).select(F.col("a").alias("run"), F.col("b").alias("node"))
+    if kinds.get(UPPER):
+        upper = met.where(F.col("kind") == UPPER).select(F.col("a").alias("top"), F.col("b").alias("run")).distinct()
+        runs = runs.union(runs.join(upper, "run").select("top", "node"))
+    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    members = runs.repartition("node").distinct().join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = checkpointed(sized(members, 2 * kinds[AROUND], EACH))
+    more = checkpointed(sized(_across(members, sets, num, den, every), kinds[AROUND], EACH).dropDuplicates(["x", "y"]))
+    return (links if more.isEmpty() else links.unionByName(checked(more))), joined
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> tuple[DataFrame, DataFrame]:
     """(rows, links) of a similarity join of docs with itself.
 
     rows: one for each row of docs: (id, n_shingles, rep), rep being the least id with an equal set,
-    null for an empty set. links: verified links between reps of different sets that join different
-    components, and all that share a key of few texts: (a, b, shared, union_size), a < b. Together
-    they connect exactly the texts that similarity connects.
+    null for an empty set. links: every verified link between two different sets, once, by their reps:
+    (a, b, shared, union_size), a < b; copies are not expanded into pairs.
 
-    Null ids keep their row, with a null rep; null or wordless texts have empty sets and no links;
-    a repeated id stands for all its rows. threshold is a ratio (num, den).
+    Null ids keep their row, with a null rep; null or wordless texts have empty sets and no links; rows
+    that repeat an id are compared by their own texts. threshold is a ratio (num, den).
     """
-    num, den = threshold
-    levels = Levels(num, den)
-    sets = checkpointed(shingle_sets(docs, id_col, text_col, k))
-    marks = sets.drop("sketch")
-    classes = marks.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "mark").agg(F.min("id").alias("rep"))
-    rows = checkpointed(marks.join(classes, ["n_shingles", "mark"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")))
-    total = rows.where("id = rep").agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, min(1 << 20, int(total * 0.8 / BUCKET) + 1))
-    dealt = _deal(docs, id_col, text_col, k, levels, buckets)
-    met = checkpointed(
-        dealt.groupBy("part").applyInArrow(_meet, "kind byte, a long, b long")
-    )
-    rep = rows.where("rep is not null").select("id", "rep").distinct()
-    first = rep.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
-    second = rep.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-    pairs = (
-        met.where(F.col("kind") == PAIR).select("a", "b").distinct()
-        .join(first, "a").join(second, "b")
-        .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        .where("a <> b").distinct()
-    )
-    sketches = sets.join(rows.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"])
-    pairs = checkpointed(_close(pairs, sketches, num, den))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = checkpointed(verified(pairs, _only(texts, needed), k, num, den))
-    # texts around stars, where links to the star have not joined them already
-    runs = met.where(F.col("kind") == AROUND).select(F.col("a").alias("run"), F.col("b").alias("id")).distinct()
-    if runs.isEmpty():
-        return rows, links
-    upper = met.where(F.col("kind") == UPPER).select(F.col("a").alias("top"), F.col("b").alias("run")).distinct()
-    runs = runs.union(runs.join(upper, "run").select("top", "id")).distinct()
-    runs = runs.join(rep, "id").select("run", F.col("rep").alias("id")).distinct()
-    joined = components(links)
-    members = runs.join(joined, "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
-    split = members.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    members = checkpointed(members.join(split.select("run"), "run", "left_semi"))
-    if members.isEmpty():
-        return rows, links
-    more = checkpointed(_across(members, sketches, num, den))
-    needed = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return rows, checkpointed(links.union(verified(more, _only(texts, needed), k, num, den)).distinct())
+    rows, sets = _sets(docs, id_col, text_col, k)
+    links, _ = _links(docs, sets, id_col, text_col, k, *threshold, every=True)
+    rows = rows.join(sets.select("node", "rep"), "node", "left")
+    links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "union_size")
+    return rows.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), checkpointed(links.distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
-    """(id, n_shingles, component) for every row of docs; component is the least id reachable by
-    links, the row's own id if it has none, and null for a null id."""
-    rows, links = jaccard_links(docs, id_col, text_col, k, threshold)
-    found = components(links).withColumnRenamed("id", "rep")
-    return rows.join(found, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component"))
+    """(id, text_hash, n_shingles, component) for every row of docs; component is the least id reachable by
+    links, the row's own id if it has none, and null for a null id; text_hash is xxhash64 of the text.
+
+    Links between texts that links join already are not looked for: those of jaccard_links connect
+    the same. What holds for its rows holds here; a row without a set is in a class with none."""
+    rows, sets = _sets(docs, id_col, text_col, k)
+    links, joined = _links(docs, sets, id_col, text_col, k, *threshold, every=False)
+    links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(links) if joined is None else components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+    of_set = sets.select("node", "rep").join(found.withColumnRenamed("id", "node"), "node")
+    least = of_set.groupBy("component").agg(F.min("rep").alias("least"))
+    of_set = sets.select("node", "rep").join(of_set.join(least, "component").select("node", "least"), "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "rep", "id"))
+    return rows.join(of_set, "node", "left").select("id", "text_hash", "n_shingles", component.alias("component"))

@@ -89,3 +89,57 @@ def test_components(spark, links):
         up[a] = up[b] = min(up[a], up[b])
     got = {r.id: r.component for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: v for k, v in up.items() if any(a != b and k in (a, b) for a, b in links)}
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_join_gives_every_link(spark, seed):
+    """Every linked pair of different sets, by the least ids of equal ones, with its counts."""
+    docs = helpers.family_docs(seed)
+    docs += [(1000 + i, " ".join([f"w{j}" for j in range(60)] + [f"v{i}" for _ in range(1)])) for i in range(25)]  # a key of many linked texts
+    rows, links = J.jaccard_links(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    sets = {}
+    for i, t in sorted(docs):
+        sets.setdefault(frozenset(helpers.shingle_set(t)), i)
+    listed = sorted((i, s) for s, i in sets.items() if s)
+    want = set()
+    for x, (i, s) in enumerate(listed):
+        for j, t in listed[x + 1 :]:
+            if 4 * len(s & t) >= 3 * len(s | t):
+                want.add((i, j, len(s & t), len(s | t)))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    reps = {r.id: r.rep for r in rows.collect()}
+    assert reps == {i: sets[s] if (s := frozenset(helpers.shingle_set(t))) else None for i, t in docs}
+
+
+@pytest.mark.parametrize("words", [7, 11, 13, 15, 24, 44])
+def test_unlike_short_texts_share_few_keys(words):
+    """20,000 unlike sets: no key is one that many show, as an empty block's would be."""
+    n = words - 4
+    value = np.random.default_rng(words).integers(0, 1 << 64, 20_000 * n, dtype=np.uint64)
+    _, key = J._keys(np.repeat(np.arange(20_000), n), value, J.Levels(3, 4))
+    _, count = np.unique(key, return_counts=True)
+    assert count.max() <= J.FEW
+
+
+@pytest.mark.parametrize("gather", [3, 40, 2_000_000])
+def test_components_of_random_links(spark, monkeypatch, gather):
+    """Hubs, chains and clusters over many tasks, with forests cut anywhere."""
+    monkeypatch.setattr(C, "GATHER", gather)
+    rng = random.Random(gather)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(90)] + [(2000, 2001 + i) for i in range(50)]
+    links += [(3000 + i, 3000 + rng.randrange(60)) for i in range(60)]
+    rng.shuffle(links)
+    up = {x: x for p in links for x in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    got = [tuple(r) for r in C.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()]
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert sorted(got) == sorted((x, top(x)) for x in linked)

@@ -42,3 +42,11 @@ def test_repeated_rows_stay_once(spark, sf_dir):
     docs = spark.createDataFrame(helpers.ODD, "doc_id long, text string, lang string, source string")
     got = sorted((r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()), key=lambda i: (i is not None, i))
     assert got == [None, 1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf_dir):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (7, text + " more"), (7, "quite another text of enough words to have shingles"), (None, text), (9, text), (9, text), (11, "some other words that stay as they are"), (11, "some other words that stay as they are")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[2], rows[3], rows[6]], key=repr)

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -288,58 +289,103 @@ def test_native_plans_hold_no_python(spark, forest):
 # mixing
 
 
-def lag(order, weights):
-    """The largest deviation from the ideal shares, over all prefixes."""
-    got, worst = dict.fromkeys(weights, 0), 0.0
-    for t, s in enumerate(order, 1):
-        got[s] += 1
-        worst = max(worst, *(abs(got[k] - w * t) for k, w in weights.items()))
-    return worst
+def flowed(blocks, weights, slots):
+    """The blocks of each source that an ideal mix has passed after so many slots, as fractions."""
+    left = {i: Fraction(b) for i, b in enumerate(blocks)}
+    rest = Fraction(slots)
+    while rest > 0 and any(left.values()):
+        live = {i: Fraction(weights[i]) for i in left if left[i]}
+        total = sum(live.values())
+        step = min(rest, *(left[i] * total / w for i, w in live.items()))
+        for i, w in live.items():
+            left[i] -= step * w / total
+        rest -= step
+    return [b - left[i] for i, b in enumerate(blocks)]
+
+
+def scheduled(blocks, weights):
+    """A slot at a time: windows searched in the ideal mix, the earliest due of the released blocks taken."""
+    ideal = [flowed(blocks, weights, t) for t in range(sum(blocks) + 1)]
+    done, out = [0] * len(blocks), []
+    for t in range(sum(blocks)):
+        free = []
+        for i, b in enumerate(blocks):
+            # its next block is released if more than those done flow by the end of this slot
+            if done[i] < b and ideal[t + 1][i] > done[i]:
+                free.append((next(u for u, x in enumerate(ideal) if x[i] >= done[i] + 1), i))
+        out.append(min(free)[1])
+        done[out[-1]] += 1
+    return out
+
+
+MIXES = [
+    ([5], [1.0]), ([7, 7], [1.0, 1.0]), ([30, 10], [3.0, 1.0]), ([20, 20, 2, 9], [0.7, 0.1, 0.1, 0.1]), ([4, 4, 4, 30], [1 / 3, 1 / 3, 1 / 3, 5.0]),
+    ([1, 2, 3, 4, 5, 6, 7], [1e-6, 1e-3, 1.0, 1.0, 2.0, 7.0, 1e3]), ([12, 0 + 1, 12], [0.1, 0.2, 0.3]),
+]
+
 
+@pytest.mark.parametrize("blocks, weights", MIXES)
+def test_schedule_is_that_of_a_plain_simulation(blocks, weights):
+    assert M.schedule(blocks, weights).tolist() == scheduled(blocks, weights)
 
-@pytest.mark.parametrize("shares", [[1], [1, 1], [3, 1], [500, 300, 150, 49, 1], [7, 7, 7, 1, 1], list(range(1, 30))])
-def test_periods_are_pfair(shares):
-    order = M.period_of(shares)
-    assert [order.count(i) for i in range(len(shares))] == shares
-    assert lag(order * 3, {i: s / sum(shares) for i, s in enumerate(shares)}) < 1
 
+@pytest.mark.parametrize("n, spread, total", [(10_000, 6, 60_000), (500, 6, 30_000), (3, 0, 9_000), (40, 12, 20_000)])
+def test_every_source_is_within_a_block_of_its_target(n, spread, total):
+    """Against the ideal mix of the weights themselves, at every slot; one heavy source besides."""
+    rng = np.random.default_rng(n)
+    weights = 10.0 ** rng.uniform(-spread, 0, n)
+    weights[0] = weights.sum()
+    blocks = np.maximum(1, (rng.dirichlet(np.ones(n)) * total)).astype(int)
+    blocks[0] = total // 2
+    order = M.schedule(blocks.tolist(), weights.tolist())
+    assert np.array_equal(np.bincount(order, minlength=n), blocks)
+    # V: what each unit of weight has passed; time as a function of it bends where a source ends
+    ends = np.sort(blocks / weights)
+    rank = np.argsort(blocks / weights, kind="stable")
+    done, rate = np.concatenate([[0], np.cumsum(blocks[rank])])[:-1], np.cumsum(weights[rank][::-1])[::-1]
+    bends = done + rate * ends
+    for i in [0, *rng.choice(n, min(n, 60), replace=False)]:
+        own = np.flatnonzero(order == i)
+        k = np.arange(len(own))
+        for t, made in ((own, k), (own + 1, k + 1)):  # before and after each of its slots
+            level = np.interp(t, np.concatenate([[0], bends]), np.concatenate([[0], ends]))
+            assert np.abs(np.minimum(blocks[i], weights[i] * level) - made).max() < 1 + 1e-6
 
-def test_phases_use_every_block():
-    blocks, weights = {"a": 500, "b": 40, "c": 1, "d": 0}, {"a": 0.2, "b": 0.5, "c": 0.3, "d": 1}
-    laid = M.phases(blocks, weights, 100)
-    used = dict.fromkeys("abc", 0)
-    for phase in laid:
-        order = [phase["order"][t % len(phase["order"])] for t in range(phase["length"])]
-        assert phase["first"] == {k: used[k] for k in phase["first"]} and phase["start"] == sum(used.values())
-        for s in order:
-            used[s] += 1
-        live = {k: weights[k] for k in phase["first"]}
-        assert lag(order, {k: w / sum(live.values()) for k, w in live.items()}) < 1 + len(order) / 100
-    assert used == {"a": 500, "b": 40, "c": 1}
-    assert M.phases({}, {}) == []
+
+def test_schedule_of_nothing():
+    assert M.schedule([], []).tolist() == []
 
 
 def test_mix_is_the_schedule(spark, monkeypatch):
+    """Weights given, among them for the null source; and columns of the added names."""
     monkeypatch.setattr(M, "BUCKET", 50)
     rows = [(i, f"s{0 if i % 3 == 0 else i % 7}") for i in range(900)] + [(5000 + i, None) for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot_", F.lit(0)).repartition(7)
-    out = M.mixed(df, block=8, period=50).collect()
-    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
-    assert len({(r.slot, r.place) for r in out}) == len(out)
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({c: F.lit("own") for c in ("block", "Slot", "place", "key", "row", "rank")}).repartition(7)
+    names = [*(f"s{i}" for i in range(7)), None]
+    weights = {x: 0.5 + i for i, x in enumerate(names)}
+    out = [dict(zip((*df.columns, "block_", "slot_", "place_"), r, strict=True)) for r in M.mixed(df, block=8, weights=weights).collect()]
+    assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
+    assert {r["block"] for r in out} == {r["Slot"] for r in out} == {r["rank"] for r in out} == {"own"}
+    assert len({(r["slot_"], r["place_"]) for r in out}) == len(out)
     slots = {}
     for r in out:
-        assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+        assert slots.setdefault(r["slot_"], (r["source"], r["block_"])) == (r["source"], r["block_"])
     assert sorted(slots) == list(range(len(slots)))
-    size = {s: sum(r[1] == s for r in rows) for s in {r[1] for r in rows}}
-    names = sorted(size, key=lambda x: (x is None, x))
-    laid = M.phases({f"{i:06d}": -(-size[x] // 8) for i, x in enumerate(names)}, {f"{i:06d}": size[x] ** 0.5 for i, x in enumerate(names)}, 50)
-    want = [names[int(p["order"][t % len(p["order"])])] for p in laid for t in range(p["length"])]
-    assert [slots[t][0] for t in range(len(slots))] == want
+    size = {s: sum(r[1] == s for r in rows) for s in names}
+    want = scheduled([-(-size[x] // 8) for x in names], [weights[x] for x in names])
+    assert [slots[t][0] for t in range(len(slots))] == [names[i] for i in want]
     for s in names:
         own = [b for t, (x, b) in sorted(slots.items()) if x == s]
         assert own == list(range(len(own)))
 
 
+def test_many_rows_make_larger_blocks(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("source"))
+    out = M.mixed(df, block=2, slots=50).collect()
+    assert {max(r.place for r in out if r.source == s) for s in range(3)} == {19}
+    assert max(r.slot for r in out) == 50
+
+
 def test_mix_of_odd_rows(spark):
     out = M.mixed(odd(spark))
     assert out.count() == len(helpers.ODD) and out.columns[: len(odd(spark).columns)] == odd(spark).columns

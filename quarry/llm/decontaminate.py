@@ -8,9 +8,10 @@ Items fall into bands of length; a walk has as many steps as an item of its band
 repetition starts its walks at an anchor, the longest word near a place of its own in the item
 (forwards in the first half, backwards in the second), and samples the first step and a few others.
 A window of a text is a place whose word is an anchor of some item; if its sampled output equals the
-item's, the whole item is aligned with the text around it and the exact edit distance decides. The
-number of repetitions is the least whose share of found items, measured on items that bear the
-tolerated number of random edits, reaches the target recall.
+item's, the whole item is aligned with the text around it and the exact edit distance decides.
+Repetitions go on until the share of found items, measured on items that bear the tolerated number of
+random edits, reaches the target recall. Items that tolerate no edit, those of fewer than five words
+among them, are searched for exactly, by the hash of all their words.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from quarry.llm._words import PLAIN, mix, seeded, slices, words
 
-#: Least number of words of an item of each band (shorter items are not searched for).
+#: Least number of words of an item of each band (shorter items are searched for exactly).
 BANDS = (5, 8, 16, 32, 64, 128)
-#: Sampled steps, the first included; most repetitions; items of one pass over the texts.
-SAMPLED, MOST, BLOCK = 4, 48, 20_000
+#: Sampled steps, the first included; items of one pass over the texts; items of a band that recall is
+#: measured on; repetitions after which a recall that is still below its target is an error.
+SAMPLED, BLOCK, TRIES, GIVE_UP = 4, 20_000, 128, 1_024
 
 
 def _bits(word: np.ndarray, rep: int, step: int) -> np.ndarray:
@@ -64,11 +66,22 @@ class Index:
     """Keys of the items by (band, repetition)."""
 
     items: list[np.ndarray]
-    ids: np.ndarray
+    ids: pa.Array
     edits: np.ndarray
     anchors: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     reps: dict[int, int] = field(default_factory=dict)
+    recall: dict[int, float] = field(default_factory=dict)  # measured, by band
+    exact: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: keys, items
+
+
+def _whole(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n words."""
+    key = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j, factor in enumerate(seeded(n, 31)):
+            key += hashes[j : j + len(key)] * (factor | np.uint64(1))
+    return mix(key)
 
 
 def _way(rep: int) -> int:
@@ -84,19 +97,30 @@ def _anchor(lengths: np.ndarray, rep: int) -> int:
     return lo + int(np.argmax(lengths[lo:hi]))
 
 
-def build(ids: list[int], texts: list[str | None], tolerance: float, recall: float) -> Index:
+def build(ids: list[int | None], texts: list[str | None], tolerance: float, recall: float) -> Index:
     found = words(*_joined(texts), lexer=PLAIN)
     cuts, lengths = found.first, found.end - found.start
     items = [found.hash[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    index = Index(items, np.array(ids, np.int64), np.array([int(tolerance * len(x)) for x in items]))
+    index = Index(items, pa.array(ids, pa.int64()), np.array([int(tolerance * len(x)) for x in items], np.int64))
+    exact: dict[int, list[int]] = {}
+    for i, item in enumerate(items):
+        if len(item) and (not index.edits[i] or len(item) < BANDS[0]):
+            exact.setdefault(len(item), []).append(i)
+    for n, own in exact.items():
+        key = np.concatenate([_whole(items[i], n) for i in own])
+        order = np.argsort(key, kind="stable")
+        index.exact[n] = (key[order], np.array(own)[order])
     for band, least in enumerate(BANDS):
         most = BANDS[band + 1] if band + 1 < len(BANDS) else 1 << 40
-        own = [i for i, x in enumerate(items) if least <= len(x) < most]
+        own = [i for i, x in enumerate(items) if least <= len(x) < most and index.edits[i]]
         if not own:
             continue
-        tries = _edited([items[i] for i in own[:: max(1, len(own) // 64)]], tolerance, band)
-        hit = np.zeros(len(tries), bool)
-        for rep in range(MOST):
+        tries = _edited([items[i] for i in own[:: max(1, len(own) // TRIES)]], tolerance, band)
+        hit, rep = np.zeros(len(tries), bool), -1
+        while hit.mean() < recall or rep < 7:
+            rep += 1
+            if rep == GIVE_UP:
+                raise RuntimeError(f"recall {hit.mean():.3f} after {rep} repetitions, for items of {least} words or more")
             way, places = _way(rep), {i: _anchor(lengths[cuts[i] : cuts[i + 1]], rep) for i in own}
             at = np.array([cuts[i] + places[i] for i in own])
             first, last = cuts[own], cuts[np.array(own) + 1]
@@ -112,8 +136,7 @@ def build(ids: list[int], texts: list[str | None], tolerance: float, recall: flo
                         tried, _ = _walk(edited, np.zeros(len(spots), np.int64), np.full(len(spots), len(edited)), spots, rep, band, way)
                         own_key = key[[k for k, i in enumerate(own) if items[i] is source]]
                         hit[t] = bool(np.isin(tried, own_key).any())
-            if hit.mean() >= recall and rep >= 7:
-                break
+        index.recall[band] = float(hit.mean())
     return index
 
 
@@ -169,6 +192,14 @@ def search(index: Index, found, n: int) -> list[tuple[int, int, int, int]]:
     if not len(found.hash):
         return []
     text = found.text_of()
+    for n, (keys, items) in index.exact.items():
+        run = _whole(found.hash, n)
+        lo, hi = np.searchsorted(keys, run, "left"), np.searchsorted(keys, run, "right")
+        at = np.flatnonzero(hi > lo)
+        for k in at[text[at] == text[at + n - 1]].tolist():
+            t, spot = int(text[k]), k - int(found.first[text[k]])
+            for i in items[lo[k] : hi[k]].tolist():
+                got.setdefault((t, i), (0, spot))
     tried: set[tuple[int, int]] = set()
     for band, reps in index.reps.items():
         known = np.unique(np.concatenate([index.anchors[band, r] for r in range(reps)]))
@@ -205,6 +236,17 @@ def search(index: Index, found, n: int) -> list[tuple[int, int, int, int]]:
     return [(t, i, spot, edits) for (t, i), (edits, spot) in sorted(got.items())]
 
 
+def indices(items: DataFrame, item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = 0.99) -> Iterator[Index]:
+    """The items (the query set) in blocks of 20,000, each with its keys and measured recall by band. Null
+    texts are left out."""
+    listed = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    blocks = max(1, math.ceil(listed.count() / BLOCK))
+    for block in range(blocks):
+        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+        rows = sorted(part.collect(), key=lambda r: (r.i is None, r.i, r.t))
+        yield build([r.i for r in rows], [r.t for r in rows], tolerance, recall)
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.2, recall: float = 0.99,
@@ -213,18 +255,12 @@ def contained_items(
     word of the item, once, at the place of fewest edits (of ties the first found by word number).
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded. Null or empty texts
-    hold nothing; items of fewer than five words, and null ones, are not searched for; null ids are
-    kept. The items (the query set) are read in blocks of 20,000, one pass over the texts each, so
-    what a task holds is bounded however many there are; no row of docs is shuffled.
+    hold nothing; null and wordless items are in none; null ids are kept, and rows that repeat an id
+    each give their own. The items (the query set) are read in blocks of 20,000, one pass over the texts
+    each, so what a task holds is bounded however many there are; no row of docs is shuffled.
     """
-    spark = docs.sparkSession
-    listed = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    blocks = max(1, math.ceil(listed.count() / BLOCK))
-    out = None
-    for block in range(blocks):
-        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        rows = sorted(part.collect(), key=lambda r: (r.i is None, r.i, r.t))
-        index = build([-1 if r.i is None else r.i for r in rows], [r.t for r in rows], tolerance, recall)
+    spark, out = docs.sparkSession, None
+    for index in indices(items, item_id, item_text, tolerance, recall):
         shared = spark.sparkContext.broadcast(pickle.dumps(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -235,7 +271,7 @@ def contained_items(
                     if hits:
                         t, i, spot, edits = (np.array(x, np.int64) for x in zip(*hits, strict=True))
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(t + lo)), pa.array(index.ids[i]), pa.array(spot), pa.array(edits)],
+                            [batch.column(0).take(pa.array(t + lo)), index.ids.take(pa.array(i)), pa.array(spot), pa.array(edits)],
                             names=["id", "item_id", "first_word", "edits"],
                         )
 
@@ -245,7 +281,20 @@ def contained_items(
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that hold no item; their columns and order of columns stay."""
-    held = contained_items(docs, items, id_col, text_col, **how).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(held, id_col, "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose text holds no item; their columns and order of columns stay. Each row is judged
+    by its own text, in the pass that reads it, whatever its id."""
+    spark, names, schema = docs.sparkSession, docs.columns, docs.schema
+    for index in indices(items, **how):
+        shared = spark.sparkContext.broadcast(pickle.dumps(index))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = pickle.loads(shared.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for lo, hi, buf, offs in slices(batch.column(names.index(text_col))):
+                    clean[[lo + t for t, *_ in search(index, words(buf, offs, PLAIN), hi - lo)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -82,7 +82,7 @@ def test_items_are_found_and_nothing_else(spark):
 
 
 def test_odd_texts_hold_nothing(spark):
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "one two three four five six seven"), (4, "word " * 20)], "item_id long, text string")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "!?"), (None, "one two three four five six seven"), (4, "word " * 20)], "item_id long, text string")
     got = {(r.id, r.item_id) for r in D.contained_items(odd(spark), items).collect()}
     assert got == {(6, 4)}
     kept = D.decontaminated(odd(spark), items)
@@ -91,6 +91,34 @@ def test_odd_texts_hold_nothing(spark):
     assert D.contained_items(odd(spark), items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_exactly(spark):
+    items = spark.createDataFrame([(1, "Solo"), (2, "two words"), (3, "a three word"), (4, "now four of them"), (None, "no id here")], "item_id long, text string")
+    docs = [(1, "so lo"), (2, "a solo"), (3, "two"), (4, "words two words"), (5, "a three  WORD, now"), (6, "now four of"), (7, "x now four; of them"), (8, "two"), (9, "words"), (10, "no id here")]
+    got = {(r.id, r.item_id, r.first_word, r.edits) for r in D.contained_items(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), items).collect()}
+    assert got == {(2, 1, 1, 0), (4, 2, 1, 0), (5, 3, 0, 0), (7, 4, 1, 0), (10, None, 0, 0)}
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, "x " + item), (5, item + " y"), (5, "clean"), (None, "clean too"), (6, None)]
+    got = D.decontaminated(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[2], rows[3], rows[4]], key=repr)
+
+
+def test_recall_is_measured_and_reached():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(5, 80))) for _ in range(300)]
+    index = D.build(list(range(300)), texts, 0.2, 0.99)
+    assert set(index.recall) == set(index.reps) and min(index.recall.values()) >= 0.99
+
+
+def test_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr(D, "GIVE_UP", 9)
+    with pytest.raises(RuntimeError, match="recall"):
+        D.build([1], ["a b c d e f g h i j"], 0.9, 1.0)
+
+
 def test_items_come_in_blocks(spark, monkeypatch):
     docs, items, _ = contaminated(7, 12, 0.0)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

@@ -248,6 +248,103 @@ def test_sparse_sites_are_shrunk(spark):
     assert Q.site_rates(spark.createDataFrame([], "host string, path string, good int")).count() == 0
 
 
+def plain_quality(docs, labels, buckets):
+    """(evidence, site_odds) of each document from the definitions, a text at a time. docs: (id, text, path,
+    host); labels: {id: good}; buckets: {word: bucket}."""
+    spaces, marks = set(b" \t\n\x0b\x0c\r"), set(b".,;:'\"()-?")
+
+    def numbers(text):
+        raw, w = (text or "").encode(), [x.encode() for x in helpers.words(text)]
+        share = lambda f: sum(map(f, raw)) / max(1, len(raw))
+        of = lambda f: sum(map(f, w)) / max(1, len(w))
+        folded = [helpers.fold(x.decode()) for x in w]
+        other = lambda c: not (97 <= c < 123 or c >= 128 or 65 <= c < 91 or 48 <= c < 58 or c in spaces or c in marks)
+        distinct = len(set(folded)) / max(1, len(w))
+        repeats = sum(x == y for x, y in zip(folded, folded[1:], strict=False)) / max(1, len(w))
+        return [
+            share(lambda c: 97 <= c < 123 or c >= 128), share(lambda c: 65 <= c < 91), share(lambda c: 48 <= c < 58), share(lambda c: c in marks), share(other),
+            min(20, of(len)), of(lambda x: len(x) > 20), repeats, of(lambda x: len(x) == 1), distinct, np.log1p(len(w)), distinct * np.log1p(len(w)),
+        ], {buckets[x] for x in folded}
+
+    made = {i: numbers(t) for i, t, _, _ in docs}
+
+    def ratios(ids):
+        kinds = [[i for i in ids if labels[i] == k] for k in (1, 0)]
+        of = lambda b, k: np.log((sum(b in made[i][1] for i in kinds[k]) + 1) / (len(kinds[k]) + 2))
+        return {b: of(b, 0) - of(b, 1) for b in set(buckets.values())}
+
+    known = [i for i, *_ in docs if i in labels]
+    halves = [ratios([i for i in known if i % 2 != h]) for h in (0, 1)]
+    mean = lambda r, i: np.mean([r[b] for b in made[i][1]]) if made[i][1] else 0.0
+    x = np.array([[*made[i][0], mean(halves[i % 2], i)] for i in known])
+    y = np.array([labels[i] for i in known])
+    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z, w = np.column_stack([np.ones(len(x)), (x - centre) / scale]), np.zeros(14)
+    pull = np.array([1e-6] + [1.0] * 13)
+    for _ in range(200):  # damped Newton steps
+        p = 1 / (1 + np.exp(-z @ w))
+        w += 0.5 * np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(pull), z.T @ (y - p) - pull * w)
+    whole = ratios(known)
+    said = {i: float(w[0] + ((np.array([*made[i][0], mean(whole, i)]) - centre) / scale) @ w[1:]) for i in made}
+
+    def strength(level):
+        level = [(k, n) for k, n in level if n]
+        n, m = sum(n for _, n in level), len(level)
+        if not n:
+            return Q.STRENGTHS[1]
+        rate = sum(k for k, _ in level) / n
+        spread = sum(k * k / n for k, n in level) / n - rate**2 - rate * (1 - rate) * m / n
+        return max(Q.STRENGTHS[0], min(Q.STRENGTHS[1], rate * (1 - rate) / spread - 1)) if spread > 0 else Q.STRENGTHS[1]
+
+    count = lambda own: (sum(labels.get(i, 0) for i in own), sum(i in labels for i in own))
+    hosts, paths = {}, {}
+    for i, _, path, host in docs:
+        hosts.setdefault(host, []).append(i)
+        paths.setdefault((host, path), []).append(i)
+    k, n = count([i for i, *_ in docs])
+    overall = (k + 1) / (n + 2)
+    s, t = strength([count(v) for v in hosts.values()]), strength([count(v) for v in paths.values()])
+    logit = lambda p: np.log(p / (1 - p))
+    odds = {}
+    for i, _, path, host in docs:
+        (k, n), (a, b) = count(hosts[host]), count(paths[host, path])
+        odds[i] = logit((a + t * (k + s * overall) / (n + s)) / (b + t)) - logit(overall)
+    return said, odds
+
+
+def test_quality_is_what_its_definition_says(spark):
+    docs = [d[:4] for d in labelled(150)] + [(1000, None, "en", None), (1001, "", None, "s1"), (1002, "Alpha epsilon zeta, (Beta)!" * 3, "de", "s9")]
+    labels = {d[0]: d[4] for d in labelled(150) if d[0] % 3}
+    kinds = sorted({helpers.fold(x) for _, t, _, _ in docs for x in helpers.words(t)})
+    raw = " ".join(kinds).encode()
+    hashed = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash
+    said, odds = plain_quality(docs, labels, {x: int(h % np.uint64(Q.BUCKETS)) for x, h in zip(kinds, hashed, strict=True)})
+    df = spark.createDataFrame(docs, DOCS).withColumns({c: F.lit("own") for c in ("quality", "Evidence", "site_odds", "host", "path", "n")}).repartition(3)
+    got = Q.with_quality(df, spark.createDataFrame(list(labels.items()), "id long, good int"))
+    assert got.columns == [*df.columns, "evidence_", "site_odds_", "quality_"]
+    rows = [r.asDict() for r in got.collect()]
+    assert {(r["quality"], r["Evidence"], r["site_odds"]) for r in rows} == {("own",) * 3}
+    for r in rows:
+        i = r["doc_id"]
+        want = (said[i], odds[i], 1 / (1 + np.exp(-said[i] - odds[i])))
+        assert np.allclose((r["evidence_"], r["site_odds_"], r["quality_"]), want, atol=1e-6)
+    kept = Q.good_documents(df, spark.createDataFrame(list(labels.items()), "id long, good int"))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in said if said[i] + odds[i] >= 0)
+
+
+def test_words_tell_good_texts_from_bad(spark):
+    """Texts alike in all counts, told apart by their words."""
+    rng = random.Random(6)
+    bad, good = ["casino", "jackpot", "winner"], ["garden", "evening", "letter"]
+    docs = []
+    for i in range(600):
+        own = bad if i % 4 == 0 else good
+        docs.append((i, " ".join(rng.choice(own) if rng.random() < 0.3 else rng.choice(["house", "river", "stone", "music"]) for _ in range(40)), "en", "s0"))
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i, *_ in docs if i % 3 == 0], "id long, good int")
+    got = {r.doc_id: r.quality for r in Q.with_quality(spark.createDataFrame(docs, DOCS), labels).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 4 != 0) for i in got if i % 3]) > 0.97
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (8, 0), (6, None)], "id long, good int")
     got = Q.with_quality(odd(spark), labels)

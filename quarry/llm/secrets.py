@@ -14,6 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm._columns import free
+
 #: A whole run of token characters that holds a digit, and a value given to a name for secrets, of any
 #: length; possessive, so the search stays linear.
 TOKEN = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/=\-]{20,}+"
@@ -155,10 +157,12 @@ def with_findings(docs: DataFrame, trees: list, text_col: str = "text", path_col
     """docs with a column findings: one (value, start, times, assigned, score, is_secret) for each
     different candidate of the whole text, in order of its first place (1 for the first character);
     an empty array for null and empty texts. Every place of a value is judged by its own neighbours, and
-    the highest vote counts. path_col names the column of the text's path."""
+    the highest vote counts. path_col names the column of the text's path. A docs column named findings
+    stays, and the added one gets an underscore behind its name."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    given_, any_, placed_, starting_, described_, scored_, out = (free(x, docs.columns) for x in ("_given", "_any", "_placed", "_starting", "_described", "_scored", "findings"))
     given = F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1))
-    found = docs.withColumn("_given", given).withColumn("_any", F.array_distinct(F.concat("_given", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))))
+    found = docs.withColumn(given_, given).withColumn(any_, F.array_distinct(F.concat(given_, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))))
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col else F.lit("")
 
     def places(v: Column) -> Column:
@@ -170,7 +174,7 @@ def with_findings(docs: DataFrame, trees: list, text_col: str = "text", path_col
         return F.struct(
             v.alias("value"), F.position(v, text).alias("start"),
             ((F.length(text) - F.length(F.replace(text, v, F.lit("")))) / F.length(v)).cast("int").alias("times"),
-            F.array_contains("_given", v).alias("assigned"), places(v).alias("between"),
+            F.array_contains(given_, v).alias("assigned"), places(v).alias("between"),
         )
 
     def starting(x: Column) -> Column:
@@ -198,21 +202,22 @@ def with_findings(docs: DataFrame, trees: list, text_col: str = "text", path_col
     def decided(x: Column) -> Column:
         return F.struct(*[x[c].alias(c) for c in ("value", "start", "times", "assigned", "score")], (x["score"] > least).alias("is_secret"))
 
-    found = found.withColumn("_placed", F.transform("_any", placed)).withColumn("_starting", F.transform("_placed", starting))
-    found = found.withColumn("_described", F.transform("_starting", described))
-    found = found.withColumn("_scored", F.transform("_described", scored)).withColumn("findings", F.array_sort(F.transform("_scored", decided), lambda a, b: a["start"] - b["start"]))
-    return found.drop("_given", "_any", "_placed", "_starting", "_described", "_scored")
+    found = found.withColumn(placed_, F.transform(any_, placed)).withColumn(starting_, F.transform(placed_, starting))
+    found = found.withColumn(described_, F.transform(starting_, described))
+    found = found.withColumn(scored_, F.transform(described_, scored)).withColumn(out, F.array_sort(F.transform(scored_, decided), lambda a, b: a["start"] - b["start"]))
+    return found.drop(given_, any_, placed_, starting_, described_, scored_)
 
 
 def redacted(docs: DataFrame, trees: list, text_col: str = "text", path_col: str | None = "source", marker: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """docs with every secret replaced by the marker, wherever it stands in the text, longest first;
-    other columns, and texts without secrets, stay as they are. length_col, if given, gets the new
-    length in characters where the text changes."""
+    other columns, whatever their names, and texts without secrets, stay as they are. length_col, if
+    given, gets the new length in characters where the text changes."""
     found = with_findings(docs, trees, text_col, path_col)
-    values = F.transform(F.filter("findings", lambda x: x["is_secret"]), lambda x: x["value"])
-    found = found.withColumn("_values", F.array_sort(values, lambda a, b: F.length(b) - F.length(a)))
-    text = F.when(F.size("_values") > 0, F.aggregate("_values", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(marker)))).otherwise(F.col(text_col))
-    out = found.withColumn("_text", text)
+    held, new = free("_values", found.columns), free("_text", found.columns)
+    values = F.transform(F.filter(found.columns[-1], lambda x: x["is_secret"]), lambda x: x["value"])
+    found = found.withColumn(held, F.array_sort(values, lambda a, b: F.length(b) - F.length(a)))
+    text = F.when(F.size(held) > 0, F.aggregate(held, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(marker)))).otherwise(F.col(text_col))
+    out = found.withColumn(new, text)
     if length_col:
-        out = out.withColumn(length_col, F.when(F.size("_values") > 0, F.length("_text")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.withColumn(text_col, F.col("_text")).select(docs.columns)
+        out = out.withColumn(length_col, F.when(F.size(held) > 0, F.length(new)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.withColumn(text_col, F.col(new)).select(docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._filters import filter_size, id_bits, in_bits
 from quarry.llm._words import SPACED, mix, shingles, slices, words
-from quarry.llm.components import components
+from quarry.llm.components import components, forest
 from quarry.session import checkpointed, sized
 
 #: Ratio of a band's ends; share of blocks beyond d + 1.
@@ -139,9 +139,9 @@ def _set_marks(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _sketch(value: np.ndarray) -> bytes:
-    """A parity sketch of a set: a power of two of bits, at least as many as members, so that a
-    longer sketch folds to a shorter one."""
-    bits = 64 << max(0, int(len(value) - 1).bit_length() - 6)
+    """A parity sketch of a set: a power of two of bits, at least four for each member, so that a longer
+    sketch folds to a shorter one and few members hide one another."""
+    bits = 64 << max(0, int(4 * len(value) - 1).bit_length() - 6)
     odd = np.bincount((value % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -364,14 +364,38 @@ def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.mapInArrow(run, "x long, y long, a long, b long")
 
 
-def _across(members: DataFrame, sets: DataFrame, num: int, den: int, every: bool, side: int = 8192) -> DataFrame:
-    """Pairs (x, y, a, b) around a star whose sketches don't rule a link out and, unless `every`, which are
-    in different components. members: (run, node, component), run being the star. Its members are cut
-    into parts of about `side` and each two parts meet in a group of their own, so no task holds them
-    all; a member is dealt once for each part, so rows grow with the square of a run beyond `side`."""
+def _spanning(one: np.ndarray, two: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which of the pairs (places one and two, of components comp) make a forest that connects all that the
+    pairs connect, by the least distances; of ties the first."""
+    order = np.argsort(apart, kind="stable")
+    x, y = comp[one[order]], comp[two[order]]
+    at, taken = np.arange(len(order)), []
+    while len(at):
+        # each component's nearest pair; then the components that these join are one
+        _, first = np.unique(np.stack([x, y], 1), return_index=True)
+        chosen = np.unique(first // 2)
+        taken.append(at[chosen])
+        node, least = forest(np.maximum(x[chosen], y[chosen]), np.minimum(x[chosen], y[chosen]))
+        for z in (x, y):
+            place = np.minimum(np.searchsorted(node, z), len(node) - 1)
+            z[:] = np.where(node[place] == z, least[place], z)
+        left = x != y
+        x, y, at = x[left], y[left], at[left]
+    return order[np.concatenate([np.zeros(0, np.int64), *taken]).astype(np.int64)]
+
+
+#: Which pairs around stars are given: all, those of different components, or a forest of these.
+EVERY, ACROSS, SPANNING = range(3)
+
+
+def _around(members: DataFrame, sets: DataFrame, num: int, den: int, give: int, side: int = 4096) -> DataFrame:
+    """Pairs (run, x, y, a, b) around a star whose sketches don't rule a link out. members: (run, node,
+    component), run being the star. Its members are cut into parts of about `side` and each two parts
+    meet in a group of their own, so no task holds them all; a member is dealt once for each part, so
+    rows grow with the square of a run beyond `side`. A forest is one of each two parts."""
     levels = Levels(num, den)
     spread = members.groupBy("run").agg(F.count("*").alias("m"), F.min("component").alias("u"), F.max("component").alias("v"))
-    spread = (spread.where("m > 1") if every else spread.where("u <> v")).select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
+    spread = (spread.where("m > 1") if give == EVERY else spread.where("u <> v")).select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
     own = members.join(spread, "run").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "rep", "component", "n", "sketch"
@@ -389,28 +413,32 @@ def _across(members: DataFrame, sets: DataFrame, num: int, den: int, every: bool
         for s, own in kinds.items():
             held = np.stack([marks[y] for y in own])
             for bits in {min(s, t) for t in np.unique(size)}:
-                folded[s, bits] = np.bitwise_xor.reduce(held.reshape(len(own), -1, bits), axis=1)
-        left, found = [], []
+                folded[s, bits] = np.bitwise_xor.reduce(held.reshape(len(own), -1, bits), axis=1).view(np.uint64)
+        left, found, far = [], [], []
         for x in np.flatnonzero(part == i):
             for s, own in kinds.items():
                 lo, hi = np.searchsorted(n[own], [-(-n[x] * num // den), n[x] * den // num + 1])
                 if lo == hi:
                     continue
                 some, bits = own[lo:hi], min(s, size[x])
-                mine = np.bitwise_xor.reduce(marks[x].reshape(-1, bits), axis=0)
-                apart = np.bitwise_count(folded[s, bits][lo:hi] ^ mine).sum(axis=1)
-                ok = apart <= levels.differ(n[x], n[some])
-                if not every:
-                    ok &= comp[some] != comp[x]
+                ok = np.ones(len(some), bool) if give == EVERY else comp[some] != comp[x]
                 if i == j:
                     ok &= ids[some] > ids[x]
-                left.append(np.full(int(ok.sum()), x))
-                found.append(some[ok])
-        one, two = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (left, found))
+                some = some[ok]
+                mine = np.bitwise_xor.reduce(marks[x].reshape(-1, bits), axis=0).view(np.uint64)
+                apart = np.bitwise_count(folded[s, bits][lo:hi][ok] ^ mine).sum(axis=1, dtype=np.int32)
+                ok = apart <= levels.differ(n[x], n[some])
+                left.append(np.full(int(ok.sum()), x, np.int32))
+                found.append(some[ok].astype(np.int32))
+                far.append(apart[ok])
+        one, two, apart = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (left, found, far))
+        if give == SPANNING:
+            chosen = _spanning(one, two, apart, comp)
+            one, two = one[chosen], two[chosen]
         one, two = np.where(ids[one] < ids[two], one, two), np.where(ids[one] < ids[two], two, one)
-        return pa.table({"x": ids[one], "y": ids[two], "a": rep[one], "b": rep[two]})
+        return pa.table({"run": pa.array(np.full(len(one), table["run"][0].as_py(), np.int64)), "x": ids[one], "y": ids[two], "a": rep[one], "b": rep[two]})
 
-    return dealt.groupBy("run", "i", "j").applyInArrow(compare, "x long, y long, a long, b long")
+    return dealt.groupBy("run", "i", "j").applyInArrow(compare, "run long, x long, y long, a long, b long")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -423,35 +451,58 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFram
     return made.drop("sketch"), checkpointed(sized(sets.where("rep is not null"), made.count(), EACH))
 
 
+def _joined(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of the nodes that links (x, y), and earlier components, connect."""
+    links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(links if joined is None else joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, every: bool) -> tuple[DataFrame, DataFrame | None]:
     """(links, joined): links (x, y, a, b, shared, union_size) of nodes x and y and their least ids, a row may
-    repeat; joined are the components of the first links' nodes, if links around stars have been
-    looked for after them."""
+    repeat; joined are the components of some links, where it was found out.
+
+    Keys of many texts give the links to their stars first. Of the texts around a star that are then
+    still in different components, a forest of the nearest pairs is verified, and where one of these
+    proves no link, all the other pairs that sketches don't rule out; with `every`, all pairs at once."""
     told = sets.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
     buckets = max(LEAST_BUCKETS, min(1 << 20, int((told.n or 0) * 0.8 / BUCKET) + 1))
     dealt = _deal(docs, id_col, text_col, k, Levels(num, den), buckets)
     met = checkpointed(dealt.groupBy("part").applyInArrow(_meet, "kind byte, a long, b long"))
     kinds = {r.kind: r["count"] for r in met.groupBy("kind").count().collect()}
-    pairs = met.where(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).repartition("x").distinct()
+    pairs = met.where(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        n = pairs.count()
+    def checked(pairs: DataFrame, n: int) -> DataFrame:
         wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id")))).alias("w")).select("w.id")
         return checkpointed(sized(_verified(pairs, _texts(docs, wanted, told.m, id_col, text_col, k), k, num, den), n, EACH))
 
-    links = checked(checkpointed(sized(_close(pairs, sets, num, den), kinds.get(PAIR, 0), EACH)))
-    # texts around stars, where links to the star have not joined them already
+    pairs = checkpointed(sized(_close(pairs, sets, num, den), kinds.get(PAIR, 0), EACH))
+    links = checked(pairs, pairs.count())
     if not kinds.get(AROUND):
         return links, None
     runs = met.where(F.col("kind") == AROUND).select(F.col("a").alias("run"), F.col("b").alias("node"))
     if kinds.get(UPPER):
         upper = met.where(F.col("kind") == UPPER).select(F.col("a").alias("top"), F.col("b").alias("run")).distinct()
         runs = runs.union(runs.join(upper, "run").select("top", "node"))
-    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = runs.repartition("node").distinct().join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = checkpointed(sized(members, 2 * kinds[AROUND], EACH))
-    more = checkpointed(sized(_across(members, sets, num, den, every), kinds[AROUND], EACH).dropDuplicates(["x", "y"]))
-    return (links if more.isEmpty() else links.unionByName(checked(more))), joined
+    runs = runs.distinct()
+    joined, new = None, links
+    for give in [EVERY] if every else [SPANNING, ACROSS]:
+        if give == EVERY:
+            members = runs.withColumn("component", F.col("node"))
+        else:
+            joined = _joined(joined, new)
+            members = runs.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = checkpointed(sized(members, 2 * kinds[AROUND], EACH))
+        found = checkpointed(sized(_around(members, sets, num, den, give), kinds[AROUND], EACH))
+        pairs = found.select("x", "y", "a", "b").dropDuplicates(["x", "y"])
+        n = pairs.count()
+        if not n:
+            break
+        new = checked(pairs, n)
+        links = links.unionByName(new)
+        if new.count() == n:
+            break  # what sketches let through is connected
+        runs = members.join(found.join(new, ["x", "y"], "left_anti").select("run").distinct(), "run", "left_semi").select("run", "node")
+    return links, joined
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: tuple[int, int] = (3, 4)) -> tuple[DataFrame, DataFrame]:
@@ -479,8 +530,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same. What holds for its rows holds here; a row without a set is in a class with none."""
     rows, sets = _sets(docs, id_col, text_col, k)
     links, joined = _links(docs, sets, id_col, text_col, k, *threshold, every=False)
-    links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(links) if joined is None else components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+    found = _joined(joined, links)
     of_set = sets.select("node", "rep").join(found.withColumnRenamed("id", "node"), "node")
     least = of_set.groupBy("component").agg(F.min("rep").alias("least"))
     of_set = sets.select("node", "rep").join(of_set.join(least, "component").select("node", "least"), "node", "left")

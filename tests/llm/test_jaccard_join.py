@@ -143,3 +143,43 @@ def test_components_of_random_links(spark, monkeypatch, gather):
     got = [tuple(r) for r in C.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()]
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert sorted(got) == sorted((x, top(x)) for x in linked)
+
+
+def test_spanning_pairs_are_the_nearest():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n = int(rng.integers(2, 40))
+        one, two = rng.integers(n, size=(2, int(rng.integers(1, 150))))
+        comp = rng.integers(n, size=n) * 7
+        apart = rng.integers(5, size=len(one))
+        some = comp[one] != comp[two]
+        one, two, apart = one[some], two[some], apart[some]
+        got = J._spanning(one, two, apart, comp.copy())
+        up = {int(c): int(c) for c in comp}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        want = 0
+        joined = 0
+        for i in np.argsort(apart, kind="stable"):
+            x, y = top(int(comp[one[i]])), top(int(comp[two[i]]))
+            if x != y:
+                up[x], want, joined = y, want + int(apart[i]), joined + 1
+        assert len(set(got.tolist())) == len(got) == joined and apart[got].sum() == want
+
+
+def test_borderline_copies_around_a_star(spark):
+    """A hot group in which half of the pairs are just short of linked, and a key that unlike texts share."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(90)]
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 3])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    rng.shuffle(docs)
+    assert found(spark, docs) == helpers.classes(docs)

@@ -1,14 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's root is the smoothed unigram model. A context of up to `depth` words becomes a state if it
-makes up at least `context_share` of the training tokens and its next-word distribution diverges from
-that of its longest retained suffix (a G-test and a least divergence). A state's distribution is the
-counts smoothed towards its parent; words that it has no entry for keep the parent's proportions.
-A token is scored by the state of the longest retained suffix of what precedes it.
-
-Shares, not numbers, bound the model: at most 1 / context_share states of a depth and 1 / entry_share
-entries, whatever the size of the corpus. All counts cover all training texts. Words are known by
-64-bit hashes; every text ends with an end token.
+The tree's root is the smoothed unigram model. A context of up to `depth` words becomes a state if it is
+frequent enough and its next-word distribution diverges from that of its longest retained suffix (a
+G-test and a least divergence). A state's distribution is the counts smoothed towards its parent; words
+that it has no entry for keep the parent's proportions. A token is scored by the state of the longest
+retained suffix of what precedes it.
+
+How often is frequent enough grows with the square root of the number of training tokens, so the tree
+grows with the square root of the corpus: it has at most 1 / context_root * sqrt(tokens) states of a
+depth and 1 / entry_root * sqrt(tokens) entries, and a task holds it whole. All counts cover all training
+texts. Words are known by 64-bit hashes; every text ends with an end token.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,71 +125,54 @@ def _in_steps(text: np.ndarray, token: np.ndarray, depth: int, candidates: list[
     return at, key
 
 
-def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = 2, context_share: float = 1e-4, entry_share: float = 1e-6, divergence: float = 0.02, smoothing: float = 10.0) -> Tree:
-    """The tree of the texts of docs; counts is their token_counts. An empty docs gives a root whose
-    tokens all have probability one."""
+def fit(docs: DataFrame, counts: DataFrame, text_col: str = "text", depth: int = 4, context_root: float = 0.5, entry_root: float = 0.01, divergence: float = 0.02, smoothing: float = 10.0) -> Tree:
+    """The tree of the texts of docs; counts is their token_counts. Contexts have context_root times the
+    square root of the number of tokens or more, entries and words known by number entry_root times, and
+    two at least. An empty docs gives a root whose tokens all have probability one."""
     told = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(told["n"] or 0), int(told["v"])
-    frequent = counts.where(F.col("n") >= max(1.0, entry_share * total)).toArrow()
+    least, fewest = max(2.0, context_root * total**0.5), max(2.0, entry_root * total**0.5)
+    frequent = counts.where(F.col("n") >= min(fewest, least)).toArrow()
     order = np.argsort(frequent["key"].to_numpy().view(np.uint64))
     tree = Tree(total, distinct, frequent["key"].to_numpy().view(np.uint64)[order], frequent["n"].to_numpy()[order])
-    least = max(2.0, context_share * total)
-    spark, candidates, sizes = docs.sparkSession, [], []
-    often = tree.counts >= least
-    own = tree.words[often & (tree.words != END)]
-    key = _chain(np.zeros(len(own), np.uint64), own)
-    candidates.append(np.sort(key))
-    sizes.append(tree.counts[often & (tree.words != END)][np.argsort(key)])
-    line = np.zeros((len(own), 0), np.uint64)  # of each context, the keys of its proper suffixes
+    often = (tree.counts >= least) & (tree.words != END)
+    spark, candidates = docs.sparkSession, [_chain(np.zeros(int(often.sum()), np.uint64), tree.words[often])]
+    order = np.argsort(candidates[0])
+    candidates[0], sizes = candidates[0][order], tree.counts[often][order]
+    line = np.zeros((len(sizes), 0), np.uint64)  # of each context, the keys of its proper suffixes
     for k in range(1, depth + 1):
-        if not len(candidates[k - 1]):
+        if not len(candidates[-1]):
             break
-        shared = spark.sparkContext.broadcast(pickle.dumps((tree, candidates)))
+        shared = spark.sparkContext.broadcast(pickle.dumps((tree.words, tree.words[often], candidates)))
 
-        def entries(text, token, k=k, shared=shared):
-            tree, candidates = pickle.loads(shared.value)
+        def around(text, token, k=k, shared=shared):
+            """(context, next word), and with the upper bit set (context, word before it)."""
+            known, before, candidates = pickle.loads(shared.value)
             at, key = _in_steps(text, token, k, candidates)
             place, _ = _find(candidates[k - 1], key)
-            word, known = tree.number(token[at])
-            return (place[known].astype(np.uint64) << np.uint64(32)) | word[known].astype(np.uint64)
-
-        table = _counted(docs, text_col, entries).where(F.col("n") >= max(2.0, entry_share * total)).toArrow()
+            word, ok = _find(known, token[at])
+            out = [(place[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64)]
+            if k < depth:
+                longer = (at > k) & (text[at] == text[np.maximum(at - k - 1, 0)])
+                word, ok = _find(before, token[at[longer] - k - 1])
+                out.append(np.uint64(1 << 63) | (place[longer][ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64))
+            return np.concatenate(out)
+
+        table = _counted(docs, text_col, around).where(((F.col("key") >= 0) & (F.col("n") >= fewest)) | ((F.col("key") < 0) & (F.col("n") >= least))).toArrow()
         packed, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
         order = np.argsort(packed)
-        _grow(tree, candidates[k - 1], sizes[k - 1], packed[order], n[order], line, divergence, smoothing)
-        if k < depth:
-            key, n, suffix = _longer(docs, text_col, tree, candidates, k, least)
-            line = np.concatenate([line[suffix], candidates[k - 1][suffix][:, None]], axis=1)
-            candidates.append(key)
-            sizes.append(n)
+        cut = int(np.searchsorted(packed[order], np.uint64(1 << 63)))
+        after, before = order[:cut], order[cut:]
+        _grow(tree, candidates[-1], sizes, packed[after], n[after], line, divergence, smoothing)
+        suffix, word = (packed[before] >> np.uint64(32)).astype(np.int64) & 0x7FFFFFFF, (packed[before] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        key = _chain(candidates[-1][suffix], tree.words[often][word])
+        order = np.argsort(key)
+        line = np.concatenate([line[suffix], candidates[-1][suffix][:, None]], axis=1)[order]
+        sizes = n[before][order]
+        candidates.append(key[order])
     return tree
 
 
-def _longer(docs: DataFrame, text_col: str, tree: Tree, candidates: list[np.ndarray], k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, n, suffix): the contexts of k + 1 words that are frequent enough, sorted, and the place of
-    their last k words among the contexts of k words."""
-    often = tree.words[tree.counts >= least]
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((often, candidates)))
-
-    def keys(text, token, shared=shared):
-        often, candidates = pickle.loads(shared.value)
-        at, key = _in_steps(text, token, k, candidates)
-        ok = at >= k + 1
-        at, key = at[ok], key[ok]
-        ok = text[at] == text[at - k - 1]
-        at, key = at[ok], key[ok]
-        word, known = _find(often, token[at - k - 1])
-        place, _ = _find(candidates[k - 1], key)
-        return (place[known].astype(np.uint64) << np.uint64(32)) | word[known].astype(np.uint64)
-
-    table = _counted(docs, text_col, keys).where(F.col("n") >= least).toArrow()
-    packed = table["key"].to_numpy().view(np.uint64)
-    suffix, word = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    key = _chain(candidates[k - 1][suffix], often[word]) if len(packed) else packed
-    order = np.argsort(key)
-    return key[order], table["n"].to_numpy()[order], suffix[order]
-
-
 def _grow(tree: Tree, keys: np.ndarray, sizes: np.ndarray, packed: np.ndarray, n: np.ndarray, line: np.ndarray, divergence: float, smoothing: float) -> None:
     """Adds the contexts of the next depth that pass the tests against their longest retained suffix;
     the words of no entry of a context count together as one outcome."""
@@ -249,16 +232,17 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str, text_col:
     """(id, flag, n_tokens, n_known, base_score, score) for each row of docs.
 
     Words that the tree knows by number are scored in place; the others travel once, as (row, word),
-    to their counts. Null texts count as empty: one end token. Rows may repeat; null ids stay."""
+    to their counts. A row goes by the hash of its id and text, which stays the same when a task runs
+    again; rows that repeat both are scored together, and each gets its copy. Null texts count as
+    empty: one end token. Null ids stay."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(tree))
     floor = tree.floor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = pickle.loads(shared.value)
-        row0 = TaskContext.get().partitionId() << 33
         logs = np.log10(tree.counts + 0.1)
         for batch in batches:
-            for lo, hi, buf, offs in slices(batch.column(2)):
+            for lo, hi, buf, offs in slices(batch.column(3)):
                 text, token = _tokens(buf, offs)
                 n = hi - lo
                 place, known = tree.number(token)
@@ -275,16 +259,16 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str, text_col:
                 new[1:] = (of[1:] != of[:-1]) | (word[1:] != word[:-1])
                 cuts = np.flatnonzero(new)
                 times = np.diff(np.append(cuts, len(of)))
-                rows = row0 + np.arange(n)
-                row0 += n
+                rows = batch.column(0).slice(lo, n).to_numpy()
                 m = len(cuts)
                 none = lambda kind, m=m: pa.nulls(m, kind)
-                own = mix(rows.astype(np.uint64)).view(np.int64)
+                own = mix(rows.view(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([rows, rows[of[cuts]]])),
-                        pa.concat_arrays([batch.column(0).slice(lo, n), none(pa.int64())]),
-                        pa.concat_arrays([batch.column(1).slice(lo, n), none(pa.bool_())]),
+                        pa.array(np.concatenate([np.ones(n, np.int64), np.zeros(m, np.int64)])),
+                        pa.concat_arrays([batch.column(1).slice(lo, n), none(pa.int64())]),
+                        pa.concat_arrays([batch.column(2).slice(lo, n), none(pa.bool_())]),
                         pa.array(np.concatenate([np.bincount(text, minlength=n), np.zeros(m, np.int64)])),
                         pa.array(np.concatenate([total(known).astype(np.int64), np.zeros(m, np.int64)])),
                         pa.array(np.concatenate([base, np.zeros(m)])),
@@ -292,15 +276,17 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str, text_col:
                         pa.array(np.concatenate([own, word[cuts].view(np.int64)])),
                         pa.array(np.concatenate([np.zeros(n, np.int64), times])),
                     ],
-                    names=["row", "id", "flag", "n_tokens", "known", "base", "better", "key", "times"],
+                    names=["row", "rows", "id", "flag", "n_tokens", "known", "base", "better", "key", "times"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), flag.alias("flag"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(run, "row long, id long, flag boolean, n_tokens long, known long, base double, better double, key long, times long")
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), flag.alias("flag"), F.col(text_col).alias("text"))
+    parts = rows.mapInArrow(run, "row long, rows long, id long, flag boolean, n_tokens long, known long, base double, better double, key long, times long")
     joined = parts.join(counts, "key", "left").withColumn("_log", F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1))
+    copies = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
     return (
         joined.groupBy("row")
         .agg(
+            F.sum("rows").alias("rows"),
             F.max("id").alias("id"),
             F.max("flag").alias("flag"),
             F.sum("n_tokens").alias("n_tokens"),
@@ -308,10 +294,11 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str, text_col:
             (F.sum("base") + F.sum("_log")).alias("base"),
             (F.sum("better") + F.sum("_log")).alias("better"),
         )
+        .select("*", copies.alias("_copy"))
         .select(
-            "id", "flag", "n_tokens", "n_known",
-            (F.col("base") - F.col("n_tokens") * floor).alias("base_score"),
-            (F.col("better") - F.col("n_tokens") * floor).alias("score"),
+            "id", "flag", *[F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known")],
+            ((F.col("base") - F.col("n_tokens") * floor) / F.col("rows")).alias("base_score"),
+            ((F.col("better") - F.col("n_tokens") * floor) / F.col("rows")).alias("score"),
         )
     )
 

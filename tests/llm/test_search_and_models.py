@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -143,11 +146,7 @@ def train_texts():
 
 def test_base_scores_are_the_formula(spark):
     docs = [*train_texts(), (None, "new x"), (1001, None), (1002, ""), (1003, "Zzz NEW")]
-    rows = T.scored(spark.createDataFrame(docs, "doc_id long, text string"), context_share=1e-3).collect()
-    import math
-    import zlib
-    from collections import Counter
-
+    rows = T.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     tokens = lambda t: [*helpers.words(helpers.fold(t)), ""]
     c = Counter(x for i, t in docs if not held(i) for x in tokens(t))
@@ -166,7 +165,7 @@ def test_states_are_distributions(spark):
     """Probabilities of all known words and of any unknown one sum to one after every context."""
     docs = spark.createDataFrame(train_texts(), "doc_id long, text string")
     counts = T.token_counts(docs)
-    tree = T.fit(docs, counts, depth=3, context_share=1e-3)
+    tree = T.fit(docs, counts, depth=3)
     assert len(tree.keys) >= 2 and len(tree.keys[0]) >= 2 and len(tree.keys[1]) >= 1
     root = (tree.counts + 0.1) / (tree.total + 0.1 * (tree.distinct + 1))
     unknown = 0.1 / (tree.total + 0.1 * (tree.distinct + 1))
@@ -178,6 +177,82 @@ def test_states_are_distributions(spark):
         assert p.sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def plain_tree(texts, depth, context_root, entry_root, divergence=0.02, smoothing=10.0):
+    """A function that gives the log10 probability of a text, by a tree of dicts. texts: lists of tokens."""
+    seen = Counter(x for t in texts for x in t)
+    total, distinct = sum(seen.values()), len(seen)
+    least, fewest = max(2.0, context_root * total**0.5), max(2.0, entry_root * total**0.5)
+    known = {w for w, n in seen.items() if n >= min(least, fewest)}
+    root = lambda w: (seen[w] + 0.1) / (total + 0.1 * (distinct + 1))
+    follows = {}
+    for t in texts:
+        for i in range(len(t)):
+            for k in range(1, min(depth, i) + 1):
+                follows.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+    states = {}
+
+    def p(context, w):
+        factor = 1.0
+        for k in range(len(context), 0, -1):
+            if (state := states.get(tuple(context[-k:]))) is not None:
+                entries, rest = state
+                if w in entries:
+                    return factor * entries[w]
+                factor *= rest
+        return factor * root(w)
+
+    for k in range(1, depth + 1):
+        made = {}
+        for context, after in follows.items():
+            n = sum(after.values())
+            # a context is looked at if it and all its suffixes are frequent
+            if len(context) != k or any(sum(follows[context[-j:]].values()) < least for j in range(1, k + 1)):
+                continue
+            entries = {w: m for w, m in after.items() if w in known and m >= fewest}
+            before = {w: p(context[1:], w) for w in entries}
+            rest_n, rest_p = n - sum(entries.values()), max(1e-12, 1 - sum(before.values()))
+            gain = sum(m * math.log(m / n / before[w]) for w, m in entries.items()) + (rest_n * math.log(rest_n / n / rest_p) if rest_n else 0)
+            free = len(entries)
+            if 2 * gain > free + 4 * math.sqrt(2 * free + 1) and gain / n > divergence:
+                kept = {w: (m + smoothing * before[w]) / (n + smoothing) for w, m in entries.items()}
+                made[context] = kept, max(1e-9, 1 - sum(kept.values())) / rest_p
+        states.update(made)
+    return lambda t: sum(math.log10(p(t[max(0, i - depth) : i], t[i])) for i in range(len(t))), states
+
+
+@pytest.mark.parametrize("roots", [(0.5, 0.01), (0.05, 0.05), (0.2, 0.02)])
+def test_scores_are_those_of_a_plain_tree(spark, roots):
+    far = ["k l m n one", "q l m n two", "l m n three", "it was the best", "it was the worst"]  # what follows hangs on four words
+    docs = train_texts() + [(1000 + i, " ".join(far[(i * j) % 5] for j in range(1, 4))) for i in range(100)] + [(None, "new x"), (5001, None), (5002, "Zzz NEW york city"), (5003, "x y"), (5003, "x y")]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = lambda t: [*helpers.words(helpers.fold(t)), ""]
+    score, states = plain_tree([tokens(t) for i, t in docs if not held(i)], 4, *roots)
+    assert {len(s) for s in states} >= ({1, 2} if roots[0] == 0.5 else {1, 2, 4})
+    rows = T.scored(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), context_root=roots[0], entry_root=roots[1]).collect()
+    assert sorted((r.id is None, r.id) for r in rows) == sorted((i is None, i) for i, _ in docs)
+    by = dict(docs)
+    for r in rows:
+        assert r.score == pytest.approx(score(tokens(by[r.id])), rel=1e-6), r
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    rng = random.Random(4)
+    pairs = {f"w{i}": [f"w{rng.randrange(300)}" for _ in range(3)] for i in range(300)}
+
+    def text():
+        w = [f"w{int(rng.paretovariate(0.7)) % 300}"]
+        while len(w) < 200:
+            w.append(rng.choice(pairs[w[-1]]))
+        return " ".join(w)
+
+    sizes = []
+    for n in (40, 640):
+        docs = spark.createDataFrame([(i, text()) for i in range(n)], "doc_id long, text string")
+        tree = T.fit(docs, T.token_counts(docs))
+        sizes.append((sum(map(len, tree.keys)), sum(map(len, tree.entry))))
+    assert all(b > 1.5 * a for a, b in zip(*sizes, strict=True))
+
+
 def _buffers(text):
     raw = text.encode()
     return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])

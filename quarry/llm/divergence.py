@@ -2,7 +2,9 @@
 
 A text's histogram of character classes and its histogram of common words are compared with those of
 its language, summed over all texts of that language, by Jensen-Shannon distance (base 2, 0 to 1).
-Texts with too few characters, or too few words, are not judged by that histogram.
+Texts with too few characters, or too few words, are not judged by that histogram. The limit on the distance
+of common words follows from the language and from the length: it is a share of the distance that a
+text without any common word has, and more for short texts, whose counts differ by chance.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ COMMON = {
 WORDS = sorted({w for x in COMMON.values() for w in x})
 #: Character classes, as the inside of a bracket expression; the last class is all else.
 CLASSES = ("a-z", "A-Z", "0-9", " \\t\\n\\x0B\\f\\r", ".,;:!?'\"()\\-", "#*$%&|<>")
-#: Least characters and words for a histogram to count; largest distances kept.
-LEAST_CHARS, LEAST_WORDS, MOST_CLASS, MOST_WORDS = 300, 50, 0.28, 0.38
+#: Least characters and words for a histogram to count; largest distance of classes kept; the largest one of
+#: common words as a share of that of a text without any, for a text of endless length.
+LEAST_CHARS, LEAST_WORDS, MOST_CLASS, MOST_SHARE = 300, 50, 0.28, 0.6
+#: What chance adds to the square of that limit, for a text of one word: twice the expected divergence of a
+#: sample from its source, 16 / (8 ln 2 n) for sixteen common words and n words.
+CHANCE = 2 * 16 / (8 * 0.6931471805599453)
 
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -100,6 +106,14 @@ def distance(counts: Column, total: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) / 2))
 
 
+def word_limit(rest: Column, n: Column) -> Column:
+    """The largest distance of common words kept, for a language of which a share `rest` is no common words
+    and a text of n words."""
+    part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+    bare = (part(F.lit(1.0), rest) + part(rest, F.lit(1.0)) + (1 - rest)) / 2  # a text of none: all of it is rest
+    return F.sqrt(F.lit(MOST_SHARE**2) * F.greatest(F.lit(0.0), bare) + F.lit(CHANCE) / n)
+
+
 def references(counts: DataFrame) -> DataFrame:
     """(lang, ref_classes, ref_commons): shares over all texts of a language that the base rules pass; a
     null language is one of its own."""
@@ -116,7 +130,7 @@ def base_failed() -> Column:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The counts of every row with class_distance, word_distance (null where the text is too short to
-    be judged by them), base_failed and kept. The counts are written once to the shared folder and read
+    be judged by them), word_limit, base_failed and kept. The counts are written once to the shared folder and read
     for the references and the verdicts. The references have a row for each language; the join with
     them is broadcast by Spark only while they are small."""
     counts = checkpointed(base_counts(docs, id_col, text_col, lang_col))
@@ -127,7 +141,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             "class_distance": F.when((F.col("n_chars") >= LEAST_CHARS) & F.col("ref_classes").isNotNull(), distance(F.col("classes"), F.col("n_chars"), F.col("ref_classes"))).otherwise(none),
             "word_distance": F.when((F.col("n_words") >= LEAST_WORDS) & F.col("ref_commons").isNotNull(), distance(F.col("commons"), F.col("n_words"), F.col("ref_commons"))).otherwise(none),
             "base_failed": base_failed(),
+            "word_limit": F.when(F.col("n_words") > 0, word_limit(F.get("ref_commons", F.lit(len(WORDS))), F.col("n_words"))),
         }
     )
-    odd = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORDS)
+    odd = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
     return marked.withColumn("kept", ~F.col("base_failed") & ~odd).drop("_lang", "ref_classes", "ref_commons")

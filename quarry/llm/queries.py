@@ -153,10 +153,11 @@ h as (select * exclude (k, lw), k[6]::bigint as n_symbols, list_append(k, n_char
     list_append(list_transform({words}, lambda v: len(list_filter(lw, lambda x: x = v))), n_words - len(list_filter(lw, lambda x: list_contains({words}, x)))) as co,
     n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c),
 f as (select lang, {total("cl", n)} as rc, {total("co", m)} as ro, sum(n_chars) as rn, sum(n_words) as rm from h where not base_failed group by lang),
-j as (select h.*, case when n_chars >= {divergence.LEAST_CHARS} and rc is not null then {distance("cl", "n_chars", "rc", "rn", n)} end as cd,
-    case when n_words >= {divergence.LEAST_WORDS} and ro is not null then {distance("co", "n_words", "ro", "rm", m)} end as wd from h left join f on h.lang is not distinct from f.lang)
+b as (select *, ro[{m}] / rm::double as q from f),
+j as (select h.*, sqrt({divergence.MOST_SHARE**2!r} * greatest(0, ({part("1.0", "q")} + {part("q", "1.0")} + 1 - q) / 2) + {divergence.CHANCE!r} / nullif(n_words, 0)) as lim, case when n_chars >= {divergence.LEAST_CHARS} and rc is not null then {distance("cl", "n_chars", "rc", "rn", n)} end as cd,
+    case when n_words >= {divergence.LEAST_WORDS} and ro is not null then {distance("co", "n_words", "ro", "rm", m)} end as wd from h left join b as f on h.lang is not distinct from f.lang)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (coalesce(cd, 0) > {divergence.MOST_CLASS} or coalesce(wd, 0) > {divergence.MOST_WORDS}) as kept, round(cd, 6) as class_distance, round(wd, 6) as word_distance from j"""
+  not base_failed and not (coalesce(cd, 0) > {divergence.MOST_CLASS} or coalesce(wd > lim, false)) as kept, round(cd, 6) as class_distance, round(wd, 6) as word_distance from j"""
 
 
 @query("op5_quality_rules", _rules_sql())

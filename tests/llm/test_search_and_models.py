@@ -294,6 +294,17 @@ def test_junk_goes_and_prose_stays(spark):
     assert not kept[99] and all(kept[i] for i in range(60))
 
 
+def test_long_texts_without_common_words_fail(spark):
+    """Letter-only gibberish and lists of keywords, in normal case and spacing; short clean texts stay."""
+    rng = random.Random(9)
+    common, rare = V.COMMON["en"], helpers.vocabulary(2000, rng)
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.19 else rng.choice(rare) for _ in range(n))
+    docs = [(i, prose(rng.choice([60, 100, 200, 500])), "en") for i in range(200)]
+    docs += [(1000 + i, " ".join(rng.choice(rare) for _ in range(200 + 40 * i)), "en") for i in range(10)]
+    kept = {r.id: r.kept for r in V.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[1000 + i] for i in range(10)) and sum(kept[i] for i in range(200)) >= 198
+
+
 # classifier
 
 

@@ -13,7 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,16 +114,16 @@ def parsed(messages: DataFrame, schemas: dict[str, dict], conv: str = "conv_id",
                 return content if isinstance(content, str) else canonical(content), [], found["tool_call_id"]
         return body, [], None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        call = pa.struct([("id", text), ("name", text), ("arguments", text), ("needs", pa.list_(text)), ("errors", pa.list_(text))])
         for batch in batches:
-            made = [read(k, x) for k, x in zip(batch["role"], batch["text"], strict=True)]
-            batch = batch.drop(columns="text")
-            for i, name in enumerate(("content", "calls", "answers")):
-                batch[name] = pd.Series([x[i] for x in made], index=batch.index, dtype=object)
-            yield batch
+            made = [read(k, x) for k, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            added = [pa.array([x[i] for x in made], kind) for i, kind in enumerate((text, pa.list_(call), text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], names=["conv_id", "turn", "role", "content", "calls", "answers"])
 
     rows = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, _PARSED)
+    return rows.mapInArrow(run, _PARSED)
 
 
 def linked(messages: DataFrame, schemas: dict[str, dict] | None = None, **columns: str) -> DataFrame:
@@ -160,22 +160,19 @@ def linked(messages: DataFrame, schemas: dict[str, dict] | None = None, **column
         F.coalesce("n_needs_unmet", F.lit(0)).alias("n_needs_unmet"), "answered_by", "content", "calls", "answers",
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = []
-            for conv_id, turn, role, content, calls, answers in zip(*(batch[c] for c in ("conv_id", "turn", "role", "content", "calls", "answers")), strict=True):
-                line = {"content": content, "conv_id": None if pd.isna(conv_id) else int(conv_id), "role": role, "turn": None if pd.isna(turn) else int(turn)}
-                line["tool_calls"] = [{"arguments": json.loads(c["arguments"]), "errors": list(c["errors"]), "id": c["id"], "name": c["name"]} for c in calls]
+            for conv_id, turn, role, content, calls, answers in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "content", "calls", "answers")), strict=True):
+                line = {"content": content, "conv_id": conv_id, "role": role, "turn": turn}
+                line["tool_calls"] = [{"arguments": json.loads(c["arguments"]), "errors": c["errors"], "id": c["id"], "name": c["name"]} for c in calls]
                 if answers is not None:
                     line["tool_call_id"] = answers
                 lines.append(canonical(line))
-            batch = batch.drop(columns=["content", "calls", "answers"])
-            batch["line"] = lines
-            for c in ("conv_id", "turn", "at", "answered_by"):
-                batch[c] = batch[c].astype("Int64")
-            yield batch
+            kept = batch.drop_columns(["content", "calls", "answers"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lines, pa.string())], names=[*kept.schema.names, "line"])
 
-    return lined.mapInPandas(run, "conv_id long, turn long, role string, at long, depth int, n_calls long, n_answered long, n_invalid long, n_needs_unmet long, answered_by long, line string")
+    return lined.mapInArrow(run, "conv_id long, turn long, role string, at long, depth int, n_calls long, n_answered long, n_invalid long, n_needs_unmet long, answered_by long, line string")
 
 
 def _ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -28,3 +28,13 @@ def test_messages_of_a_long_chain(spark):
     rows = [(1, 0, "tool", json.dumps({"tool_call_id": "a", "content": "x"})), (1, 1, "assistant", '<tool_call>{"id": "a", "name": "f", "arguments": {}}</tool_call>')]
     got = {r.turn: (r.at, r.depth) for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {0: (1, 1), 1: (1, 0)}
+
+
+def test_large_ids_beside_null_ones_stay(spark):
+    big = 9007199254740993
+    rows = [(big, 0, "user", "a"), (None, 1, "user", "b"), (big, None, None, None), (big + 1, big, "assistant", '<tool_call>{"id": "c", "name": "x"}</tool_call>'), (big + 1, big + 2, "tool", '{"tool_call_id": "c"}')]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()
+    want = sorted(((c, t) for c, t, _, _ in rows), key=repr)
+    assert sorted(((r.conv_id, r.turn) for r in got), key=repr) == want
+    assert sorted(((x["conv_id"], x["turn"]) for x in (json.loads(r.line) for r in got)), key=repr) == want
+    assert {r.answered_by for r in got} == {None, big} and {r["at"] for r in got} == {0, 1, None, big, big + 2}

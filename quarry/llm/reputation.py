@@ -8,10 +8,12 @@ blocked if the lower posterior bound of its host's bad rate exceeds a limit.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Public suffixes of two labels: fixed values.
+#: Public suffixes of two labels, if no others are given: fixed values.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.za", "co.in", "com.br", "com.mx", "com.cn", "com.tr")
 #: Largest bad rate kept, standard deviations below the mean that count, bounds of a prior's strength.
 MOST_BAD, DEVIATIONS, STRENGTHS = 0.25, 1.645, (1.0, 1000.0)
@@ -29,15 +31,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: of suffixes of two labels, that which the host ends with, else its last label."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     """The registered domain: the public suffix and one label more, or the host if it has no more."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]], part: int) -> Column:
@@ -61,13 +64,13 @@ def _strength(level: DataFrame) -> DataFrame:
     return total.select(rate.alias("rate"), F.greatest(F.lit(STRENGTHS[0]), F.least(F.lit(STRENGTHS[1]), strength)).alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, n, bad, posterior, bound) for every host of outcomes (host, bad): bad is 1, 0, or null
     for a page without a label. Only counts are shuffled, summed before; a null host is left out."""
     hosts = outcomes.where("host is not null").groupBy("host").agg(
         F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")
     )
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     sums = lambda frame, *by: frame.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = sums(hosts, "domain", "suffix")
     suffixes = sums(domains, "suffix")
@@ -86,12 +89,12 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return own.select("host", F.col("n").cast("long").alias("n"), F.col("bad").cast("long").alias("bad"), "posterior", bound.alias("bound"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict, posterior, bound) for every row of pages. outcomes: (id, bad),
-    one row at most for each id. Null urls and urls without :// have an empty host and path."""
+    one row at most for each id; suffixes: public suffixes of two labels. Null urls and urls without :// have an empty host and path."""
     own = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labelled = own.join(outcomes.select("id", "bad"), "id", "left")
-    known = host_reputation(labelled)
+    known = host_reputation(labelled, suffixes)
     rule = rule_of(F.col("host"), F.col("path"), rules, 1)
     action = rule_of(F.col("host"), F.col("path"), rules, 0)
     learnt = F.when(F.col("bound") > MOST_BAD, "block").otherwise("allow")

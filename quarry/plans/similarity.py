@@ -25,29 +25,40 @@ def a2_dedup_stats(spark, sf_dir):
     return dedup.duplicate_stats(dedup.exact_decisions(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-_SIGNED = """
+_SHINGLED = """
 with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents),
 s as (select doc_id, list_distinct(case when len(t) < 4 then t else list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i+3], ' ')) end) as s from t),
-g as (select doc_id, list_transform(range(0, 16), lambda seed: coalesce(list_min(list_transform(s, lambda x: substr(sha256(seed::varchar || ':' || x), 1, 16))), 'ffffffffffffffff')) as signature from s)
 """
+#: Signatures by universal hashes of one base hash, a list of 128.
+SIGNED = (
+    _SHINGLED + "h as (select doc_id, list_transform(s, lambda x: ('0x' || substr(md5(x), 25, 8))::bigint) as h from s),\n"
+    f"f as (select {[a for a, _ in dedup.FAMILY[:128]]} as ma, {[b for _, b in dedup.FAMILY[:128]]} as mb),\n"
+    f"g as (select doc_id, list_transform(range(1, 129), lambda i: coalesce(list_min(list_transform(h, lambda x: (x * ma[i] + mb[i]) % {dedup.PRIME})), {dedup.PRIME})) as signature from h, f)\n"
+)
 
 
-@_r.query("f8_minhash", _SIGNED + "select doc_id, signature from g")
+@_r.query("f8_minhash", _SHINGLED + "g as (select doc_id, list_transform(range(0, 128), lambda seed: coalesce(list_min(list_transform(s, lambda x: substr(sha256(seed::varchar || ':' || x), 1, 16))), 'ffffffffffffffff')) as signature from s) select doc_id, signature from g")
 def f8_minhash(spark, sf_dir):
-    """Sixteen MinHash values of every document's word shingles."""
+    """The 128 MinHash values of every document's word shingles."""
     return dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@_r.query("f7_universal_minhash", SIGNED + "select doc_id, signature from g")
+def f7_universal_minhash(spark, sf_dir):
+    """The same by universal hashes."""
+    return dedup.derived_signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @_r.query(
     "j4_lsh_pairs",
-    _SIGNED + """, r as (select min(doc_id) as rep, signature from g group by signature),
-b as (select rep, signature, unnest(range(0, 4)) as band, unnest(list_transform(range(0, 4), lambda i: array_to_string(signature[i*4+1:i*4+4], ''))) as key from r),
+    SIGNED + """, r as (select min(doc_id) as rep, signature from g group by signature),
+b as (select rep, signature, unnest(range(0, 16)) as band, unnest(list_transform(range(0, 16), lambda i: array_to_string(signature[i*8+1:i*8+8], ','))) as key from r),
 p as (select distinct x.rep as a, y.rep as b, x.signature as sa, y.signature as sb from b x join b y on x.band = y.band and x.key = y.key and x.rep < y.rep)
-select a, b, similarity from (select a, b, len(list_filter(range(1, 17), lambda i: sa[i] = sb[i])) / 16.0::double as similarity from p) where similarity >= 0.7""",
+select a, b, similarity from (select a, b, len(list_filter(range(1, 129), lambda i: sa[i] = sb[i])) / 128.0::double as similarity from p) where similarity >= 0.85""",
 )
 def j4_lsh_pairs(spark, sf_dir):
-    """Pairs of documents that share one of four bands and agree on 70 per cent of their signatures."""
-    return dedup.lsh_pairs(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", 4, 0.7)
+    """Pairs of documents that share one of sixteen bands and agree on 85 per cent of their signatures."""
+    return dedup.lsh_pairs(dedup.derived_signatures(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", dedup.BANDS, 0.85)
 
 
 def _simhash_sql() -> str:
@@ -78,7 +89,7 @@ def j5_simhash_pairs(spark, sf_dir):
 @_r.query("c1_greedy_dedup")
 def c1_greedy_dedup(spark, sf_dir):
     """Decisions of a sequential MinHash index over all documents."""
-    found = dedup.greedy_decisions(table(spark, sf_dir, "documents"), "doc_id", "text", threshold=0.7)
+    found = dedup.greedy_decisions(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -95,6 +95,13 @@ def compliance(requests: DataFrame, as_of: Column, received: str, fulfilled: str
     return out.withColumn("fulfilment_rate", F.round(F.when(F.col("total") > 0, F.col("fulfilled") / F.col("total")).otherwise(1.0), 4))
 
 
+def deadlines(requests: DataFrame, as_of: Column, received: str, fulfilled: str, days: int = 30) -> DataFrame:
+    """requests with due (so many days after they came), overdue (not fulfilled, and due before as_of) and
+    days_left (by date, negative when late; null once fulfilled)."""
+    due, open_ = F.col(received).cast("timestamp") + F.expr(f"interval {days} days"), F.col(fulfilled).isNull()
+    return requests.withColumns({"due": due, "overdue": open_ & (due < as_of), "days_left": F.when(open_, F.date_diff(F.to_date(due), F.to_date(as_of)))})
+
+
 def unregistered(packs: DataFrame, registry: DataFrame, pack: str, artifact: str) -> DataFrame:
     """(pack, missing): artifacts of packs that the registry does not know."""
     lost = packs.join(registry.select(artifact).distinct(), artifact, "left_anti")

@@ -104,8 +104,8 @@ def inferred_fields(rows: DataFrame, column: str) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV file: the first row names the columns, all values text."""
-    return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("multiLine", True).csv(path)
+    """A CSV file: the first row names the columns, all values text; quotes within quotes are doubled."""
+    return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def sheets_of(content: bytes) -> list[tuple[str, list[list[str]]]]:
@@ -323,7 +323,7 @@ def jdbc_table(spark: SparkSession, url: str, table: str, leave_out: tuple[str,
 
 def object_store(spark: SparkSession, path: str, suffixes: tuple[str, ...], most: int | None = None) -> DataFrame:
     """(path, text) of an object store's files of some suffixes."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(path, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows.limit(most) if most is not None else rows
 

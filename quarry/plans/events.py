@@ -109,14 +109,22 @@ def w5_alert_counts(spark, sf_dir):
     return out.select("event_id", "user_id", "n_recent", "alert")
 
 
-@_r.query("w6_dedup_window")
+def _spaced_sql(key: str, where: str, seconds: int, out: str) -> str:
+    return f"""
+with recursive r as materialized (select *, {key} as k, row_number() over (partition by {key} order by ts, event_id) as n from events where {where}),
+c as (select k, n, event_id, user_id, ts, ts as last, true as taken from r where n = 1
+  union all select r.k, r.n, r.event_id, r.user_id, r.ts, case when r.ts >= c.last + interval {seconds} second then r.ts else c.last end, r.ts >= c.last + interval {seconds} second from c join r on r.k = c.k and r.n = c.n + 1)
+select {out} from c where taken"""
+
+
+@_r.query("w6_dedup_window", _spaced_sql("user_id::varchar || '|' || event_type", "true", 86_400, "k as key, event_id"))
 def w6_dedup_window(spark, sf_dir):
     """Events of a user and type accepted a day or more after the last accepted one."""
     rows = table(spark, sf_dir, "events").withColumn("key", F.concat_ws("|", "user_id", "event_type"))
     return sessions.spaced(rows, "key", "event_id", "ts", 86_400).select("key", "event_id")
 
 
-@_r.query("w18_delivery_limit")
+@_r.query("w18_delivery_limit", _spaced_sql("user_id", "event_type = 'error'", 5 * 3600, "user_id, event_id, ts"))
 def w18_delivery_limit(spark, sf_dir):
     """Errors of a user reported at most once in five hours."""
     rows = table(spark, sf_dir, "events").where("event_type = 'error'")
@@ -253,7 +261,11 @@ def j0_as_of_value(spark, sf_dir):
     return intervals.as_of(errors, bought, "user_id", "ts", "last_purchase").select("user_id", "event_id", "last_purchase")
 
 
-@_r.query("w3_word_windows")
+@_r.query("w3_word_windows", """
+with recursive r as materialized (select user_id, epoch(ts) as t, event_type as x, row_number() over (partition by user_id order by ts, event_type) as n from events),
+c as (select user_id, n, t, x, t as since, 0 as segment from r where n = 1
+  union all select r.user_id, r.n, r.t, r.x, case when r.t - c.since >= 86400 then r.t else c.since end, c.segment + (r.t - c.since >= 86400)::int from c join r on r.user_id = c.user_id and r.n = c.n + 1)
+select user_id, segment, min(t) as start, max(t) as "end", string_agg(x, ' ' order by n) as text, count(*) as n from c group by user_id, segment""")
 def w3_word_windows(spark, sf_dir):
     """Events of a user put together in windows of a day from the first not yet in one."""
     rows = table(spark, sf_dir, "events").select("user_id", _seconds().alias("start"), _seconds().alias("end"), F.col("event_type").alias("text"))

@@ -63,10 +63,14 @@ def p5_promotion(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", governance.promotion_eligible(size == 1, size > 45, review, training).alias("eligible"))
 
 
-@_r.query("p6_default_rights")
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")
+_RIGHTS_SQL = ", ".join(str((segment, name, *governance.RIGHTS[name])) for segment, name in zip(_SEGMENTS, governance.RIGHTS, strict=False))
+
+
+@_r.query("p6_default_rights", f"select c_custkey, source_class, training_eligibility, redistribution_eligibility, retention_class, review_status from customer left join (values {_RIGHTS_SQL}) r(s, source_class, training_eligibility, redistribution_eligibility, retention_class, review_status) on c_mktsegment = s")
 def p6_default_rights(spark, sf_dir):
     """Default rights by market segment standing for a class of source."""
-    kinds = F.create_map(*[F.lit(x) for p in zip(("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"), governance.RIGHTS, strict=False) for x in p])
+    kinds = F.create_map(*[F.lit(x) for p in zip(_SEGMENTS, governance.RIGHTS, strict=False) for x in p])
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.try_element_at(kinds, F.col("c_mktsegment")).alias("source_class"))
     return governance.with_default_rights(rows, "source_class")
 
@@ -200,7 +204,13 @@ def w7_hash_chain(spark, sf_dir):
     return provenance.chained(table(spark, sf_dir, "events"), "user_id", ["event_id"], _payload())
 
 
-@_r.query("w7_broken_links")
+@_r.query("w7_broken_links", f"""
+with recursive e as (select user_id, event_id, {_ENTRY} as payload, row_number() over (partition by user_id order by event_id) as n from events),
+c as (select user_id, event_id, n, payload, sha256('genesis' || payload) as entry_hash from e where n = 1
+  union all select e.user_id, e.event_id, e.n, e.payload, sha256(c.entry_hash || e.payload) from e join c on e.user_id = c.user_id and e.n = c.n + 1),
+b as (select *, case when event_id % 50 = 0 then reverse(entry_hash) else entry_hash end as h from c),
+l as (select *, lag(h, 1, 'genesis') over (partition by user_id order by event_id) as p from b)
+select user_id, event_id from l where sha256(p || payload) <> h""")
 def w7_broken_links(spark, sf_dir):
     """Entries that no longer follow after every fiftieth hash was changed."""
     rows = w7_hash_chain(spark, sf_dir)
@@ -222,14 +232,23 @@ def w8_first_failure(spark, sf_dir):
     return provenance.first_failure(rows, "user_id", "sequence", _payload(), "h").select("user_id", "sequence")
 
 
-@_r.query("a24_merkle_roots")
+def _merkle_sql(keys: str, leaves: str, levels: int = 24) -> str:
+    """Roots of leaves (keys, pos, h): levels are halved one after another, a lone node staying as it is."""
+    out = f"with recursive l0 as materialized ({leaves}), s as (select {keys}, count(*) as n from l0 group by all)"
+    for i in range(levels):
+        out += f""", l{i + 1} as materialized (select {keys}, pos // 2 as pos, case when any_value(m) = 0 then min(h) else sha256(arg_min(h, pos) || arg_max(h, pos)) end as h
+  from (select *, max(pos) over (partition by {keys}) as m from l{i}) group by {keys}, pos // 2)"""
+    return out + f" select {keys}, n, h as root from l{levels} join s using ({keys})"
+
+
+@_r.query("a24_merkle_roots", _merkle_sql("user_id", f"select user_id, row_number() over (partition by user_id order by event_id) - 1 as pos, sha256(sha256({_ENTRY})) as h from events"))
 def a24_merkle_roots(spark, sf_dir):
     """The Merkle root of each user's events."""
     rows = table(spark, sf_dir, "events").withColumn("content_hash", F.sha2(_payload(), 256))
     return provenance.merkle_roots(rows, "user_id", ["event_id"], "content_hash")
 
 
-@_r.query("c20_sealed_batches")
+@_r.query("c20_sealed_batches", _merkle_sql("user_id, seal", f"select user_id, p // 16 as seal, p % 16 as pos, sha256(sha256(e)) as h from (select user_id, {_ENTRY} as e, row_number() over (partition by user_id order by event_id) - 1 as p from events)", 5))
 def c20_sealed_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("content_hash", F.sha2(_payload(), 256))
     return provenance.sealed_batches(rows, "user_id", "event_id", "content_hash", 16)
@@ -288,15 +307,12 @@ def a14_rouge_l(spark, sf_dir):
     return evaluate.rouge_l(_answers(spark, sf_dir), "answer", "question").select("conv_id", "turn", F.round("rouge_l", 6).alias("rouge_l"))
 
 
-@_r.query("a15_macro_scores", "select 1 as one where false")
+@_r.query("a15_macro_scores", f"select count(*) as n, round(avg(precision), 4) as precision, round(avg(recall), 4) as recall, round(avg(f1), 4) as f1 from ({ORACLES['a13_token_scores']})")
 def a15_macro_scores(spark, sf_dir):
     found = a13_token_scores(spark, sf_dir)
     return found.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
-ORACLES["a15_macro_scores"] = f"select count(*) as n, round(avg(precision), 4) as precision, round(avg(recall), 4) as recall, round(avg(f1), 4) as f1 from ({ORACLES['a13_token_scores']})"
-
-
 @_r.query("a12_judged_cases")
 def a12_judged_cases(spark, sf_dir):
     """Answers judged against their question, the conversation's first message and simple rules."""
@@ -339,7 +355,17 @@ def f13_fixed_chunks(spark, sf_dir):
     return chunking.fixed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_r.query("f14_sentence_chunks")
+@_r.query("f14_sentence_chunks", """
+with recursive s as materialized (select doc_id, unnest(x) as x, generate_subscripts(x, 1) as i from (select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as x from documents where text is not null)),
+c as (select doc_id, i, x as held, 0 as start, length(x) + 1 as place, cast(null as varchar) as text, cast(null as integer) as from_ from s where i = 1
+  union all select s.doc_id, s.i, case when held = '' then x when length(held) + 1 + length(x) >= 512 then right(held, 64) || ' ' || x else held || ' ' || x end,
+    case when held = '' or length(held) + 1 + length(x) >= 512 then place else start end, place + length(x) + 1,
+    case when held <> '' and length(held) + 1 + length(x) >= 512 then held end, case when held <> '' and length(held) + 1 + length(x) >= 512 then start end
+  from c join s on s.doc_id = c.doc_id and s.i = c.i + 1),
+o as (select doc_id, i - 1 as i, text, from_ as start_char from c where text is not null
+  union all select doc_id, i, held, start from (select *, max(i) over (partition by doc_id) as m from c) where i = m and held <> ''),
+k as (select * from o where length(text) >= 10)
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, text, start_char::int as start_char, (start_char + length(text))::int as end_char from k""")
 def f14_sentence_chunks(spark, sf_dir):
     return chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", "sentence", 10)
 
@@ -356,7 +382,11 @@ def f16_semantic_chunks(spark, sf_dir):
     return chunking.chunked(docs, "doc_id", "text", "scored", 50)
 
 
-@_r.query("f17_nested_chunks")
+@_r.query("f17_nested_chunks", """
+with p as (select doc_id, i, substr(text, (i * 1024 + 1)::bigint, 1024) as t from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 1024) / 1024.0)::int + 1))) as i from documents where length(text) > 0)),
+q as (select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as parent_index, t from p where length(trim(t)) >= 1),
+c as (select doc_id, parent_index, i, substr(t, (i * 256 + 1)::bigint, 256) as text from (select *, unnest(range(0, greatest(1, ceil((length(t) - 256) / 256.0)::int + 1))) as i from q))
+select doc_id, parent_index, (row_number() over (partition by doc_id, parent_index order by i) - 1)::int as chunk_index, text from c where length(trim(text)) >= 1""")
 def f17_nested_chunks(spark, sf_dir):
     return chunking.nested(table(spark, sf_dir, "documents"), "doc_id", "text")
 

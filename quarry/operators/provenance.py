@@ -8,7 +8,9 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from quarry.operators.sessions import folded
 from quarry.session import checkpointed
 
 GENESIS = "genesis"
@@ -34,14 +36,14 @@ def entry_hash(previous: Column, payload: Column) -> Column:
 
 
 def chained(rows: DataFrame, key: str, order: list[str], payload: Column) -> DataFrame:
-    """rows with prev_hash and entry_hash: each entry's hash covers the one before of its key. A fold over a
-    key's payloads; a key's entries are what one task holds."""
-    listed = rows.withColumn("_payload", payload).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "_payload"))).alias("_e"))
-    last = lambda acc: F.when(F.size(acc) == 0, F.lit(GENESIS)).otherwise(F.try_element_at(acc, F.lit(-1)))
-    hashes = F.aggregate("_e", F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(entry_hash(last(acc), x["_payload"]))))
-    out = listed.withColumn("_h", hashes).select(key, F.posexplode(F.arrays_zip(F.col("_e").alias("e"), F.col("_h").alias("h"))).alias("_i", "x"))
-    by = Window.partitionBy(key).orderBy("_i")
-    return out.select(key, *[F.col(f"x.e.{c}").alias(c) for c in order], F.col("x.e._payload").alias("payload"), F.lag("x.h", 1, GENESIS).over(by).alias("prev_hash"), F.col("x.h").alias("entry_hash"))
+    """(key, order, payload, prev_hash, entry_hash): each entry's hash covers the one before of its key. A fold
+    over a key's payloads, which stream through; from a null payload on, hashes are null."""
+
+    def step(held: str | None, own: str | None) -> tuple[str | None, str | None]:
+        return None if held is None or own is None else hashlib.sha256((held + own).encode()).hexdigest(), held
+
+    out = folded(rows.select(key, *order, payload.alias("payload")), key, order, ["payload"], GENESIS, step, "prev_hash", StringType())
+    return out.withColumn("entry_hash", entry_hash(F.col("prev_hash"), F.col("payload")))
 
 
 def broken_links(rows: DataFrame, key: str, order: list[str], payload: Column, stored: str) -> DataFrame:

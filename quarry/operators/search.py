@@ -46,11 +46,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
                 if metric == "cosine":
                     norm = np.outer(size, np.linalg.norm(rows, axis=1))
                     score = np.where(norm > 0, wanted @ rows.T / np.where(norm > 0, norm, 1), 0.0)
-                else:
-                    score = -np.sqrt(np.maximum(0, ((wanted[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2)))
                 for j in range(len(names)):
-                    best = np.lexsort((-ids if metric == "cosine" else ids, -score[j]))[:k]
-                    yield pd.DataFrame({"query_id": names[j], "id": ids[best], "score": score[j][best]})
+                    # distances a query at a time: a matrix of rows by dimensions is all that is held
+                    own = score[j] if metric == "cosine" else -np.sqrt(((rows - wanted[j]) ** 2).sum(axis=1))
+                    best = np.lexsort((-ids if metric == "cosine" else ids, -own))[:k]
+                    yield pd.DataFrame({"query_id": names[j], "id": ids[best], "score": own[best]})
 
         rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
         found = rows.mapInPandas(run, "query_id long, id long, score double")
@@ -63,8 +63,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str
     return ranked.withColumn("score", F.round(F.when(F.lit(metric == "cosine"), F.col("score")).otherwise(-F.col("score")), 6))
 
 
-def _weights(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    frequencies = S.term_frequencies(corpus, id_col, text_col)
+def _weights(corpus: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    frequencies = S.term_frequencies(corpus, id_col, text_col, only=only)
     idf = S.inverse_document_frequencies(frequencies, corpus.count())
     return frequencies.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
 
@@ -78,8 +78,9 @@ def tfidf(corpus: DataFrame, queries: DataFrame, id_col: str, text_col: str, que
     """(query_id, id, score, rank): the sparse dot product of a query's term shares with tf * idf, not
     normalised; ties by falling id; scores of zero are left out."""
     asked = S.term_frequencies(queries, query_id, query_text).select(F.col(query_id).alias("query_id"), "term", F.col("tf").alias("qw"))
-    weights = _weights(corpus.select(id_col, text_col), id_col, text_col).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    scored = weights.join(F.broadcast(asked), "term").groupBy("query_id", F.col(id_col).alias("id")).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    # only the queries' terms are counted; how their tables are joined follows from their sizes
+    weights = _weights(corpus.select(id_col, text_col), id_col, text_col, asked.select("term").distinct())
+    scored = weights.join(asked, "term").groupBy("query_id", F.col(id_col).alias("id")).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
     return _top(scored, k, F.desc("id"))
 
 
@@ -91,8 +92,8 @@ def tfidf_cosine(corpus: DataFrame, queries: DataFrame, id_col: str, text_col: s
     idf = weights.select("term", "idf").distinct()
     asked = S.term_frequencies(queries, query_id, query_text).join(idf, "term").select(F.col(query_id).alias("query_id"), "term", (F.col("tf") * F.col("idf")).alias("qw"))
     sizes = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weights.join(F.broadcast(asked), "term").groupBy("query_id", id_col).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, id_col).join(F.broadcast(sizes), "query_id")
+    dots = weights.join(asked, "term").groupBy("query_id", id_col).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, id_col).join(sizes, "query_id")
     scored = scored.select("query_id", F.col(id_col).alias("id"), F.round(F.col("dot") / F.nullif(F.col("norm") * F.col("qnorm"), F.lit(0.0)), 6).alias("score"))
     return _top(scored, k, F.asc("id"))
 

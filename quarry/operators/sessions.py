@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, DataType, IntegerType, StructField, StructType
 
 
 def task_spans(
@@ -106,22 +111,40 @@ def windowed_counts(rows: DataFrame, key: str, ts: str, seconds: float, threshol
     return rows.withColumn("n_recent", F.count("*").over(by)).withColumn("alert", F.col("n_recent") >= threshold)
 
 
+def folded(rows: DataFrame, key: str, order: list[str], needs: list[str], start: object, step: Callable, out: str, kind: DataType) -> DataFrame:
+    """rows with a column that a fold over each key's rows in order gives: step(state, values of the columns in
+    needs) gives the next state and the row's value; a key begins with start. Rows stream through in
+    their sorted order, so a task holds a state and a batch, however many rows a key has; a key's
+    rows still go through one task, as the definition asks."""
+    schema = StructType([*rows.schema.fields, StructField(out, kind)])
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), start
+        for batch in batches:
+            made = []
+            for own, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in needs), strict=True):
+                if own != current:
+                    current, state = own, start
+                state, value = step(state, *values)
+                made.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[*batch.schema.names, out])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def spaced(rows: DataFrame, key: str, order: str, ts: str, seconds: float, strict: bool = False) -> DataFrame:
     """Rows accepted when the last accepted one of their key is at least so many seconds back (a cooldown,
     a dedup window or a delivery limit). Acceptance hangs on what was accepted before, so a key's
-    times are folded in order within its group; a key's rows are what one task holds."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(order).alias("o")))).alias("_r"))
+    times are folded in order. A row without a time is accepted only while none is."""
     gap = int(seconds * 1e6)
-    far = (lambda t, last: t - last > gap) if strict else (lambda t, last: t - last >= gap)
-    kept = F.aggregate(
-        "_r",
-        F.struct(F.lit(None).cast("long").alias("last"), F.slice(F.transform("_r", lambda x: x["o"]), 1, 0).alias("kept")),
-        lambda acc, x: F.when(acc["last"].isNull() | far(x["t"], acc["last"]), F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["o"])).alias("kept"))).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    accepted = listed.select(key, F.explode(kept).alias(order))
-    return rows.join(accepted, [key, order], "left_semi")
+
+    def step(last: int | None, t: int | None) -> tuple[int | None, bool]:
+        taken = last is None or (t is not None and (t - last > gap if strict else t - last >= gap))
+        return (t if taken else last), taken
+
+    timed = rows.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    return folded(timed, key, ["_t", order], ["_t"], None, step, "_taken", BooleanType()).where("_taken").select(rows.columns)
 
 
 def transitions(rows: DataFrame, key: str, order: list[str], status: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -153,19 +176,14 @@ def backoff(attempts: DataFrame, attempt: str, base: float, factor: float, most:
 def fixed_windows(rows: DataFrame, key: str, start: str, end: str, text: str, seconds: float) -> DataFrame:
     """(key, segment, start, end, text, n): words put together in windows that begin with the first word
     not in the window before and are so many seconds long; data-dependent, so folded over a key's words."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(start, end, text))).alias("_w"))
-    empty = F.slice(F.transform("_w", lambda x: F.struct(F.lit(0).alias("seg"), x[start].alias("s"), x[end].alias("e"), x[text].alias("x"))), 1, 0)
-    folded = F.aggregate(
-        "_w",
-        F.struct(F.lit(-1).alias("seg"), F.lit(None).cast("double").alias("from"), empty.alias("out")),
-        lambda acc, w: F.when(
-            acc["from"].isNull() | (w[start] - acc["from"] >= seconds),
-            F.struct((acc["seg"] + 1).alias("seg"), w[start].cast("double").alias("from"), F.concat(acc["out"], F.array(F.struct((acc["seg"] + 1).alias("seg"), w[start].alias("s"), w[end].alias("e"), w[text].alias("x")))).alias("out")),
-        ).otherwise(F.struct(acc["seg"].alias("seg"), acc["from"].alias("from"), F.concat(acc["out"], F.array(F.struct(acc["seg"].alias("seg"), w[start].alias("s"), w[end].alias("e"), w[text].alias("x")))).alias("out"))),
-        lambda acc: acc["out"],
-    )
-    placed = listed.select(key, F.posexplode(folded).alias("pos", "w")).select(key, "pos", "w.*")
-    return placed.groupBy(key, F.col("seg").alias("segment")).agg(
-        F.min("s").alias("start"), F.max("e").alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]), " ").alias("text"), F.count("*").alias("n"),
+
+    def step(state: tuple[int, float | None], t: float) -> tuple[tuple[int, float | None], int]:
+        segment, since = state
+        state = (segment + 1, t) if since is None or t - since >= seconds else state
+        return state, state[0]
+
+    placed = folded(rows.select(key, start, end, text), key, [start, end, text], [start], (-1, None), step, "segment", IntegerType())
+    return placed.groupBy(key, "segment").agg(
+        F.min(start).alias("start"), F.max(end).alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, end, text))), lambda v: v[text]), " ").alias("text"), F.count("*").alias("n"),
     )

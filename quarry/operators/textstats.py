@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import checkpointed
 
 
-def term_frequencies(docs: DataFrame, id_col: str, text_col: str, tokens=T.ascii_tokens) -> DataFrame:
-    """(id, term, n, tf): occurrences of each term of a text and their share of its tokens."""
+def term_frequencies(docs: DataFrame, id_col: str, text_col: str, tokens=T.ascii_tokens, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, n, tf): occurrences of each term of a text and their share of its tokens; with `only`, of
+    the terms in its column term."""
     split = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
     rows = split.select(id_col, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
+    rows = rows if only is None else rows.join(only, "term", "left_semi")
     counted = rows.groupBy(id_col, "term").agg(F.count("*").alias("n"), F.first("_len").alias("_len"))
     return counted.select(id_col, "term", "n", (F.col("n") / F.greatest("_len", F.lit(1))).alias("tf"))
 
@@ -35,12 +38,23 @@ def stop_terms(docs: DataFrame, text_col: str, top_share: float = 0.1) -> DataFr
     edge = running.crossJoin(F.broadcast(limit)).where(F.col("_up") >= F.col("_most")).agg(F.max("df").alias("_edge"), F.first("_most").alias("_most"))
     near = counted.crossJoin(F.broadcast(edge)).where(F.col("df") >= F.col("_edge"))
     above = near.where(F.col("df") > F.col("_edge"))
-    ties = near.where(F.col("df") == F.col("_edge")).withColumn("_rank", F.row_number().over(Window.partitionBy("df").orderBy("term")))
+    ties = _ranked(near.where(F.col("df") == F.col("_edge")), "term")
     room = above.agg(F.count("*").alias("_above"))
     fits = ties.crossJoin(F.broadcast(room)).where(F.col("_rank") <= F.col("_most") - F.col("_above"))
     return above.select("term", "df").unionByName(fits.select("term", "df"))
 
 
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """rows with _rank, from 1, in the order of a column: ranked within ranges of it, which begin where those
+    before end. The ranges are those of the rows as written."""
+    ranged = checkpointed(rows.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.withColumn("_in", inner).join(starts, "_range").withColumn("_rank", F.col("_start") + F.col("_in")).drop("_range", "_in", "_start")
+
+
 def keywords(docs: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
     """(id, keywords): the n most frequent terms that are no stop words, ties by first occurrence. A text
     without any has an empty array."""
@@ -62,12 +76,11 @@ def pmi_pairs(docs: DataFrame, id_col: str, text_col: str, min_frequency: int =
     total = F.broadcast(docs.agg(F.count("*").cast("double").alias("_total")))
     often = sets.groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_frequency)
     kept = sets.join(often.select("term"), "term", "left_semi")
-    # an array of a document's terms, then its pairs: one shuffle, and no join of large sides
+    # an array of a document's terms, then its pairs as they stream out: one shuffle, no join of large sides
     listed = kept.groupBy("_d").agg(F.array_sort(F.collect_list("term")).alias("_t"))
-    pairs = listed.select(
-        F.explode(F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: F.struct(x.alias("term_a"), y.alias("term_b")))))).alias("p")
-    )
-    counted = pairs.groupBy("p.term_a", "p.term_b").agg(F.count("*").alias("n"))
+    firsts = listed.select("_t", F.posexplode("_t").alias("_i", "term_a"))
+    pairs = firsts.select("term_a", F.explode(F.slice("_t", F.col("_i") + 2, F.size("_t"))).alias("term_b"))
+    counted = pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
     side = lambda c, name: often.select(F.col("term").alias(c), F.col("freq").alias(name))
     joined = counted.join(side("term_a", "_fa"), "term_a").join(side("term_b", "_fb"), "term_b").crossJoin(total)
     together = F.col("n") / F.col("_total")

@@ -358,10 +358,10 @@ def f13_fixed_chunks(spark, sf_dir):
 @_r.query("f14_sentence_chunks", """
 with recursive s as materialized (select doc_id, unnest(x) as x, generate_subscripts(x, 1) as i from (select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as x from documents where text is not null)),
 c as (select doc_id, i, x as held, 0 as start, length(x) + 1 as place, cast(null as varchar) as text, cast(null as integer) as from_ from s where i = 1
-  union all select s.doc_id, s.i, case when held = '' then x when length(held) + 1 + length(x) >= 512 then right(held, 64) || ' ' || x else held || ' ' || x end,
-    case when held = '' or length(held) + 1 + length(x) >= 512 then place else start end, place + length(x) + 1,
-    case when held <> '' and length(held) + 1 + length(x) >= 512 then held end, case when held <> '' and length(held) + 1 + length(x) >= 512 then start end
-  from c join s on s.doc_id = c.doc_id and s.i = c.i + 1),
+  union all select doc_id, i, case when held = '' then x when length(longer) >= 512 then right(held, 64) || ' ' || x else longer end,
+    case when held = '' or length(longer) >= 512 then place else start end, place + length(x) + 1,
+    case when held <> '' and length(longer) >= 512 then held end, case when held <> '' and length(longer) >= 512 then start end
+  from (select s.doc_id, s.i, s.x, held, start, place, trim(held || ' ' || s.x, ' ' || chr(9) || chr(10) || chr(13)) as longer from c join s on s.doc_id = c.doc_id and s.i = c.i + 1)),
 o as (select doc_id, i - 1 as i, text, from_ as start_char from c where text is not null
   union all select doc_id, i, held, start from (select *, max(i) over (partition by doc_id) as m from c) where i = m and held <> ''),
 k as (select * from o where length(text) >= 10)

@@ -316,8 +316,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, sets: int, id_col: str, text_col:
     return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (x, y, a, b) of nodes and ids, those whose sets of k-word shingles have Jaccard similarity
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, rows: int) -> DataFrame:
+    """Of so many pairs (x, y, a, b) of nodes and ids, those whose sets of k-word shingles have Jaccard similarity
     >= num/den, with shared and union_size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both), pa.array(union)], names=["x", "y", "a", "b", "shared", "union_size"]).filter(good)
 
     one, two = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "xy")
-    joined = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b", "text_x", "text_y")
+    joined = sized(pairs.join(one, "x"), rows, EACH).join(two, "y").select("x", "y", "a", "b", "text_x", "text_y")
     return joined.mapInArrow(run, "x long, y long, a long, b long, shared long, union_size long")
 
 
@@ -345,8 +345,9 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of nodes whose sizes and sketches don't rule a link out, with the ids a and b."""
+def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int, rows: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose sizes and sketches don't rule a link out, with the ids a and b; rows is
+    the number of pairs, by which tasks are dealt."""
     levels = Levels(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,8 +361,8 @@ def _close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             yield batch.select([0, 1, 2, 3]).filter(pa.array(good))
 
     one, two = (sets.select(F.col("node").alias(c), F.col("rep").alias(i), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c, i in ("xa", "yb"))
-    joined = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "b", "nx", "ny", "sx", "sy")
-    return joined.mapInArrow(run, "x long, y long, a long, b long")
+    joined = sized(pairs.join(one, "x"), rows, EACH).join(two, "y").select("x", "y", "a", "b", "nx", "ny", "sx", "sy")
+    return sized(joined.mapInArrow(run, "x long, y long, a long, b long"), rows, EACH)
 
 
 def _spanning(one: np.ndarray, two: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> np.ndarray:
@@ -388,7 +389,7 @@ def _spanning(one: np.ndarray, two: np.ndarray, apart: np.ndarray, comp: np.ndar
 EVERY, ACROSS, SPANNING = range(3)
 
 
-def _around(members: DataFrame, sets: DataFrame, num: int, den: int, give: int, side: int = 4096) -> DataFrame:
+def _around(members: DataFrame, sets: DataFrame, num: int, den: int, give: int, rows: int, side: int = 4096) -> DataFrame:
     """Pairs (run, x, y, a, b) around a star whose sketches don't rule a link out. members: (run, node,
     component), run being the star. Its members are cut into parts of about `side` and each two parts
     meet in a group of their own, so no task holds them all; a member is dealt once for each part, so
@@ -396,7 +397,8 @@ def _around(members: DataFrame, sets: DataFrame, num: int, den: int, give: int,
     levels = Levels(num, den)
     spread = members.groupBy("run").agg(F.count("*").alias("m"), F.min("component").alias("u"), F.max("component").alias("v"))
     spread = (spread.where("m > 1") if give == EVERY else spread.where("u <> v")).select("run", F.ceil(F.col("m") / side).cast("int").alias("parts"))
-    own = members.join(spread, "run").join(sets, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = sized(members.join(spread, "run"), rows, EACH).join(sets, "node")
+    own = sized(own, rows, EACH).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "run", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "rep", "component", "n", "sketch"
     )
@@ -468,14 +470,14 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int,
     buckets = max(LEAST_BUCKETS, min(1 << 20, int((told.n or 0) * 0.8 / BUCKET) + 1))
     dealt = _deal(docs, id_col, text_col, k, Levels(num, den), buckets)
     met = checkpointed(dealt.groupBy("part").applyInArrow(_meet, "kind byte, a long, b long"))
-    kinds = {r.kind: r["count"] for r in met.groupBy("kind").count().collect()}
+    kinds = dict(enumerate(met.agg(*[F.count_if(F.col("kind") == x) for x in (PAIR, AROUND, UPPER)]).first()))
     pairs = met.where(F.col("kind") == PAIR).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
 
     def checked(pairs: DataFrame, n: int) -> DataFrame:
         wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id")))).alias("w")).select("w.id")
-        return checkpointed(sized(_verified(pairs, _texts(docs, wanted, told.m, id_col, text_col, k), k, num, den), n, EACH))
+        return checkpointed(sized(_verified(pairs, _texts(docs, wanted, told.m, id_col, text_col, k), k, num, den, n), n, EACH))
 
-    pairs = checkpointed(sized(_close(pairs, sets, num, den), kinds.get(PAIR, 0), EACH))
+    pairs = checkpointed(_close(pairs, sets, num, den, kinds.get(PAIR, 0)))
     links = checked(pairs, pairs.count())
     if not kinds.get(AROUND):
         return links, None
@@ -483,7 +485,7 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int,
     if kinds.get(UPPER):
         upper = met.where(F.col("kind") == UPPER).select(F.col("a").alias("top"), F.col("b").alias("run")).distinct()
         runs = runs.union(runs.join(upper, "run").select("top", "node"))
-    runs = runs.distinct()
+    runs = runs.repartition("node").distinct()
     joined, new = None, links
     for give in [EVERY] if every else [SPANNING, ACROSS]:
         if give == EVERY:
@@ -492,7 +494,7 @@ def _links(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, k: int,
             joined = _joined(joined, new)
             members = runs.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         members = checkpointed(sized(members, 2 * kinds[AROUND], EACH))
-        found = checkpointed(sized(_around(members, sets, num, den, give), kinds[AROUND], EACH))
+        found = checkpointed(sized(_around(members, sets, num, den, give, kinds[AROUND]), kinds[AROUND], EACH))
         pairs = found.select("x", "y", "a", "b").dropDuplicates(["x", "y"])
         n = pairs.count()
         if not n:

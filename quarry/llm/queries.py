@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, site_quality, suffix_tree, warc
+from quarry.llm import chat, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, sharding, site_quality, suffix_tree, warc
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -191,3 +191,12 @@ def op10_tool_calls(spark, sf_dir):
     """All messages as canonical lines with their calls linked (the generated table has no calls)."""
     schemas = {"search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}}}}
     return chat.linked(table(spark, sf_dir, "conversations"), schemas)
+
+
+@query("op13_sharding")
+def op13_sharding(spark, sf_dir):
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    rows, _ = sharding.slotted(table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, sharding, site_quality, suffix_tree, warc
+from quarry.llm import centroids, chat, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, sharding, site_quality, suffix_tree, warc
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -200,3 +200,32 @@ def op13_sharding(spark, sf_dir):
     return rows.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _clusters_sql(width: int = centroids.WIDTH, clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    apart = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select vec, arg_min(struct_pack(c := c.c, d := d), struct_pack(d := d, c := c.c)) as a from (select v.vec, c.c, {apart} as d from v, c{r} as c) as c group by vec)")
+        if r < rounds:
+            steps.append(
+                f"m{r} as (select a.c as c, i, sum(v.x[i]) as s, count(*) as n from a{r} join v using (vec), (select unnest(range(1, {width + 1})) as i) group by all),\n"
+                f"n{r} as (select c, list((s - ((s % n) + n) % n) // n order by i) as x from m{r} group by c),\n"
+                f"c{r + 1} as materialized (select c, coalesce(n.x, o.x) as x from c{r} as o left join n{r} as n using (c))"
+            )
+    return f"""
+with k as (select row_number() over () as vec, vec_id, embedding as e from embeddings where len(embedding) = {width} and len(list_filter(embedding, lambda y: isfinite(y))) = {width}),
+v as materialized (select vec, vec_id, list_transform(e, lambda y: floor({centroids.SCALE} * y::double)::hugeint) as x from k),
+c0 as materialized (select row_number() over (order by h, x) - 1 as c, x from (select sha256('{centroids.SEED}:' || vec_id) as h, x from v order by h, x limit {clusters})),
+{", ".join(steps)},
+t as (select a.c as c, sum(a.d) as t from a{rounds} group by 1),
+s as (select c, sha256(array_to_string(x, ',')) as h from c{rounds})
+select v.vec_id, a.c::int as cluster, a.d::bigint as distance, t.t::bigint as cluster_inertia, (select sum(t) from t)::bigint as inertia, s.h as centroid_sha256
+from a{rounds} join v using (vec) join t on t.c = a.c join s on s.c = a.c"""
+
+
+@query("op12_centroids", _clusters_sql())
+def op12_centroids(spark, sf_dir):
+    """40 clusters of all whole embeddings after five rounds."""
+    rows, _ = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return rows.withColumnRenamed("id", "vec_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import centroids, chat, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, sharding, site_quality, suffix_tree, warc
+from quarry.llm import centroids, chat, collocations, decontaminate, divergence, jaccard_join, pfair, reputation, secrets, sharding, site_quality, suffix_tree, warc
 from quarry.session import table
 
 QUERIES: dict = {}
@@ -229,3 +229,26 @@ def op12_centroids(spark, sf_dir):
     """40 clusters of all whole embeddings after five rounds."""
     rows, _ = centroids.clustered(table(spark, sf_dir, "embeddings"))
     return rows.withColumnRenamed("id", "vec_id")
+
+
+@query(
+    "op11_collocations",
+    r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as materialized (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest(range(1, 6)) as k) where len(w) >= k) group by all having count(*) >= 100),
+c as (select g.*, n.n, string_split(phrase, ' ') as parts, unnest(range(1, k)) as j from g join n using (lang) where k > 1),
+s as (select c.lang, c.phrase, c.f as a, c.n, c.j, l.f as l, r.f as r, (1000::hugeint * c.f * c.n) // (l.f::hugeint * r.f) as score
+  from c join g as l on l.lang = c.lang and l.phrase = array_to_string(c.parts[:c.j], ' ') join g as r on r.lang = c.lang and r.phrase = array_to_string(c.parts[c.j + 1:], ' ')),
+e as (select lang, phrase, a, n, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, j := j)) as v from s group by lang, phrase, a, n),
+b as (select lang, phrase, a, n, v.l as l, v.r as r, v.score as score from e),
+o as (select * from b where not exists (select 1 from g where g.lang = b.lang and 100 * g.f >= 100 * b.a and g.phrase <> b.phrase and contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))),
+t as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from o)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from t where rank <= 2000
+""",
+)
+def op11_collocations(spark, sf_dir):
+    """The best phrases of two to five words of each language of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))

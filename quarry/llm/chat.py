@@ -17,53 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._json import TooDeep, canonical, encodable, end_of, read, understood, violations
 from quarry.session import checkpointed
 
-CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
+OPEN, CLOSE = "<tool_call>", "</tool_call>"
+SPACE = re.compile(r"\s*")
 
 _CALL = "struct<id:string,name:string,arguments:string,needs:array<string>,errors:array<string>>"
 _PARSED = f"conv_id long, turn long, role string, content string, calls array<{_CALL}>, answers string"
 
 
-def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-_TYPES = {
-    "string": str, "boolean": bool, "object": dict, "array": list, "null": type(None),
-    "integer": int, "number": (int, float),
-}
-
-
-def violations(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What of a value breaks a schema, in a fixed order: type, enum, required, properties,
-    additionalProperties, items, minimum, maximum and pattern are understood."""
-    out = []
-    kind = schema.get("type")
-    kinds = kind if isinstance(kind, list) else [kind] if kind else []
-    if kinds and not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
-        return [f"{at}: not of type {'|'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{at}: not in enum")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
-        for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
-        for i, x in enumerate(value):
-            out += violations(x, schema["items"], f"{at}[{i}]")
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"{at}: below minimum"] if value < schema.get("minimum", value) else []
-        out += [f"{at}: above maximum"] if value > schema.get("maximum", value) else []
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        out.append(f"{at}: no match of pattern")
-    return out
-
-
 def _needs(value: object) -> list[str]:
     """The ids of results that arguments refer to: {"$ref": id} at any depth."""
     if isinstance(value, dict):
@@ -73,52 +36,84 @@ def _needs(value: object) -> list[str]:
     return [x for v in value for x in _needs(v)] if isinstance(value, list) else []
 
 
+def _string(value: object) -> str | None:
+    return encodable(value) if isinstance(value, str) else None
+
+
 def _call(raw: str, schemas: dict[str, dict]) -> dict:
     try:
-        found = json.loads(raw)
-    except (ValueError, RecursionError):
-        found = None
+        found, wrong = read(raw), "not a JSON object"
+    except TooDeep as deep:
+        found, wrong = None, str(deep)
+    except ValueError:
+        found, wrong = None, "not a JSON object"
     if not isinstance(found, dict):
-        return {"id": None, "name": None, "arguments": canonical(raw), "needs": [], "errors": ["not a JSON object"]}
+        return {"id": None, "name": None, "arguments": canonical(raw), "needs": [], "errors": [wrong]}
     name, given = found.get("name"), found.get("arguments", {})
+    errors = [] if isinstance(found.get("id"), str) else ["no id"]
     if isinstance(given, str):
         try:
-            given = json.loads(given)
-        except (ValueError, RecursionError):
+            given = read(given)
+        except TooDeep as deep:
+            errors.append(f"arguments: {deep}")
+        except ValueError:
             pass
-    errors = [] if isinstance(found.get("id"), str) else ["no id"]
     if not isinstance(name, str) or name not in schemas:
         errors.append("unknown tool")
     else:
         errors += violations(given, schemas[name])
-    return {
-        "id": found["id"] if isinstance(found.get("id"), str) else None, "name": name if isinstance(name, str) else None,
-        "arguments": canonical(given), "needs": _needs(given), "errors": errors,
-    }
+    return {"id": _string(found.get("id")), "name": _string(name), "arguments": canonical(given), "needs": [encodable(x) for x in _needs(given)], "errors": [encodable(x) for x in errors]}
+
+
+def _calls(body: str) -> tuple[str, list[str]]:
+    """The text outside of calls, and what each call holds. A call ends at the closing tag behind its JSON object; a tag
+    within a string of it is part of the string. What is no object ends at the next closing tag;
+    a call that isn't closed is text."""
+    rest, held, at = [], [], 0
+    while (opened := body.find(OPEN, at)) >= 0:
+        start = opened + len(OPEN)
+        found = end_of(body, SPACE.match(body, start).end())
+        closed = SPACE.match(body, found[0]).end() if found else -1
+        if not found or not body.startswith(CLOSE, closed):
+            closed = body.find(CLOSE, start)
+        if closed < 0:
+            break
+        rest.append(body[at:opened])
+        held.append(body[start:closed].strip())
+        at = closed + len(CLOSE)
+    return "".join([*rest, body[at:]]).strip(), held
 
 
 def parsed(messages: DataFrame, schemas: dict[str, dict], conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, role, content, calls, answers): answers is the id that a result answers."""
+    """(conv_id, turn, role, content, calls, answers): answers is the id that a result answers.
+
+    A call that is no strict JSON object, NaN and numbers that no float holds included, or that nests deeper
+    than DEPTH, has no id, its text as arguments and an error that says so; a result of that kind
+    is text. Lone surrogates, which UTF-8 can't hold, stay as escapes. Raises ValueError for a schema
+    with a keyword that isn't understood."""
+    for schema in schemas.values():
+        understood(schema)
 
-    def read(kind: str | None, body: str | None) -> tuple[str, list, str | None]:
+    def told(kind: str | None, body: str | None) -> tuple[str, list, str | None]:
         body = body or ""
-        if kind == "assistant" and "<tool_call>" in body:
-            return CALL.sub("", body).strip(), [_call(x, schemas) for x in CALL.findall(body)], None
+        if kind == "assistant" and OPEN in body:
+            content, held = _calls(body)
+            return content, [_call(x, schemas) for x in held], None
         if kind == "tool":
             try:
-                found = json.loads(body)
-            except (ValueError, RecursionError):
+                found = read(body)
+            except ValueError:
                 found = None
             if isinstance(found, dict) and isinstance(found.get("tool_call_id"), str):
                 content = found.get("content", "")
-                return content if isinstance(content, str) else canonical(content), [], found["tool_call_id"]
+                return encodable(content) if isinstance(content, str) else canonical(content), [], encodable(found["tool_call_id"])
         return body, [], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = pa.string()
         call = pa.struct([("id", text), ("name", text), ("arguments", text), ("needs", pa.list_(text)), ("errors", pa.list_(text))])
         for batch in batches:
-            made = [read(k, x) for k, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            made = [told(k, x) for k, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             added = [pa.array([x[i] for x in made], kind) for i, kind in enumerate((text, pa.list_(call), text))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], names=["conv_id", "turn", "role", "content", "calls", "answers"])
 

@@ -1,12 +1,13 @@
 import hashlib
 import json
+import re
 import struct
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, warc
+from quarry.llm import _json, chat, warc
 from tests.llm import helpers
 
 BIG = "<p>" + "same words here " * 20 + "</p>"
@@ -112,13 +113,63 @@ def test_order_is_topological(spark):
 
 
 def test_schemas():
-    check = lambda v, s: chat.violations(v, s)
+    check = lambda v, s: _json.violations(v, s)
     assert check(True, {"type": "integer"}) and not check(1, {"type": "number"}) and check("x", {"enum": ["y"]}) == ["$: not in enum"]
     assert check({"l": [1, "a"]}, {"properties": {"l": {"items": {"type": "integer"}}}}) == ["$.l[1]: not of type integer"]
     assert check("ab", {"pattern": "^b"}) == ["$: no match of pattern"] and check(3, {"maximum": 2}) == ["$: above maximum"]
 
 
+def test_more_schema_words():
+    for value, schema, wrong in [
+        ("ab", {"minLength": 3}, "too short"), ("ab", {"maxLength": 1}, "too long"), (1, {"const": True}, "not the constant"), (1.0, {"const": 1}, None), (1, {"enum": [True]}, "not in enum"),
+        (5, {"anyOf": [{"type": "string"}, {"maximum": 3}]}, "breaks anyOf"), (5, {"oneOf": [{"minimum": 1}, {"minimum": 2}]}, "breaks oneOf"), (5, {"allOf": [{"minimum": 1}, {"minimum": 9}]}, "breaks allOf"),
+        (5, {"not": {"type": "integer"}}, "breaks not"), ([1, 1.0], {"uniqueItems": True}, "repeated items"), ([1, True], {"uniqueItems": True}, None), ([], {"minItems": 1}, "too few items"), ([1], {"maxItems": 0}, "too many items"),
+        (2, {"exclusiveMinimum": 2}, "below minimum"), (2, {"exclusiveMaximum": 2}, "above maximum"), (5, {"multipleOf": 2}, "no multiple"), (2.0, {"type": "integer"}, None), (2.5, {"type": "integer"}, "not of type integer"),
+        ({}, {"minProperties": 1}, "too few properties"), ({"a": 1}, {"maxProperties": 0}, "too many properties"), (1, False, "not allowed"), (1, {"title": "x", "description": "y"}, None),
+    ]:
+        _json.understood(schema)
+        assert _json.violations(value, schema) == ([f"$: {wrong}"] if wrong else [])
+    assert _json.violations({"a": "x"}, {"additionalProperties": {"type": "integer"}}) == ["$.a: not of type integer"]
+    for schema in ({"minimun": 1}, {"properties": {"a": {"if": {}}}}, {"type": "str"}, {"items": 3}, {"pattern": "("}):
+        with pytest.raises((ValueError, re.error)):
+            _json.understood(schema)
+
+
+def test_calls_that_json_cannot_hold_are_told_and_kill_nothing(spark):
+    deep, odd = "[" * 2000 + "]" * 2000, "\\ud800"
+    within = '<tool_call>{"id": "t", "name": "add", "arguments": {"a": 1, "b": "</tool_call> {"}} </tool_call>'
+    rows = [
+        (1, 0, "assistant", f'<tool_call>{{"id": "x{odd}", "name": "add", "arguments": {{"b": "{odd}", "a": 1}}}}</tool_call>'), (1, 1, "tool", f'{{"tool_call_id": "x{odd}", "content": "{odd}"}}'),
+        (2, 0, "assistant", f'<tool_call>{{"id": "d", "name": "add", "arguments": {deep}}}</tool_call>'), (2, 1, "tool", f'{{"tool_call_id": "d", "content": {deep}}}'),
+        (3, 0, "assistant", '<tool_call>{"id": "n", "name": "add", "arguments": {"a": NaN}}</tool_call>'), (3, 1, "assistant", '<tool_call>{"id": "n", "arguments": {"a": 1e999}}</tool_call>'),
+        (4, 0, "assistant", f"before {within} after"), (4, 1, "assistant", "open <tool_call>{"), (4, 2, "assistant", f'<tool_call>{{"id": "s", "name": "add", "arguments": {json.dumps(deep)}}}</tool_call>'),
+        (5, 0, "assistant", "<tool_call>[</tool_call> and <tool_call>{} x</tool_call>"), (6, 0, "assistant", f'<tool_call>{{"id": "{odd}", "name": "{odd}"}}</tool_call>'),
+    ]
+    got = lines(spark, rows)
+    told = {k: json.loads(r.line) for k, r in got.items()}
+    assert len(got) == len(rows) and all(_json.read(r.line) for r in got.values())
+    assert told[1, 0]["tool_calls"] == [{"arguments": {"a": 1, "b": "\ud800"}, "errors": [], "id": "x\\ud800", "name": "add"}]
+    assert (got[1, 0].n_answered, got[1, 1].answered_by, told[1, 1]["content"]) == (1, 0, "\\ud800")
+    assert told[2, 0]["tool_calls"][0]["errors"] == ["nested deeper than 128"] and told[2, 0]["tool_calls"][0]["id"] is None and told[2, 1]["content"] == rows[3][3]
+    assert [told[3, t]["tool_calls"][0]["errors"] for t in (0, 1)] == [["not a JSON object"]] * 2
+    assert told[4, 0]["content"] == "before  after" and told[4, 0]["tool_calls"][0]["arguments"] == {"a": 1, "b": "</tool_call> {"} and not told[4, 0]["tool_calls"][0]["errors"]
+    assert (told[4, 1]["content"], told[4, 1]["tool_calls"]) == ("open <tool_call>{", []) and told[4, 2]["tool_calls"][0]["errors"][0] == "arguments: nested deeper than 128"
+    assert [c["errors"] for c in told[5, 0]["tool_calls"]] == [["not a JSON object"]] * 2 and told[5, 0]["content"] == "and"
+    assert told[6, 0]["tool_calls"][0]["errors"] == ["unknown tool"] and told[6, 0]["tool_calls"][0]["name"] == "\\ud800"
+
+
+def test_depth_is_that_of_brackets_outside_of_strings():
+    assert _json.read("[" * 128 + "]" * 128) and _json.read('{"a": "[[["}') == {"a": "[[["}
+    with pytest.raises(_json.TooDeep):
+        _json.read("[" * 129 + "]" * 129)
+    assert _json.end_of('x{"}": [1]} y', 1) == (11, 2) and _json.end_of("{[", 0) is None and _json.end_of("x", 0) is None
+
+
 def test_odd_messages(spark):
-    df = spark.createDataFrame([(i, 0, l, t) for i, t, l, _ in helpers.ODD], "conv_id long, turn long, role string, text string")
-    assert chat.linked(df).count() == len(helpers.ODD)
+    rows = [(i, 0, l, t) for i, t, l, _ in helpers.ODD]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.linked(df).collect()
+    wanted = sorted(_json.canonical({"content": t or "", "conv_id": i, "role": l, "tool_calls": [], "turn": 0}) for i, _, l, t in rows)
+    assert sorted(r.line for r in got) == wanted
+    assert {(r.at, r.depth, r.n_calls, r.n_answered, r.n_invalid, r.n_needs_unmet, r.answered_by) for r in got} == {(0, 0, 0, 0, 0, 0, None)}
     assert chat.linked(df.limit(0)).count() == 0

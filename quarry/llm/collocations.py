@@ -25,6 +25,8 @@ from quarry.llm._words import Lexer, mix, slices, words
 from quarry.session import checkpointed
 
 LEAST, LONGEST, MOST, SCALE = 100, 5, 2000, 1000
+#: Hands to which a language's phrases are dealt before its best are found.
+HANDS = 64
 #: Tokens or phrases that a task gathers before it hands their counts on.
 FLUSH = 4_000_000
 #: Bits of the broadcast table for each frequent phrase, and the most there are (32 MB).
@@ -203,8 +205,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     score is floor(SCALE * a * n / (l * r)), exact for counts of any size. Ties go by a, then by the phrase's bytes. Null
     texts are empty, null languages are "und"; a repeated row counts again; a text of any length is read
     whole. An empty table gives no rows. Other columns are not read. No task holds the counts of a
-    language: words and phrases are summed within tasks, then by their keys; of the ranks, each
-    task hands on its best."""
+    language: words and phrases are summed within tasks, then by their keys; a language's best are
+    found among those of HANDS parts."""
     made, total = levels(docs, lang_col, text_col, least, longest)
     exact = lambda x: x.cast("decimal(19,0)")
     parts = []
@@ -221,6 +223,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("n"), "phrase")
-    ranked = out.select("lang", "phrase", "n", "total", "c.score", "c.l", "c.r").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    order = [F.desc("score"), F.desc("n"), F.col("phrase")]
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    rows = out.select("lang", "phrase", "n", "total", "c.score", "c.l", "c.r", F.pmod(F.col("id"), F.lit(HANDS)).cast("int").alias("hand"))
+    # the best of each hand of a language first, so that however many tasks there are, few rows meet
+    few = rows.withColumn("rank", best("lang", "hand")).where(F.col("rank") <= most)
+    ranked = few.withColumn("rank", best("lang")).where(F.col("rank") <= most)
     return ranked.select("lang", "rank", "phrase", F.col("n").alias("a"), "l", "r", F.col("total").alias("n"), "score")

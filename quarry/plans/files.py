@@ -212,17 +212,14 @@ def r1_replayed(spark, sf_dir):
     path = _folder(spark, "replay")
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     rows.repartition(4, "event_id").write.parquet(path)
-    held = f"r1_{uuid.uuid4().hex[:12]}"
-    streams.drained(streams.replayed(spark, path, "event_id long, ts timestamp_ntz, user_id long, event_type string"), held, "append", _folder(spark, "stream"))
-    return spark.table(held).select("event_id", "user_id", "event_type")
+    stream = streams.replayed(spark, path, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    return streams.stored(stream, _folder(spark, "replayed"), _folder(spark, "stream")).select("event_id", "user_id", "event_type")
 
 
 @_r.query("c22_counters", "select event_type, count(*) as n from events group by event_type")
 def c22_counters(spark, sf_dir):
     """Running counts by kind of event."""
-    held = f"c22_{uuid.uuid4().hex[:12]}"
-    streams.drained(streams.counters(_stream(spark, sf_dir), "event_type"), held, "complete", _folder(spark, "stream"))
-    return spark.table(held)
+    return streams.stored(streams.counters(_stream(spark, sf_dir), "event_type"), _folder(spark, "counters"), _folder(spark, "stream"), "complete")
 
 
 @_r.query("r8_sink_with_dead_letters", "select event_id, user_id, cast(null as varchar) as error from events where event_type <> 'error' union all select event_id, user_id, 'ValueError: errors are refused' from events where event_type = 'error'")

@@ -258,6 +258,5 @@ def _drained(spark, stream, name, mode):
 
     from quarry.session import shared_dir
 
-    held = f"{name}_{uuid.uuid4().hex[:12]}"
-    streams.drained(stream, held, mode, f"{shared_dir(spark)}/stream-{held}")
-    return spark.table(held)
+    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    return streams.stored(stream, f"{folder}/out", f"{folder}/state", mode)

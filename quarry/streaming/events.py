@@ -107,3 +107,23 @@ def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return query
+
+
+def stored(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now into Parquet files: appended once (append), or the last
+    result (complete). Run again with the same folders, it goes on behind what it has read."""
+    if mode == "complete":
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = stream.writeStream.outputMode(mode).format("parquet").option("path", path)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def in_batches(rows: DataFrame, batch: str, folder: str, run: Callable[[], object]) -> None:
+    """Appends the rows of each value of a column of batch numbers to a folder, in order, and calls `run`
+    after each: a stream on the folder sees batch after batch, whatever files they are dealt to."""
+    numbers = sorted(r[0] for r in rows.select(batch).distinct().collect())
+    for number in numbers:
+        rows.where(F.col(batch) == number).drop(batch).write.mode("append").parquet(folder)
+        run()

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BooleanType, DataType, IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
+
+from quarry.session import checkpointed
 
 
 def task_spans(
@@ -133,18 +135,79 @@ def folded(rows: DataFrame, key: str, order: list[str], needs: list[str], start:
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def spaced(rows: DataFrame, key: str, order: str, ts: str, seconds: float, strict: bool = False) -> DataFrame:
-    """Rows accepted when the last accepted one of their key is at least so many seconds back (a cooldown,
-    a dedup window or a delivery limit). Acceptance hangs on what was accepted before, so a key's
-    times are folded in order. A row without a time is accepted only while none is."""
-    gap = int(seconds * 1e6)
+#: Bins of a gap that are put in order together; what a key has beyond that is put in order by such runs.
+RUN = 4096
+
+
+def _micros(seconds: float) -> int:
+    return int(round(seconds * 1e6))
+
+
+def _ordered(marks: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """marks, (keys, at) without repeats, with number (from 0, in order within a key) and following (the next at).
+    Marks are put in order in runs of `width`, and runs by their counts, so no task holds all of a
+    key unless its runs are as many."""
+    runs = marks.withColumn("_run", F.col(at) - F.pmod(F.col(at), F.lit(width)))
+    within = Window.partitionBy(*keys, "_run").orderBy(at)
+    over = Window.partitionBy(*keys).orderBy("_run")
+    sums = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
+    sums = sums.select(*keys, "_run", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(over).alias("_next"))
+    placed = runs.withColumns({"_in": F.row_number().over(within) - 1, "_after": F.lead(at).over(within)})
+    return placed.join(sums, [*keys, "_run"]).select(*marks.columns, (F.col("_before") + F.col("_in")).alias("number"), F.coalesce("_after", "_next").alias("following"))
+
+
+def _chained(times: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """(keys, t) of the times that a walk of each key takes: its first, then always the first that is `step` or
+    more behind the last one taken. times, (keys, t), has no repeats.
+
+    Where a walk would go from each time is found by bins of a step: that is in the next bin, or the first
+    time of the next bin that has one. Then pointers are doubled: after k rounds the walk's first 2^k
+    places are marked, so rounds grow with the logarithm of the longest walk. Joins are by key and time, so
+    a key's times are dealt to all tasks."""
+    binned = times.withColumn("bin", F.col("t") - F.pmod(F.col("t"), F.lit(step)))
+    firsts = _ordered(binned.groupBy(*keys, "bin").agg(F.min("t").alias("t")).select(*keys, "bin"), keys, "bin", step * RUN)
+    least = binned.groupBy(*keys, "bin").agg(F.min("t").alias("first"))
+    # the first time at or behind t + step in the bin of that time
+    asked = binned.select(*keys, "t", (F.col("bin") + step).alias("bin"), (F.col("t") + step).alias("at"), F.lit(None).cast("long").alias("own"))
+    held = binned.select(*keys, F.lit(None).cast("long").alias("t"), "bin", F.col("t").alias("at"), F.col("t").alias("own"))
+    ahead = Window.partitionBy(*keys, "bin").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    near = asked.unionByName(held).withColumn("next", F.min("own").over(ahead)).where("t is not null").select(*keys, "t", (F.col("bin") - step).alias("bin"), "next")
+    # else the first of the next bin beyond that one
+    later = firsts.select(*keys, "bin", "following").join(least.select(*keys, F.col("bin").alias("following"), F.col("first").alias("then")), [*keys, "following"])
+    beyond = later.select(*keys, "bin", "following", "then")
+    after = beyond.join(beyond.select(*keys, F.col("bin").alias("following"), F.col("then").alias("_second")), [*keys, "following"], "left")
+    far = after.select(*keys, "bin", F.when(F.col("following") > F.col("bin") + step, F.col("then")).otherwise(F.col("_second")).alias("far"))
+    jumps = checkpointed(near.join(far, [*keys, "bin"], "left").select(*keys, "t", F.coalesce("next", "far").alias("next")).where("next is not null"))
+    taken = checkpointed(times.groupBy(*keys).agg(F.min("t").alias("t")))
+    while True:
+        reached = taken.join(jumps, [*keys, "t"]).select(*keys, F.col("next").alias("t"))
+        if reached.isEmpty():
+            return taken
+        taken = checkpointed(taken.unionByName(reached))
+        jumps = checkpointed(jumps.join(jumps.select(*keys, F.col("t").alias("next"), F.col("next").alias("_then")), [*keys, "next"]).select(*keys, "t", F.col("_then").alias("next")))
+
+
+def _keyed(rows: DataFrame, key: str, t: Column) -> DataFrame:
+    """rows with _k and _null, the key without nulls and whether it is null, so that joins find null keys, and _t."""
+    kind = rows.schema[key].dataType.simpleString()
+    none = F.lit("") if kind == "string" else F.lit(0).cast(kind)
+    return rows.withColumns({"_k": F.coalesce(F.col(key), none), "_null": F.col(key).isNull(), "_t": t})
 
-    def step(last: int | None, t: int | None) -> tuple[int | None, bool]:
-        taken = last is None or (t is not None and (t - last > gap if strict else t - last >= gap))
-        return (t if taken else last), taken
 
-    timed = rows.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    return folded(timed, key, ["_t", order], ["_t"], None, step, "_taken", BooleanType()).where("_taken").select(rows.columns)
+def spaced(rows: DataFrame, key: str, order: str, ts: str, seconds: float, strict: bool = False) -> DataFrame:
+    """Rows accepted when the last accepted one of their key is at least so many seconds back (more than that, if
+    strict): a cooldown, a dedup window or a delivery limit. Of rows of one time the first by `order` counts. Rows
+    without a time are all accepted and hold nobody back; null keys are a key. No task holds a key's
+    rows: see _chained."""
+    step = _micros(seconds) + (1 if strict else 0)
+    timed = _keyed(rows, key, F.unix_micros(F.col(ts).cast("timestamp")))
+    if step <= 0:
+        return rows
+    marks = _chained(timed.where("_t is not null").select("_k", "_null", F.col("_t").alias("t")).distinct(), ["_k", "_null"], step)
+    at = timed.join(marks.withColumnRenamed("t", "_t"), ["_k", "_null", "_t"])
+    whole = F.struct(*rows.columns)
+    first = at.groupBy("_k", "_null", "_t").agg(F.min_by(whole, F.struct(F.col(order).isNotNull(), order)).alias("r")).select("r.*")
+    return first.unionByName(rows.where(F.col(ts).isNull()))
 
 
 def transitions(rows: DataFrame, key: str, order: list[str], status: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -175,15 +238,20 @@ def backoff(attempts: DataFrame, attempt: str, base: float, factor: float, most:
 
 def fixed_windows(rows: DataFrame, key: str, start: str, end: str, text: str, seconds: float) -> DataFrame:
     """(key, segment, start, end, text, n): words put together in windows that begin with the first word
-    not in the window before and are so many seconds long; data-dependent, so folded over a key's words."""
-
-    def step(state: tuple[int, float | None], t: float) -> tuple[tuple[int, float | None], int]:
-        segment, since = state
-        state = (segment + 1, t) if since is None or t - since >= seconds else state
-        return state, state[0]
-
-    placed = folded(rows.select(key, start, end, text), key, [start, end, text], [start], (-1, None), step, "segment", IntegerType())
-    return placed.groupBy(key, "segment").agg(
+    not in the window before and are so many seconds long. Where windows begin hangs on where those
+    before began: see _chained. Words without a start are in no window; null keys are a key. A window's
+    words meet in one row."""
+    step, keys = max(1, _micros(seconds)), ["_k", "_null"]
+    timed = _keyed(rows.select(key, start, end, text), key, F.round(F.col(start) * 1e6).cast("long")).where("_t is not null")
+    timed = timed.withColumn("_bin", F.col("_t") - F.pmod(F.col("_t"), F.lit(step)))
+    marks = _chained(timed.select(*keys, F.col("_t").alias("t")).distinct(), keys, step)
+    numbered = checkpointed(_ordered(marks, keys, "t", step * RUN).withColumn("_bin", F.col("t") - F.pmod(F.col("t"), F.lit(step))))
+    # a window that a word is in began in the word's bin or in the one before, and no bin has two
+    own = numbered.select(*keys, "_bin", F.col("t").alias("_own"), F.col("number").alias("_own_number"))
+    before = numbered.select(*keys, (F.col("_bin") + step).alias("_bin"), F.col("number").alias("_number"))
+    placed = timed.join(own, [*keys, "_bin"], "left").join(before, [*keys, "_bin"], "left")
+    segment = F.when(F.col("_own") <= F.col("_t"), F.col("_own_number")).otherwise(F.col("_number")).cast("int")
+    return placed.withColumn("segment", segment).groupBy(key, "segment").agg(
         F.min(start).alias("start"), F.max(end).alias("end"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(start, end, text))), lambda v: v[text]), " ").alias("text"), F.count("*").alias("n"),
     )

@@ -86,14 +86,44 @@ def j5_simhash_pairs(spark, sf_dir):
     return dedup.simhash_pairs(dedup.simhash(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@_r.query("c1_greedy_dedup")
+#: One text after another, in the order of ids: accepted ids as a list, edges as each text's earlier neighbours.
+_WALK = """,
+o as materialized (select doc_id, row_number() over (order by doc_id) as n, min(doc_id) over (partition by text) as first from documents),
+e as materialized (select b, list(a) as near from (select distinct a, b from p) group by b),
+w as (select 0::bigint as n, []::bigint[] as held
+  union all select o.n, case when o.first <> o.doc_id and list_contains(w.held, o.first) then w.held when list_has_any(coalesce(e.near, []), w.held) then w.held else list_append(w.held, o.doc_id) end
+  from w join o on o.n = w.n + 1 left join e on e.b = o.doc_id),
+k as materialized (select unnest(held) as id from (select held from w order by n desc limit 1)),
+best as (select b as id, arg_min(struct_pack(a := a, s := s, how := how), struct_pack(o := o, s := -s, a := a)) as m from p where a in (from k) group by b)
+select o.doc_id, o.doc_id not in (from k) as is_duplicate, case when o.doc_id in (from k) then null when o.first <> o.doc_id and o.first in (from k) then o.first else best.m.a end as duplicate_of,
+  case when o.doc_id in (from k) then null when o.first <> o.doc_id and o.first in (from k) then 1.0 else best.m.s end::double as similarity,
+  case when o.doc_id in (from k) then 'unique' when o.first <> o.doc_id and o.first in (from k) then 'exact' else best.m.how end as method
+from o left join best on best.id = o.doc_id"""
+_BANDED = """b as materialized (select doc_id, signature, unnest(range(0, 16)) as band, unnest(list_transform(range(0, 16), lambda i: array_to_string(signature[i*8+1:i*8+8], ','))) as key from g),
+c as (select distinct x.doc_id as a, y.doc_id as b from b x join b y on x.band = y.band and x.key = y.key and x.doc_id < y.doc_id),
+near as (select a, b, len(list_filter(range(1, 129), lambda i: x.signature[i] = y.signature[i])) / 128.0::double as s from c join g x on x.doc_id = a join g y on y.doc_id = b)"""
+
+
+@_r.query("c1_greedy_dedup", SIGNED.replace("with ", "with recursive ", 1) + ", " + _BANDED + ", p as materialized (select a, b, s, 0 as o, 'near' as how from near where s >= 0.85)" + _WALK)
 def c1_greedy_dedup(spark, sf_dir):
     """Decisions of a sequential MinHash index over all documents."""
-    found = dedup.greedy_decisions(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = dedup.greedy_decisions(table(spark, sf_dir, "documents"), "doc_id", "text", sign=dedup.derived_signatures)
     return found.withColumnRenamed("id", "doc_id")
 
 
-@_r.query("c2_cascade_dedup")
+_CHARACTERS = (
+    r"""with recursive n as (select doc_id, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') as f from documents),
+s as (select doc_id, case when length(f) < 5 then [f] else list_distinct(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) end as s from n),
+""" + SIGNED[len(_SHINGLED) :].rstrip().replace("g as (", "g as materialized (")
+)
+_HASHED = _simhash_sql().strip().removeprefix("with t as").replace("s as (select doc_id, (", "z as materialized (select doc_id, (")
+
+
+@_r.query(
+    "c2_cascade_dedup",
+    _CHARACTERS + ", t as" + _HASHED + ", " + _BANDED + """, p as materialized (select a, b, s, 0 as o, 'near' as how from near where s >= 0.8
+  union all select x.doc_id, y.doc_id, 0.9::double, 1, 'simhash' from z x join z y on x.doc_id < y.doc_id and bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 3)""" + _WALK,
+)
 def c2_cascade_dedup(spark, sf_dir):
     """Decisions by hash, then MinHash of characters, then SimHash."""
     return dedup.cascade_decisions(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")

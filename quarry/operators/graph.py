@@ -209,12 +209,18 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     return node.unionByName(edge)
 
 
+#: Characters of a term by which it is looked up in longer ones.
+PREFIX = 8
+
+
 def contained_terms(nodes: DataFrame) -> DataFrame:
-    """(term, other): terms of three or more characters found inside a longer one; they meet by their first
-    three characters among the other's runs of three, then are compared whole."""
+    """(term, other): terms of three or more characters found inside a longer one. A term's first PREFIX
+    characters, or all of a shorter one, meet the runs of that length of the others, which are as many as
+    a term has characters; then the whole terms are compared."""
     terms = nodes.select("term").distinct().where(F.length("term") >= 3)
-    left = terms.select("term", F.substring("term", 1, 3).alias("_g"))
-    right = terms.select(F.col("term").alias("other"), F.explode(F.array_distinct(F.regexp_extract_all("term", F.lit("(?s)(?=(.{3}))"), F.lit(1)))).alias("_g"))
+    left = terms.select("term", F.substring("term", 1, PREFIX).alias("_g"))
+    runs = F.flatten(F.array(*[F.regexp_extract_all("term", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(3, PREFIX + 1)]))
+    right = terms.select(F.col("term").alias("other"), F.explode(F.array_distinct(runs)).alias("_g"))
     return left.join(right, "_g").where((F.length("other") > F.length("term")) & F.contains("other", "term")).select("term", "other").distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,22 +69,36 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFra
     return found.select(id_col).join(listed, id_col, "left").select(id_col, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
-def pmi_pairs(docs: DataFrame, id_col: str, text_col: str, min_frequency: int = 2, min_pmi: float = 0.1) -> DataFrame:
-    """(term_a, term_b, n, pmi, npmi) of terms that occur together in a document more than by chance.
-
-    Terms are those of at least min_frequency documents, without action verbs; they are cut down before
-    the self-join, which is by document. npmi is 1 where a pair is in every document."""
-    sets = docs.select(F.col(id_col).alias("_d"), F.explode(F.array_distinct(F.filter(T.terms(F.col(text_col)), lambda w: ~w.isin(T.STOP_VERBS)))).alias("term"))
-    total = F.broadcast(docs.agg(F.count("*").cast("double").alias("_total")))
-    often = sets.groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_frequency)
-    kept = sets.join(often.select("term"), "term", "left_semi")
-    # an array of a document's terms, then its pairs as they stream out: one shuffle, no join of large sides
-    listed = kept.groupBy("_d").agg(F.array_sort(F.collect_list("term")).alias("_t"))
-    firsts = listed.select("_t", F.posexplode("_t").alias("_i", "term_a"))
-    pairs = firsts.select("term_a", F.explode(F.slice("_t", F.col("_i") + 2, F.size("_t"))).alias("term_b"))
-    counted = pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
-    side = lambda c, name: often.select(F.col("term").alias(c), F.col("freq").alias(name))
-    joined = counted.join(side("term_a", "_fa"), "term_a").join(side("term_b", "_fb"), "term_b").crossJoin(total)
+#: Terms of a text that are paired with as many others at a time.
+BLOCK = 128
+
+
+def pmi_pairs(docs: DataFrame, id_col: str, text_col: str, min_frequency: int = 2, min_pmi: float = 0.1, min_share: float = 0.0) -> DataFrame:
+    """(term_a, term_b, n, pmi, npmi, freq_a, freq_b) of terms that occur together in a document more than by
+    chance; npmi is 1 where a pair is in every document.
+
+    Terms are those of at least min_frequency documents and of a share min_share of all, without action verbs. A pair
+    is in no more documents than its rarer term, so its pmi is at most log2 of all documents by those of its
+    commoner one: terms too common for min_pmi go before pairs are made. Those that are left are
+    numbered in their order. A document's terms are paired in blocks, so a long text is dealt to many tasks;
+    pairs, two numbers in one, are counted within tasks first. With a share, a document has pairs enough to
+    fill the table of pairs, which then doesn't grow with the documents. Null texts have no terms."""
+    docs = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_x"))
+    sets = docs.select("_d", F.explode(F.array_distinct(F.filter(T.terms(F.col("_x")), lambda w: ~w.isin(T.STOP_VERBS)))).alias("term"))
+    n_docs = docs.count()
+    often = sets.groupBy("term").agg(F.count("*").alias("freq"))
+    often = often.where((F.col("freq") >= max(min_frequency, math.ceil(min_share * n_docs))) & (F.col("freq") <= n_docs * 2.0**-min_pmi))
+    numbered = checkpointed(_ranked(often, "term").withColumnRenamed("_rank", "_no"))
+    kept = sets.join(numbered.select("term", "_no"), "term")
+    listed = kept.groupBy("_d").agg(F.array_sort(F.collect_list("_no")).alias("_t"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_t) - 1) div {BLOCK}")), lambda i: F.slice("_t", (i * BLOCK + 1).cast("int"), BLOCK))
+    firsts = listed.select(cut.alias("_b")).select("_b", F.posexplode("_b").alias("_i", "_x"))
+    cells = firsts.select("_x", F.explode(F.slice("_b", F.col("_i") + 1, F.size("_b"))).alias("_y")).hint("rebalance")
+    pairs = cells.select("_y", F.explode("_x").alias("_a")).select("_a", F.explode("_y").alias("_c")).where("_a < _c")
+    counted = pairs.groupBy(F.shiftleft("_a", 32).bitwiseOR(F.col("_c")).alias("_pair")).agg(F.count("*").alias("n"))
+    side = lambda no, c, name: numbered.select(F.col("_no").alias(no), F.col("term").alias(c), F.col("freq").alias(name))
+    split = counted.select(F.shiftright("_pair", 32).alias("_a"), F.col("_pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("_c"), "n")
+    joined = split.join(side("_a", "term_a", "_fa"), "_a").join(side("_c", "term_b", "_fb"), "_c").withColumn("_total", F.lit(float(n_docs)))
     together = F.col("n") / F.col("_total")
     pmi = F.log2(together / ((F.col("_fa") / F.col("_total")) * (F.col("_fb") / F.col("_total"))))
     scored = joined.withColumn("pmi", pmi).where(F.col("pmi") >= min_pmi)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quarry.operators import graph as G
 from quarry.operators import textstats as S
 from quarry.plans._registry import Registry
-from quarry.session import table
+from quarry.plans.text import PAIRS_SQL, SHARE
+from quarry.session import checkpointed, table
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -112,30 +113,42 @@ def k7_dot(spark, sf_dir):
     return G.dot_lines(nodes, _places(spark, sf_dir))
 
 
-def _taxonomy(spark, sf_dir, name="benchmark", id_col="item_id"):
-    docs = table(spark, sf_dir, name)
-    pairs = S.pmi_pairs(docs, id_col, "text")
+def _taxonomy(spark, sf_dir):
+    """(term, frequency, parent) and the edges of the taxonomy of all documents."""
+    pairs = checkpointed(S.pmi_pairs(_docs(spark, sf_dir), "doc_id", "text", min_share=SHARE))
     parents = S.taxonomy_parents(pairs).select(F.col("child").alias("term"), "parent")
-    terms = pairs.select(F.explode(F.array(F.struct(F.col("term_a").alias("term"), F.col("freq_a").alias("f")), F.struct(F.col("term_b").alias("term"), F.col("freq_b").alias("f")))).alias("x")).select("x.*")
+    both = [F.struct(F.col(f"term_{x}").alias("term"), F.col(f"freq_{x}").alias("f")) for x in "ab"]
+    terms = pairs.select(F.explode(F.array(*both)).alias("x")).select("x.*")
     nodes = terms.groupBy("term").agg(F.max("f").alias("frequency")).join(parents, "term", "left")
     return nodes, pairs.select(F.col("term_a").alias("src"), F.lit("co_occurs").alias("predicate"), F.col("term_b").alias("dst"))
 
 
-@_r.query("c6_enriched_taxonomy")
+_NODES = PAIRS_SQL + ", v as (select term, max(f) as frequency from (select term_a as term, fa as f from r union all select term_b, fb from r) group by term)"
+
+
+@_r.query("c6_enriched_taxonomy", _NODES + """
+select child as subject, 'is_a' as predicate, parent as object, 0.9::double as confidence from u
+union all select distinct a.term, 'part_of', b.term, 0.7 from v a join v b on length(b.term) > length(a.term) and contains(b.term, a.term)
+union all select term_a, 'related_to', term_b, 0.75 from r""")
 def c6_enriched_taxonomy(spark, sf_dir):
-    """Triples that the benchmark's taxonomy implies."""
+    """Triples that the taxonomy of all documents implies."""
     return G.enriched(*_taxonomy(spark, sf_dir))
 
 
-@_r.query("j14_contained_terms", r"with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]{2,}')) as term from benchmark) select a.term, b.term as other from t a join t b on length(b.term) > length(a.term) and contains(b.term, a.term)")
+@_r.query("j14_contained_terms", r"""
+with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]{2,}')) as term from documents),
+g as (select distinct term as other, substr(term, i, k) as term from (select term, i, unnest(range(3, least(length(term) - i + 1, (select max(length(term)) from t)) + 1)) as k from (select term, unnest(range(1, length(term) - 1)) as i from t)))
+select term, other from g where length(other) > length(term) and term in (from t)""")
 def j14_contained_terms(spark, sf_dir):
-    """Terms of the benchmark inside longer ones."""
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z0-9_\-]{2,}"), F.lit(0))).alias("term"))
+    """Terms of all documents inside longer ones."""
+    terms = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z0-9_\-]{2,}"), F.lit(0))).alias("term"))
     return G.contained_terms(terms)
 
 
-@_r.query("k8_jsonld")
+@_r.query("k8_jsonld", _NODES + """
+select term, '{"@type":"DefinedTerm","name":"' || term || '","frequency":' || frequency || case when parent is null then '' else ',"broader":"' || parent || '"' end || '}' as jsonld from v left join u on u.child = v.term""")
 def k8_jsonld(spark, sf_dir):
+    """Terms of the documents' taxonomy as JSON."""
     nodes, _ = _taxonomy(spark, sf_dir)
     return nodes.select("term", G.term_jsonld(F.col("term"), F.col("frequency"), F.col("parent")).alias("jsonld"))
 

@@ -110,27 +110,32 @@ def a6_stop_terms(spark, sf_dir):
     return S.stop_terms(table(spark, sf_dir, _DOCS), "text")
 
 
-_PAIRS = rf"""
-with s as (select distinct doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]{{2,}}'), lambda w: w not in ({_VERBS}))) as term from benchmark_docs),
-o as (select term, count(*) as f from s group by term having count(*) >= 2), n as (select count(*)::double as n from benchmark_docs),
+#: Terms of taxonomies are in two of a hundred documents at least.
+SHARE = 0.02
+PAIRS_SQL = rf"""
+with d as (select doc_id, text from documents), n as (select count(*)::double as n from d),
+s as (select distinct doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]{{2,}}'), lambda w: w not in ({_VERBS}))) as term from d),
+o as (select term, count(*) as f from s group by term having count(*) >= greatest(2, (select ceil({SHARE} * n) from n))),
 k as (select s.* from s join o using (term)),
 p as (select a.term as term_a, b.term as term_b, count(*) as n from k a join k b on a.doc_id = b.doc_id and a.term < b.term group by all),
-q as (select p.*, x.f as fa, y.f as fb, t.n as total, log2(p.n / t.n / ((x.f / t.n) * (y.f / t.n))) as pmi from p join o x on x.term = term_a join o y on y.term = term_b, n t)
+q as (select p.*, x.f as fa, y.f as fb, t.n as total, log2(p.n / t.n / ((x.f / t.n) * (y.f / t.n))) as pmi from p join o x on x.term = term_a join o y on y.term = term_b, n t),
+r as (select *, case when n = total then 1.0 else pmi / -log2(n / total) end as npmi from q where pmi >= 0.1),
+u as (select case when fa >= fb then term_b else term_a end as child, arg_min(case when fa >= fb then term_a else term_b end, (-round(npmi, 9), term_a, term_b)) as parent,
+  arg_min(npmi, (-round(npmi, 9), term_a, term_b)) as npmi from r group by 1)
 """
 
 
-@_r.query("a7_pmi_pairs", _PAIRS.replace("benchmark_docs", "(select item_id as doc_id, text from benchmark)") + "select term_a, term_b, n, round(pmi, 6) as pmi, round(case when n = total then 1.0 else pmi / -log2(n / total) end, 6) as npmi from q where pmi >= 0.1")
+@_r.query("a7_pmi_pairs", PAIRS_SQL + "select term_a, term_b, n, round(pmi, 6) as pmi, round(npmi, 6) as npmi from r")
 def a7_pmi_pairs(spark, sf_dir):
-    pairs = S.pmi_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """Pairs of terms of all documents that occur together more than by chance."""
+    pairs = S.pmi_pairs(table(spark, sf_dir, _DOCS), "doc_id", "text", min_share=SHARE)
     return pairs.select("term_a", "term_b", "n", F.round("pmi", 6).alias("pmi"), F.round("npmi", 6).alias("npmi"))
 
 
-@_r.query("a8_taxonomy_parents", _PAIRS.replace("benchmark_docs", "(select item_id as doc_id, text from benchmark)") + """, r as (
-  select *, case when n = total then 1.0 else pmi / -log2(n / total) end as npmi from q where pmi >= 0.1)
-select case when fa >= fb then term_b else term_a end as child, arg_min(case when fa >= fb then term_a else term_b end, (-round(npmi, 9), term_a, term_b)) as parent,
-  round(arg_min(npmi, (-round(npmi, 9), term_a, term_b)), 6) as npmi from r group by 1""")
+@_r.query("a8_taxonomy_parents", PAIRS_SQL + "select child, parent, round(npmi, 6) as npmi from u")
 def a8_taxonomy_parents(spark, sf_dir):
-    pairs = S.pmi_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """Each term of the documents below the commoner one that it keeps company with."""
+    pairs = S.pmi_pairs(table(spark, sf_dir, _DOCS), "doc_id", "text", min_share=SHARE)
     return S.taxonomy_parents(pairs).withColumn("npmi", F.round("npmi", 6))
 
 

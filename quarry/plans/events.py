@@ -177,11 +177,22 @@ def w17_sampled_frames(spark, sf_dir):
 
 @_r.query(
     "w16_cron_due",
-    "select t as due from generate_series(timestamp '2024-01-01', timestamp '2024-01-03', interval 1 minute) g(t) where minute(t) in (0, 30) and hour(t) in (6, 18)",
+    """with e as (select date_trunc('minute', ts) as m from events), r as (select min(m) as low, max(m) as high from e),
+d as (select unnest(generate_series(low, high, interval 1 minute)) as due from r)
+select due, (select count(*) from e where e.m > due - interval 12 hour and e.m <= due) as n from d where minute(due) in (0, 30) and hour(due) in (6, 18)""",
 )
 def w16_cron_due(spark, sf_dir):
-    """The times at which a schedule of minutes and hours is due in two days."""
-    return sessions.cron_due("2024-01-01", "2024-01-03", (0, 30), (6, 18), spark).withColumn("due", F.col("due").cast("timestamp_ntz"))
+    """When a schedule of minutes and hours is due while there are events, and how many came in the twelve hours before."""
+    at = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").groupBy(at.alias("at")).agg(F.count("*").alias("n"))
+    ends = events.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    due = sessions.cron_due(str(ends["low"]), str(ends["high"]), (0, 30), (6, 18), spark)
+    # events meet the times that are due by half days: those in which they come and the next
+    half = lambda c: (F.unix_seconds(c) / 43_200).cast("long")
+    asked = due.select("due", F.explode(F.array(half(F.col("due")) - 1, half(F.col("due")))).alias("half"))
+    near = asked.join(events.withColumn("half", half(F.col("at"))), "half").where(F.expr("at > due - interval 12 hours and at <= due"))
+    counted = due.join(near.groupBy("due").agg(F.sum("n").alias("n")), "due", "left")
+    return counted.select(F.col("due").cast("timestamp_ntz").alias("due"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @_r.query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import governance, redaction
 from quarry.plans._registry import Registry
-from quarry.sources import connectors, readers, sinks
+from quarry.sources import readers, sinks
 from quarry.session import shared_dir, table
 from quarry.streaming import events as streams
 
@@ -26,8 +26,7 @@ def _written(lines: DataFrame, suffix: str) -> str:
     each, is written to; names are changed through Spark's own file system."""
     spark = lines.sparkSession
     path = _folder(spark, suffix)
-    writer = lines.write.partitionBy("file") if "file" in lines.columns else lines.coalesce(1).write
-    writer.text(path)
+    (lines.write.partitionBy("file") if "file" in lines.columns else lines.write).text(path)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -114,49 +113,30 @@ def s11_object_store(spark, sf_dir):
     return readers.object_store(spark, _written(items, "md"), ("md", "txt")).select("text")
 
 
-@_r.query("s13_feed", "select (row_number() over (order by p_partkey) - 1)::int as position, p_name as title, 'http://h/' || p_partkey as link, 'day ' || p_size as published, p_brand || ' & ' || p_type as summary from part")
+#: Items of a feed, entries of a sitemap.
+PACK = 100
+
+
+@_r.query("s13_feed", f"select (row_number() over (partition by p_partkey // {PACK} order by p_partkey) - 1)::int as position, p_name as title, 'http://h/' || p_partkey as link, 'day ' || p_size as published, p_brand || ' & ' || p_type as summary from part")
 def s13_feed(spark, sf_dir):
-    """Parts as the items of a feed."""
+    """Parts as the items of feeds of a hundred."""
     item = F.format_string("<item><title> %s</title><link>http://h/%d</link><pubDate>day %d</pubDate><description>&lt;b&gt;%s&lt;/b&gt; &amp;amp; %s</description></item>", "p_name", "p_partkey", "p_size", "p_brand", "p_type")
-    items = table(spark, sf_dir, "part").agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))).alias("i"))
+    items = table(spark, sf_dir, "part").groupBy(F.expr(f"p_partkey div {PACK}").alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))).alias("i"))
     feed = F.concat(F.lit('<rss version="2.0"><channel><title>parts</title>'), F.array_join(F.transform("i", lambda v: v["x"]), ""), F.lit("</channel></rss>"))
-    return readers.feeds(spark, _written(items.select(feed.alias("value")), "xml")).select("position", "title", "link", "published", "summary")
-
-
-@_r.query("s15_connector", "select (s * 1000 + i)::varchar as record_id, 'title ' || i as title, 'pages' as source_type, (i // 50)::varchar as page from range(4) t(s), range(130) u(i)")
-def s15_connector(spark, sf_dir):
-    """A registered connector of four shares, each of three pages of up to fifty records."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not know this module's path
-    if "pages" not in connectors.available():
-        connectors.register(connectors.Connector("pages", _fetched, partitions=_shares))
-    return connectors.read(spark, "pages").select("record_id", "title", "source_type", F.col("metadata")["page"].alias("page"))
-
-
-def _shares(options: dict[str, str]) -> list[dict[str, str]]:
-    return [{"share": str(s)} for s in range(4)]
-
-
-def _fetched(options: dict[str, str], cursor: str | None) -> connectors.Page:
-    page, share = int(cursor or 0), int(options["share"])
-    records = [{"record_id": share * 1000 + i, "title": f"title {i}", "metadata": {"page": page}} for i in range(page * 50, min(130, page * 50 + 50))]
-    return records, str(page + 1) if page < 2 else None
+    return readers.feeds(spark, _written(items.select("file", feed.alias("value")), "xml")).select("position", "title", "link", "published", "summary")
 
 
 @_r.query("s16_sitemap", "select 'url' as kind, 'http://h/' || c_custkey as loc, case when c_custkey % 3 = 0 then '2024-01-01' end as lastmod, case when c_custkey % 4 = 0 then 0.5 else (c_custkey % 10) / 10.0 end::double as priority from customer")
 def s16_sitemap(spark, sf_dir):
-    """Customers as the entries of a sitemap, some without date or priority."""
+    """Customers as the entries of sitemaps of a hundred, some without date or priority."""
     key = F.col("c_custkey")
     entry = F.concat(
         F.lit("<url><loc> http://h/"), key, F.lit("</loc>"), F.when(key % 3 == 0, "<lastmod>2024-01-01</lastmod>").otherwise(""),
         F.when(key % 4 == 0, F.when(key % 8 == 0, "<priority>high</priority>").otherwise("")).otherwise(F.concat(F.lit("<priority>0."), key % 10, F.lit("</priority>"))), F.lit("</url>"),
     )
-    listed = table(spark, sf_dir, "customer").agg(F.array_join(F.collect_list(entry), "").alias("x"))
+    listed = table(spark, sf_dir, "customer").groupBy(F.expr(f"c_custkey div {PACK}").alias("file")).agg(F.array_join(F.collect_list(entry), "").alias("x"))
     whole = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>"))
-    return readers.sitemaps(spark, _written(listed.select(whole.alias("value")), "xml")).select("kind", "loc", "lastmod", "priority")
+    return readers.sitemaps(spark, _written(listed.select("file", whole.alias("value")), "xml")).select("kind", "loc", "lastmod", "priority")
 
 
 @_r.query("s17_event_file", "select event_type, epoch(ts) as timestamp, user_id::varchar as session_id, value::varchar as value from events where event_type in ('click', 'view')")

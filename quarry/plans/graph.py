@@ -50,10 +50,21 @@ def f31_entities(spark, sf_dir):
     return G.entities(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@_r.query("f33_markdown_triples")
+@_r.query("f33_markdown_triples", """
+with h as (select c_custkey, c_name, c_mktsegment, c_nationkey from customer),
+t as (select c_custkey, unnest([
+  {'line': 0, 's': c_name, 'p': 'is_section', 'o': 'document', 'c': 0.5}, {'line': 2, 's': 'Field', 'p': 'related_to', 'o': 'Value', 'c': 0.65},
+  {'line': 4, 's': 'segment', 'p': 'related_to', 'o': c_mktsegment, 'c': 0.65}, {'line': 6, 's': 'Nation', 'p': 'defined_as', 'o': 'NATION_' || c_nationkey, 'c': 0.8},
+  {'line': 6, 's': 'Nation', 'p': 'belongs_to_section', 'o': c_name, 'c': 0.6}, {'line': 9, 's': 'Customer', 'p': 'is_a', 'o': 'party', 'c': 0.8},
+  {'line': 10, 's': 'Kind', 'p': 'defined_as', 'o': 'kind ' || c_custkey % 3, 'c': 0.75}]) as x from h)
+select c_custkey, x.line::int as line, x.s as subject, x.p as predicate, x.o as object, x.c::double as confidence from t""")
 def f33_markdown_triples(spark, sf_dir):
-    """Triples of table rows, definitions and bullets."""
-    return G.markdown_triples(_docs(spark, sf_dir), "doc_id", "text")
+    """Triples of customers as Markdown: headings, table rows, definitions and bullets, some of them twice."""
+    page = F.format_string(
+        "# %s\n\n| Field | Value |\n|---|---|\n| segment | %s |\n\nNation: NATION_%d\nNation: NATION_%d\nBalance: 12.5\n- Customer is a party\n* Kind: kind %d\n",
+        "c_name", "c_mktsegment", "c_nationkey", "c_nationkey", F.col("c_custkey") % 3,
+    )
+    return G.markdown_triples(table(spark, sf_dir, "customer").select("c_custkey", page.alias("text")), "c_custkey", "text")
 
 
 @_r.query("c4_entity_resolution")
@@ -176,6 +187,8 @@ def w12_trace_tree(spark, sf_dir):
     return G.trace_tree(spans, "span_id", "parent_id")
 
 
-@_r.query("p3_entity_search", "select n_name from nation where contains(lower(n_name), 'an') order by n_name limit 20")
+@_r.query("p3_entity_search", "select c_name, c_custkey from customer where contains(lower(c_name), 'er#0000000') order by c_name, c_custkey limit 20")
 def p3_entity_search(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where(F.lower("n_name").contains("an")).select("n_name").orderBy("n_name").limit(20)
+    """The first twenty customers whose name holds a text, whatever its case."""
+    found = table(spark, sf_dir, "customer").where(F.contains(F.lower("c_name"), F.lower(F.lit("ER#0000000"))))
+    return found.select("c_name", "c_custkey").orderBy("c_name", "c_custkey").limit(20)

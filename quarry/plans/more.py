@@ -85,10 +85,19 @@ def f3_flattened(spark, sf_dir):
     return rows.select("event_id", F.try_element_at("flat", F.lit("k")).alias("k"))
 
 
-@_r.query("s4_uniform_fields", "select 'k' as field, 'int' as type, false as nullable")
+@_r.query("s4_uniform_fields", """
+with c as (select c_custkey, to_json({'id': c_custkey, 'name': c_name, 'balance': c_acctbal, 'top': c_custkey % 2 = 0, 'mixed': case when c_custkey % 3 = 0 then to_json(c_custkey) else to_json(c_name) end}) as j from customer),
+k as (select c_custkey, unnest(json_keys(j)) as field, j from c), v as (select field, json_type(j, '$.' || field) as t from k)
+select field, case when count(distinct t) > 1 then 'any' else case min(t) when 'UBIGINT' then 'int' when 'BIGINT' then 'int' when 'DOUBLE' then 'float' when 'BOOLEAN' then 'bool' else 'str' end end as type, false as nullable from v group by field
+union all select 'rare', 'str', true""")
 def s4_uniform_fields(spark, sf_dir):
-    """Fields of the events' JSON, inferred."""
-    return readers.inferred_fields(table(spark, sf_dir, "events"), "props")
+    """Fields of customers as JSON, inferred: one of two kinds, one that most lack."""
+    key = F.col("c_custkey")
+    mixed = F.when(key % 3 == 0, key.cast("string")).otherwise(F.concat(F.lit('"'), "c_name", F.lit('"')))
+    text = F.to_json(F.struct(key.alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), (key % 2 == 0).alias("top"), F.when(key % 5 == 0, F.lit("x")).alias("rare")))
+    whole = F.concat(F.expr("left(t, length(t) - 1)"), F.lit(',"mixed":'), "m", F.lit("}"))
+    rows = table(spark, sf_dir, "customer").select(text.alias("t"), mixed.alias("m")).select(whole.alias("json"))
+    return readers.inferred_fields(rows, "json")
 
 
 @_r.query("p12_oracle_rules", "select conv_id, turn, round(((regexp_matches(text, '(?i)the')::int + regexp_matches(text, '(?i)\\.$')::int + contains(lower(text), '[de')::int) / 3.0)::double, 6) as oracle from conversations")
@@ -165,15 +174,17 @@ def k3_projected(spark, sf_dir):
 
 
 @_r.query("s19_trace_diff", """
-with a as (select event_type, row_number() over (order by event_id) as i from events where user_id = 1), b as (select event_type, row_number() over (order by event_id) as i from events where user_id = 2)
-select coalesce(a.i, b.i) as position, a.event_type as old_value, b.event_type as new_value, case when a.i is null then 'added' when b.i is null then 'removed' when a.event_type = b.event_type then 'unchanged' else 'modified' end as change from a full join b on a.i = b.i""")
+with r as (select user_id // 2 as pair, user_id % 2 as side, event_type, row_number() over (partition by user_id order by event_id) as i from events),
+a as (select * from r where side = 0), b as (select * from r where side = 1)
+select coalesce(a.pair, b.pair) as pair, coalesce(a.i, b.i) as position, a.event_type as old_value, b.event_type as new_value,
+  case when a.i is null then 'added' when b.i is null then 'removed' when a.event_type = b.event_type then 'unchanged' else 'modified' end as change from a full join b on a.pair = b.pair and a.i = b.i""")
 def s19_trace_diff(spark, sf_dir):
-    """Two users' events compared by position."""
+    """The events of all users compared by position, each even one's with the next one's."""
     by = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").where("user_id in (1, 2)").withColumn("i", F.row_number().over(by))
-    one = lambda u: rows.where(F.col("user_id") == u).select(F.col("i").cast("long").alias("p"), F.col("i").cast("long").alias("at"), "event_type")
-    out = governance.full_diff(one(1), one(2), ["p"], "at", F.col("event_type"))
-    return out.select(F.col("p").alias("position"), "old_value", "new_value", "change")
+    rows = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(by).cast("long")).withColumn("pair", F.expr("user_id div 2"))
+    one = lambda side: rows.where(F.col("user_id") % 2 == side).select("pair", F.col("i").alias("p"), F.col("i").alias("at"), "event_type")
+    out = governance.full_diff(one(0), one(1), ["pair", "p"], "at", F.col("event_type"))
+    return out.select("pair", F.col("p").alias("position"), "old_value", "new_value", "change")
 
 
 @_r.query("t3_approximate_knn")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import patterns as P
@@ -133,14 +134,19 @@ def p13_boilerplate(spark, sf_dir):
 def c7_crawl(spark, sf_dir):
     """Levels of pages reached from the ten first pages of each host by links among the pages."""
     pages = table(spark, sf_dir, "pages")
-    seeds = pages.where("page_id % 100 = 0").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"))
+    by = Window.partitionBy(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))).orderBy("page_id")
+    seeds = pages.withColumn("_r", F.row_number().over(by)).where("_r <= 10").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"))
     return html.crawl(pages, seeds, "page_id", "url", "html")
 
 
-@_r.query("f43_key_values", r"""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-m as (select doc_id, pos, lower(trim(regexp_extract(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,39}):\s+(\S.*?)\s*$', 1))) as key, regexp_extract(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,39}):\s+(\S.*?)\s*$', 2) as value
-  from l where regexp_matches(line, '^\s*([A-Za-z][A-Za-z0-9 _-]{0,39}):\s+(\S.*?)\s*$'))
-select doc_id, key, arg_min(value, pos) as value from m group by doc_id, key""")
+@_r.query("f43_key_values", """
+select c_custkey, 'name' as key, c_name as value from customer union all select c_custkey, 'account balance', c_acctbal::decimal(12, 2)::varchar from customer
+union all select c_custkey, 'segment', c_mktsegment from customer union all select c_custkey, 'nation', c_nationkey || ' : ' || c_custkey from customer where c_custkey % 2 = 0""")
 def f43_key_values(spark, sf_dir):
-    return html.key_values(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Fields of customers' records as text, among lines that are none and keys that repeat."""
+    nation = F.when(F.col("c_custkey") % 2 == 0, F.format_string("Nation:\t%d : %d\n", "c_nationkey", "c_custkey")).otherwise("Nation:\n")
+    text = F.concat(
+        F.format_string("  Name: %s  \nno field here\nAccount Balance: %s\n", "c_name", F.col("c_acctbal").cast("decimal(12,2)").cast("string")), nation,
+        F.format_string("Segment: %s\nNAME: another\n1st: no key\n", "c_mktsegment"),
+    )
+    return html.key_values(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RECORD = "record_id string, title string, content string, source_url string, source_type string, metadata map<string,string>"
 Page = tuple[list[dict], str | None]
@@ -83,6 +83,57 @@ def _source(connector: Connector) -> type[DataSource]:
     return Source
 
 
+def paged(name: str, page: Callable[[dict[str, str], int], list[dict]], held: Callable[[dict[str, str]], int]) -> type[DataSource]:
+    """A streaming source of uniform records from numbered pages of several shares (option shares): page(options, n) gives
+    the records of a share's page, held(options) how many pages it has by now; options has the share.
+
+    A batch takes, of each share, the pages that came since the batch before, a task for each share; pages are
+    fetched by tasks alone. How far each share was read is the stream's offset, which the query's checkpoint keeps:
+    a query that is stopped, or loses an executor, goes on behind the last batch it finished, and fetches a
+    batch again only whole."""
+    record = RECORD
+
+    class Stream(DataSourceStreamReader):
+        def __init__(self, options: dict[str, str]):
+            self.options = options
+
+        def _of(self, share: str) -> dict[str, str]:
+            return {**self.options, "share": share}
+
+        def initialOffset(self) -> dict:
+            return {str(s): 0 for s in range(int(self.options["shares"]))}
+
+        def latestOffset(self) -> dict:
+            return {s: held(self._of(s)) for s in self.initialOffset()}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [InputPartition((s, start.get(s, 0), n)) for s, n in end.items() if n > start.get(s, 0)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            share, first, end = partition.value
+            for number in range(first, end):
+                for r in page(self._of(share), number):
+                    yield (str(r["record_id"]), r.get("title"), r.get("content"), r.get("source_url"), name, {k: str(v) for k, v in (r.get("metadata") or {}).items()})
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    own = name
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return own
+
+        def schema(self) -> str:
+            return record
+
+        def streamReader(self, schema) -> DataSourceStreamReader:
+            return Stream(dict(self.options))
+
+    return Source
+
+
 def read(spark: SparkSession, name: str, **options: str) -> DataFrame:
     """Records of a registered connector."""
     if name not in _KNOWN:

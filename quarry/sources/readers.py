@@ -321,6 +321,40 @@ def jdbc_table(spark: SparkSession, url: str, table: str, leave_out: tuple[str,
     return rows.limit(most) if most is not None else rows
 
 
+def key_ranges(bins: list[tuple[int, int]], low: int, width: int, partitions: int) -> list[tuple[int | None, int | None]]:
+    """Ranges [from, to) of a key, open at both ends, of about equally many rows: bins are (number, rows) of
+    stretches of `width` from `low`."""
+    total, held, cuts = sum(n for _, n in bins), 0, []
+    for number, n in sorted(bins):
+        if held and held >= total * (len(cuts) + 1) / partitions and len(cuts) < partitions - 1:
+            cuts.append(low + number * width)
+        held += n
+    return list(zip([None, *cuts], [*cuts, None], strict=True))
+
+
+def jdbc_partitioned(spark: SparkSession, url: str, table: str, key: str, partitions: int, bins: int = 16, **options: str) -> DataFrame:
+    """A table of a database, read by so many tasks: each asks for a range of an integer key. The database first counts
+    its rows in `bins` stretches of the key for each task, so that ranges hold about equally many rows, however
+    the key is spread; rows without a key are read by the first task. Columns and filters that Spark can
+    push go into each task's query."""
+    name = '"' + key.replace('"', '""') + '"'
+    asked = lambda sql: spark.read.format("jdbc").options(url=url, dbtable=f"({sql}) q", **options).load()
+    ends = asked(f'SELECT MIN({name}) AS "low", MAX({name}) AS "high" FROM {table}').first()
+    if ends["low"] is None:
+        return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    low, width = int(ends["low"]), max(1, -(-(int(ends["high"]) - int(ends["low"]) + 1) // (bins * partitions)))
+    number = f"FLOOR(CAST({name} - {low} AS DOUBLE PRECISION) / {width})"
+    counted = asked(f'SELECT b AS "bin", COUNT(*) AS "n" FROM (SELECT {number} AS b FROM {table} WHERE {name} IS NOT NULL) s GROUP BY b')
+    ranges = key_ranges([(int(r["bin"]), int(r["n"])) for r in counted.collect()], low, width, partitions)
+    said = []
+    for start, end in ranges:
+        parts = [f"{name} >= {start}"] if start is not None else []
+        parts += [f"{name} < {end}"] if end is not None else []
+        said.append(" AND ".join(parts) or f"{name} IS NOT NULL")
+    said[0] = f"({said[0]}) OR {name} IS NULL"
+    return spark.read.jdbc(url, table, predicates=said, properties=options)
+
+
 def object_store(spark: SparkSession, path: str, suffixes: tuple[str, ...], most: int | None = None) -> DataFrame:
     """(path, text) of an object store's files of some suffixes."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(path, wholetext=True)

@@ -80,3 +80,23 @@ def test_paged_streams_go_on_behind_what_they_read(spark, tmp_path):
         assert sorted(r.record_id for r in got.collect()) == sorted(x for m in given[: n + 1] for ps in m.values() for p in ps for x in p.split())
     fetched = (tmp_path / "pages-fetched").read_text().split()
     assert sorted(fetched) == sorted(set(fetched)) == ["0.0", "0.1", "1.0", "1.1", "1.2", "2.0"]
+
+
+def test_tables_of_a_database_are_read_in_parts_of_equal_size(spark, tmp_path):
+    url, options = f"jdbc:derby:{tmp_path}/db", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    keys = [*range(100), *range(100_000, 100_300), 5_000_000, None, None]
+    rows = spark.createDataFrame([(k, f"n{i}") for i, k in enumerate(keys)], "k long, name string")
+    rows.coalesce(1).write.option("createTableColumnTypes", "name VARCHAR(20)").jdbc(f"{url};create=true", "t", properties=options)
+    held = readers.jdbc_partitioned(spark, url, "t", "k", 4, bins=40_000, **options)
+    sizes = [len(x) for x in held.rdd.glom().collect()]
+    assert len(sizes) == 4 and sum(sizes) == len(keys) and max(sizes) <= 2 * len(keys) / 4
+    assert sorted(map(repr, held.collect())) == sorted(map(repr, rows.collect()))
+    some = held.where("name > 'n35' and k > 100010").select("name")
+    assert "PushedFilters: [IsNotNull(name), IsNotNull(k), GreaterThan(name,n35), GreaterThan(k,100010)]" in some._jdf.queryExecution().toString().replace("*", "")
+    rows.limit(0).write.jdbc(url, "bare", properties=options)
+    assert readers.jdbc_partitioned(spark, url, "bare", "k", 4, **options).collect() == []
+
+
+@pytest.mark.parametrize("bins, parts, wanted", [([(0, 5)], 3, [(None, None)]), ([(0, 1), (1, 1), (2, 1)], 3, [(None, 10), (10, 20), (20, None)]), ([(0, 100), (7, 1)], 2, [(None, 70), (70, None)])])
+def test_ranges_of_a_key(bins, parts, wanted):
+    assert readers.key_ranges(bins, 0, 10, parts) == wanted

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a filter for each id, and at least and at most. Beyond that (8 MB) more rows pass in vain.
@@ -29,16 +27,12 @@ def id_bits(ids: DataFrame, column: str, bits: int) -> bytes:
     return held.astype("<i8").tobytes()
 
 
-def in_bits(docs: DataFrame, column: str, bits: bytes) -> DataFrame:
-    """The rows whose id's bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    names, schema = docs.columns, docs.schema
-    hashed = docs.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(len(bits) * 8)).cast("int"))
+def bit_of(column: str, bits: int) -> Column:
+    """The place of an id's bit."""
+    return F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            bit = batch.column("_bit").to_numpy()
-            yield batch.select(names).filter(pa.array(on[bit >> 3] >> (bit & 7) & 1 == 1))
 
-    return hashed.mapInArrow(run, schema)
+def set_bits(bits: bytes, places: pa.Array) -> pa.Array:
+    """Whether the bits of these places are set."""
+    on, place = np.frombuffer(bits, np.uint8), places.to_numpy()
+    return pa.array(on[place >> 3] >> (place & 7) & 1 == 1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._filters import filter_size, id_bits, in_bits
+from quarry.llm._filters import bit_of, filter_size, id_bits, set_bits
 from quarry.llm._words import SPACED, mix, shingles, slices, words
 from quarry.llm.components import components, forest
 from quarry.session import checkpointed, sized
@@ -49,6 +49,8 @@ CROWD = 64
 LEAST_BUCKETS = 128
 #: Pairs, sets and members of a task, where there are enough for all cores.
 EACH = 20_000
+#: Pairs of texts whose shingles are held at a time.
+VERIFY = 500
 
 
 class Levels:
@@ -298,12 +300,13 @@ def _texts(docs: DataFrame, wanted: DataFrame, sets: int, id_col: str, text_col:
     """(node, text) of the sets that wanted (id, node) names, one row for each. A bit filter over ids, of a
     size that grows with the number of sets up to MOST_BITS, keeps most other texts from being read
     into shingles and shuffled; the join is exact."""
-    bits = id_bits(wanted, "id", filter_size(sets))
-    rows = in_bits(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), "id", bits)
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(wanted, "id", size := filter_size(sets)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").select(bit_of("id", size).alias("bit"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(set_bits(bits.value, batch.column(0)))
             for lo, hi, buf, offs in slices(batch.column(1)):
                 node = _nodes(*_set_marks(*shingles(words(buf, offs, SPACED), k), hi - lo))
                 fresh = []
@@ -321,7 +324,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     >= num/den, with shared and union_size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, VERIFY) for whole in batches for at in range(0, whole.num_rows, VERIFY)):
             got = [[], []]
             for side in (0, 1):
                 for lo, hi, buf, offs in slices(batch.column(4 + side)):

@@ -148,3 +148,20 @@ def replay_changes(old: DataFrame, new: DataFrame, key: list[str], passed: str)
     both = old.select(*key, F.col(passed).alias("_a")).join(new.select(*key, F.col(passed).alias("_b")), key)
     out = both.agg(F.count("*").alias("n"), F.count_if(F.col("_a") & ~F.col("_b")).alias("regressions"), F.count_if(~F.col("_a") & F.col("_b")).alias("fixes"))
     return out.withColumn("similarity", F.round(F.when(F.col("n") > 0, 1 - (F.col("regressions") + F.col("fixes")) / F.col("n")).otherwise(1.0), 4))
+
+
+def step_statuses(steps: DataFrame, key: list[str], order: str, passed: str) -> DataFrame:
+    """steps with status: a run's steps are executed in order until one fails; `failed` is that one, `passed` those
+    before it, `skipped` those behind. A step that didn't tell (null) failed. Where a run failed is an
+    aggregate joined back, so a run's steps need not meet in a task; keys are not null."""
+    failed = steps.where(~F.coalesce(F.col(passed), F.lit(False))).groupBy(*key).agg(F.min(order).alias("_failed"))
+    status = F.when(F.col("_failed").isNull() | (F.col(order) < F.col("_failed")), "passed").when(F.col(order) == F.col("_failed"), "failed").otherwise("skipped")
+    return steps.join(failed, key, "left").withColumn("status", status).drop("_failed")
+
+
+def step_report(told: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, n_steps, n_passed, n_skipped, failed_at, success) of runs with statuses; failed_at is null for a run that
+    went through."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    out = told.groupBy(*key).agg(F.count("*").alias("n_steps"), count("passed").alias("n_passed"), count("skipped").alias("n_skipped"), F.min(F.when(F.col("status") == "failed", F.col(order))).alias("failed_at"))
+    return out.withColumn("success", F.col("failed_at").isNull())

@@ -224,13 +224,22 @@ def contained_terms(nodes: DataFrame) -> DataFrame:
     return left.join(right, "_g").where((F.length("other") > F.length("term")) & F.contains("other", "term")).select("term", "other").distinct()
 
 
+#: Relations that a text states between two words: fixed values.
+SAID = r"(?i)([a-z][a-z0-9_\-]+)\s+(is|has|uses|contains|belongs_to|related_to|part_of)\s+([a-z][a-z0-9_\-]+)"
+
+
+def said(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, position, subject, predicate, object, confidence) of the relations that a text states, lower-cased, in
+    their order; they don't overlap. Null texts state none."""
+    get = lambda g: F.regexp_extract_all(F.col(text_col), F.lit(SAID), F.lit(g))
+    found = rows.select(*keep, F.posexplode(F.arrays_zip(get(1).alias("s"), get(2).alias("p"), get(3).alias("o"))).alias("position", "x"))
+    return found.select(*keep, "position", F.lower("x.s").alias("subject"), F.lower("x.p").alias("predicate"), F.lower("x.o").alias("object"), F.lit(0.85).alias("confidence"))
+
+
 def enriched(nodes: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
     """(subject, predicate, object, confidence) that a taxonomy implies: what terms say (0.85), parents
     (0.9), containment (0.7) and edges (0.75). nodes: (term, parent); edges: (src, predicate, dst)."""
-    said = r"(?i)([a-z][a-z0-9_\-]+)\s+(is|has|uses|contains|belongs_to|related_to|part_of)\s+([a-z][a-z0-9_\-]+)"
-    get = lambda g: F.regexp_extract_all("term", F.lit(said), F.lit(g))
-    spoken = nodes.select(F.explode(F.arrays_zip(get(1).alias("s"), get(2).alias("p"), get(3).alias("o"))).alias("x")).select(
-        F.lower("x.s").alias("subject"), F.lower("x.p").alias("predicate"), F.lower("x.o").alias("object"), F.lit(0.85).alias("confidence"))
+    spoken = said(nodes, "term").drop("position")
     known = nodes.select(F.col("term").alias("object")).distinct()
     up = nodes.select(F.col("term").alias("subject"), F.lit("is_a").alias("predicate"), F.col("parent").alias("object"), F.lit(0.9).alias("confidence")).join(known, "object", "left_semi")
     inside = contained_terms(nodes).select(F.col("term").alias("subject"), F.lit("part_of").alias("predicate"), F.col("other").alias("object"), F.lit(0.7).alias("confidence"))

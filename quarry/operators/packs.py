@@ -51,6 +51,19 @@ def step_text(kind: Column, selector: Column, value: Column) -> Column:
     ).otherwise(F.trim(F.concat_ws(" ", kind, selector)))
 
 
+def parsed_step(text: Column) -> Column:
+    """The kind, selector and value that step_text was made of: what it leaves out is null, and an empty text
+    has no kind. A value that holds "' into " ends at the last one."""
+    typed, address = r"(?s)^type '(.*)' into (.*)$", r"(?s)^navigate: (.*)$"
+    get = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
+    other = lambda g: F.nullif(F.regexp_extract(F.trim(text), r"(?s)^(\S+)\s*(.*)$", g), F.lit(""))
+    pick = lambda t, n, o: F.when(text.rlike(typed), t).when(text.rlike(address), n).otherwise(o)
+    none = F.lit(None).cast("string")
+    return F.struct(
+        pick(F.lit("type"), F.lit("navigate"), other(1)).alias("kind"), pick(get(typed, 2), none, other(2)).alias("selector"), pick(get(typed, 1), get(address, 1), none).alias("value")
+    )
+
+
 def action_type(action: Column, known: tuple[str, ...] = ("click", "type", "navigate", "wait", "scroll", "submit", "select")) -> Column:
     """The first word of an action up to a colon, lower-cased; unknown if it is none of those known."""
     word = F.lower(F.regexp_extract(F.trim(action), r"^([^\s:]+)", 1))

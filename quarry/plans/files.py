@@ -21,19 +21,19 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/files-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _written(lines: DataFrame, suffix: str) -> str:
+def _written(lines: DataFrame, suffix: str, path: str | None = None) -> str:
     """The folder of text files of a suffix that a frame of lines (value), and of a column `file` for one file
     each, is written to; names are changed through Spark's own file system."""
     spark = lines.sparkSession
-    path = _folder(spark, suffix)
-    (lines.write.partitionBy("file") if "file" in lines.columns else lines.write).text(path)
+    path = path or _folder(spark, suffix)
+    (lines.write.partitionBy("file") if "file" in lines.columns else lines.write).mode("append").text(path)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     listed = fs.listFiles(root, True)
     while listed.hasNext():
         found = listed.next().getPath()
-        if found.getName().startswith("part-"):
+        if found.getName().startswith("part-") and ".c000" in found.getName():
             fs.rename(found, jvm.org.apache.hadoop.fs.Path(found.getParent(), f"{found.getName()[:10]}.{suffix}"))
     return path
 

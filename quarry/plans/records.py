@@ -7,9 +7,10 @@ import sys
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import evaluate, graph, packs
 from quarry.plans._registry import Registry
 from quarry.session import shared_dir, table
 from quarry.sources import connectors, readers, variants
@@ -144,3 +145,70 @@ def _page_of(options: dict[str, str], number: int) -> list[dict]:
             with store.open_input_stream(file.path) as held:
                 out += [json.loads(x) | {"metadata": {"page": number}} for x in held.read().decode().splitlines()]
     return out
+
+
+_SAID = r"([a-zA-Z][a-zA-Z0-9_\-]+)\s+(is|has|uses|contains|belongs_to|related_to|part_of)\s+([a-zA-Z][a-zA-Z0-9_\-]+)"
+
+
+@_r.query("f34_said_triples", " union all ".join([rf"""select doc_id, unnest(range(len(s)))::int as position, lower(unnest(s)) as subject, lower(unnest(p)) as predicate, lower(unnest(o)) as object, 0.85::double as confidence
+from (select doc_id, regexp_extract_all(text, '(?i){_SAID}', 1) as s, regexp_extract_all(text, '(?i){_SAID}', 2) as p, regexp_extract_all(text, '(?i){_SAID}', 3) as o from documents)"""]))
+def f34_said_triples(spark, sf_dir):
+    """Relations that all documents state between two words."""
+    return graph.said(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@_r.query("f45_markdown_rows", r"""
+select c_custkey, '| ' || c_custkey || ' | a\|' || c_name || ' | ' || case when c_custkey % 2 = 0 then c_mktsegment else '' end || ' |' as line,
+  '**name**: ' || c_name || case when c_custkey % 2 = 0 then chr(10) || '**segment**: ' || c_mktsegment else '' end as fields from customer""")
+def f45_markdown_rows(spark, sf_dir):
+    """Customers as rows of a table in markdown, and as fields."""
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    line = readers.markdown_line(F.col("c_custkey"), F.concat(F.lit("a|"), "c_name"), segment)
+    return table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"), readers.key_value_lines({"name": F.col("c_name"), "segment": segment}).alias("fields"))
+
+
+@_r.query("f53_steps", """
+with r as (select event_id, case event_type when 'click' then 'click' when 'view' then 'navigate' when 'purchase' then 'type' else event_type end as kind, '#u' || user_id as s, 'it''s ' || event_id as v from events)
+select event_id, kind, case when kind <> 'navigate' then s end as selector, case when kind in ('navigate', 'type') then v end as value from r""")
+def f53_steps(spark, sf_dir):
+    """Events as steps of a script, written as text and parsed again."""
+    kind = F.when(F.col("event_type") == "view", "navigate").when(F.col("event_type") == "purchase", "type").otherwise(F.col("event_type"))
+    text = packs.step_text(kind, F.concat(F.lit("#u"), "user_id"), F.concat(F.lit("it's "), "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", packs.parsed_step(text).alias("s")).select("event_id", "s.*")
+
+
+@_r.query("c12_step_reports", """
+with r as (select user_id, ts::date as day, event_id, event_type <> 'error' as ok from events), f as (select user_id, day, min(event_id) filter (where not ok) as failed_at from r group by all)
+select user_id, day, count(*) as n_steps, count(*) filter (where failed_at is null or event_id < failed_at) as n_passed, count(*) filter (where event_id > failed_at) as n_skipped, failed_at, failed_at is null as success
+from r join f using (user_id, day) group by user_id, day, failed_at""")
+def c12_step_reports(spark, sf_dir):
+    """Each user's day as a replay that ends at its first error."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", (F.col("event_type") != "error").alias("ok"))
+    return evaluate.step_report(evaluate.step_statuses(rows, ["user_id", "day"], "event_id", "ok"), ["user_id", "day"], "event_id")
+
+
+@_r.query("c21_session_history", """
+with r as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as seq, count(*) over (partition by user_id) as n from events)
+select user_id, seq, event_id, event_type from r where seq > n - 10""")
+def c21_session_history(spark, sf_dir):
+    """The last ten entries of each user's history with their numbers."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
+    counts = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    kept = rows.withColumn("_back", last).where(F.col("_back") <= 10).join(counts, "user_id")
+    return kept.select("user_id", (F.col("n") - F.col("_back") + 1).alias("seq"), "event_id", "event_type")
+
+
+@_r.query("s20_watched", "select sha256(text || chr(10)) as sha256, octet_length(encode(text || chr(10)))::bigint as size, text || chr(10) as text, cast(null as varchar) as error from benchmark")
+def s20_watched(spark, sf_dir):
+    """Items that come into a folder as files, half of them before a stream looks, half before it looks again; files of
+    other suffixes are passed over."""
+    from quarry.plans.files import _written
+
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file"), F.col("text").alias("value"))
+    folder = f"{shared_dir(spark)}/watched-{uuid.uuid4().hex[:12]}"
+    for part, suffix in ((F.col("file") % 2 == 0, "md"), (F.col("file") % 3 == 0, "tmp"), (F.col("file") % 2 == 1, "txt")):
+        _written(rows.where(part), suffix, folder)
+        if suffix != "tmp":
+            streams.stored(readers.watched(spark, folder, ("md", "txt")), f"{folder}-out", f"{folder}-state")
+    return spark.read.schema("size long, sha256 string, text string, error string").parquet(f"{folder}-out").select("sha256", "size", "text", "error")

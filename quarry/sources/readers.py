@@ -42,6 +42,18 @@ def files(spark: SparkSession, path: str, glob: str | None = None, recursive: bo
     )
 
 
+def watched(spark: SparkSession, path: str, suffixes: tuple[str, ...], per_batch: int = 1000) -> DataFrame:
+    """(path, name, size, sha256, text, error) of files that come into a folder, as a stream: only those of some suffixes, each
+    once, so many a batch. What is not UTF-8 has no text and says so."""
+    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    rows = read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").option("maxFilesPerTrigger", per_batch).load(path)
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    return rows.select(
+        "path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
+        F.when(valid, F.col("content").cast("string")).alias("text"), F.when(~valid, "not UTF-8").alias("error"),
+    )
+
+
 def frames(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(frame_index, name, sha256, size) of a folder's files in order of name."""
     rows = files(spark, path, glob).drop("content")
@@ -308,6 +320,18 @@ def markdown_table(head: list[str], rows: list[list[str]]) -> str:
     return "\n".join([line(head), line(["---"] * len(head)), *(line([*r, *[""] * len(head)][: len(head)]) for r in rows)])
 
 
+def markdown_line(*cells: Column) -> Column:
+    """A row of a table in markdown: pipes are escaped, line ends become spaces, null is empty."""
+    shown = [F.replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s*[\r\n]+\s*", " "), F.lit("|"), F.lit("\\|")) for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
+
+
+def key_value_lines(row: dict[str, Column]) -> Column:
+    """Fields as lines `**name**: value`; null ones are left out."""
+    shown = [F.when(c.isNotNull(), F.concat(F.lit(f"**{k}**: "), c.cast("string"))) for k, c in row.items()]
+    return F.array_join(F.array_compact(F.array(*shown)), "\n")
+
+
 def event_log(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> DataFrame:
     """Events of JSON lines (event_type, timestamp, ...); lines that are malformed, or of no known kind, are
     passed over."""

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import evaluate, graph, packs
 from quarry.sources import connectors, readers, variants
 from quarry.streaming import events as streams
 
@@ -100,3 +101,41 @@ def test_tables_of_a_database_are_read_in_parts_of_equal_size(spark, tmp_path):
 @pytest.mark.parametrize("bins, parts, wanted", [([(0, 5)], 3, [(None, None)]), ([(0, 1), (1, 1), (2, 1)], 3, [(None, 10), (10, 20), (20, None)]), ([(0, 100), (7, 1)], 2, [(None, 70), (70, None)])])
 def test_ranges_of_a_key(bins, parts, wanted):
     assert readers.key_ranges(bins, 0, 10, parts) == wanted
+
+
+def test_what_texts_say(spark):
+    rows = frame(spark, "Spark IS fast. a-b has_c uses  x9 contains y", None, "is has", "the is an is bb")
+    got = [(r.id, r.position, r.subject, r.predicate, r.object, r.confidence) for r in graph.said(rows, "text", "id").collect()]
+    assert got == [(0, 0, "spark", "is", "fast", 0.85), (0, 1, "has_c", "uses", "x9", 0.85), (3, 0, "the", "is", "an", 0.85)]
+
+
+def test_steps_come_back_from_their_text(spark):
+    steps = [("click", "#a", None), ("type", "#b c", "it's 'x' into it"), ("navigate", None, "http://h\n?x"), ("scroll", None, None), ("type", None, "v"), (None, None, None)]
+    rows = spark.createDataFrame(steps, "k string, s string, v string")
+    got = [tuple(r.p) for r in rows.select(packs.parsed_step(packs.step_text(F.col("k"), F.col("s"), F.col("v"))).alias("p")).collect()]
+    assert got == [*steps[:5], (None, None, None)]
+
+
+def test_runs_end_at_their_first_failure(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("a", 2, None), ("a", 3, True), ("a", 4, False), ("b", 1, True), ("c", 1, False)], "run string, step int, ok boolean")
+    told = evaluate.step_statuses(rows, ["run"], "step", "ok")
+    assert [(r.run, r.step, r.status) for r in told.orderBy("run", "step").collect()] == [("a", 1, "passed"), ("a", 2, "failed"), ("a", 3, "skipped"), ("a", 4, "skipped"), ("b", 1, "passed"), ("c", 1, "failed")]
+    report = {r.run: tuple(r)[1:] for r in evaluate.step_report(told, ["run"], "step").collect()}
+    assert report == {"a": (4, 1, 2, 2, False), "b": (1, 1, 0, None, True), "c": (1, 0, 0, 1, False)}
+
+
+def test_tables_and_fields_in_markdown(spark):
+    row = spark.createDataFrame([("a|b\n c", None, 3)], "x string, y string, z int")
+    got = row.select(readers.markdown_line(F.col("x"), F.col("y"), F.col("z")).alias("l"), readers.key_value_lines({"x": F.col("z"), "y": F.col("y"), "w": F.col("z")}).alias("k")).first()
+    assert got.l == "| a\\|b c |  | 3 |" and got.k == "**x**: 3\n**w**: 3"
+
+
+def test_watched_folders_tell_of_each_file_once(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    seen = []
+    for name, body in (("a.md", b"one"), ("deep/b.txt", "zwei é".encode()), ("c.exe", b"no"), ("d.md", b"\xff\xfe")):
+        (tmp_path / "in" / name).write_bytes(body)
+        got = streams.stored(readers.watched(spark, str(tmp_path / "in"), ("md", "txt")), str(tmp_path / "out"), str(tmp_path / "state"))
+        seen.append(sorted((r.name, r.size, r.text, r.error) for r in got.collect()))
+    assert seen[0] == [("a.md", 3, "one", None)] and seen[2] == seen[1]
+    assert seen[3] == [("a.md", 3, "one", None), ("b.txt", 7, "zwei é", None), ("d.md", 2, None, "not UTF-8")]

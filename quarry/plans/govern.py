@@ -313,7 +313,22 @@ def a15_macro_scores(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@_r.query("a12_judged_cases")
+_JUDGED = f"""
+with {_QA}, w as (select conv_id, turn, answer, question, first_value(question) over (partition by conv_id order by turn) as context from qa where role = 'assistant' and question is not null),
+t as (select *, regexp_extract_all(lower(answer), '[a-z0-9]+') as a, regexp_extract_all(lower(question), '[a-z0-9]+') as q, regexp_extract_all(lower(context), '[a-z0-9]+') as c from w),
+d as (select *, list_distinct(a) as da, list_distinct(q) as dq from t),
+n as (select *, list_sum(list_transform(list_intersect(da, dq), lambda x: len(list_filter(a, lambda y: y = x)) * len(list_filter(q, lambda y: y = x)))) as dot,
+  list_sum(list_transform(da, lambda x: pow(len(list_filter(a, lambda y: y = x)), 2))) as na, list_sum(list_transform(dq, lambda x: pow(len(list_filter(q, lambda y: y = x)), 2))) as nq from d),
+j as (select conv_id, turn, case when len(da) = 0 then 1.0 else len(list_filter(da, lambda x: list_contains(c, x))) / len(da) end::double as faithfulness,
+  case when len(a) > 0 and len(q) > 0 then coalesce(dot, 0) / sqrt(na * nq) else 0.0 end::double as relevance,
+  case when len(dq) = 0 then 1.0 else len(list_filter(dq, lambda x: list_contains(c, x))) / len(dq) end::double as context_recall,
+  ((regexp_matches(answer, '(?i)the|de')::int + regexp_matches(answer, '(?i)\\.$')::int) / 2.0)::double as oracle, (trim(answer) = trim(question))::int::double as exact from n),
+k as (select *, faithfulness * 0.25 + relevance * 0.25 + context_recall * 0.2 + oracle * 0.2 + exact * 0.1 as overall from j),
+judged as (select conv_id, turn, {", ".join(f"round({c}, 6)::double as {c}" for c in ("faithfulness", "relevance", "context_recall", "oracle", "exact", "overall"))} from k)
+"""
+
+
+@_r.query("a12_judged_cases", _JUDGED + "select * from judged")
 def a12_judged_cases(spark, sf_dir):
     """Answers judged against their question, the conversation's first message and simple rules."""
     from pyspark.sql import Window
@@ -323,8 +338,10 @@ def a12_judged_cases(spark, sf_dir):
     return found.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("faithfulness", "relevance", "context_recall", "oracle", "exact", "overall")])
 
 
-@_r.query("a11_run_summary")
+@_r.query("a11_run_summary", _JUDGED + """, m as (select count(*) as n, round(avg((overall >= 0.5)::int), 4)::double as pass_rate, round(avg(faithfulness), 4)::double as faithfulness, round(avg(relevance), 4)::double as relevance, round(avg(context_recall), 4)::double as context_recall from judged)
+select *, round(pass_rate * 0.3 + faithfulness * 0.3 + relevance * 0.2 + context_recall * 0.2, 4)::double as overall from m""")
 def a11_run_summary(spark, sf_dir):
+    """How all answers did."""
     return evaluate.run_summary(a12_judged_cases(spark, sf_dir), F.col("overall") >= 0.5, "faithfulness", "relevance", "context_recall")
 
 

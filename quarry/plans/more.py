@@ -9,7 +9,7 @@ from quarry.functions import text as T
 from quarry.operators import chunking, dedup, evaluate, governance, graph, packs, provenance, search
 from quarry.operators import textstats as S
 from quarry.plans._registry import Registry
-from quarry.plans.similarity import SIGNED
+from quarry.plans.similarity import SIGNED, simhash_sql
 from quarry.session import table
 from quarry.sources import readers, sinks
 
@@ -112,7 +112,10 @@ def p14_goals(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", packs.goal_met(F.col("url"), F.col("html"), "/en/", "Der Die").alias("met"))
 
 
-@_r.query("c3_simhash_index", None)
+@_r.query(
+    "c3_simhash_index",
+    simhash_sql() + "select x.doc_id as a, y.doc_id as b, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::int as distance from (select distinct item_id from benchmark) i join s x on x.doc_id = i.item_id join s y on x.doc_id <> y.doc_id where bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 3",
+)
 def c3_simhash_index(spark, sf_dir):
     """All other documents within three bits of each benchmark item's number's document."""
     hashed = dedup.simhash(table(spark, sf_dir, "documents"), "doc_id", "text")

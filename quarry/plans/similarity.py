@@ -61,7 +61,7 @@ def j4_lsh_pairs(spark, sf_dir):
     return dedup.lsh_pairs(dedup.derived_signatures(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", dedup.BANDS, 0.85)
 
 
-def _simhash_sql() -> str:
+def simhash_sql() -> str:
     bit = lambda c, i: f"(case when sum(case when ({c} >> {i}) & 1 = 1 then 1 when {c} is null then 0 else -1 end) > 0 then {1 << i} else 0 end)"
     whole = lambda c: "(" + " + ".join(bit(c, i) for i in range(32)) + ")::bigint"
     return f"""
@@ -71,7 +71,7 @@ s as (select doc_id, {whole("h")} as hi, {whole("l")} as lo from m group by doc_
 """
 
 
-@_r.query("f10_simhash", _simhash_sql() + "select doc_id, hi, lo from s")
+@_r.query("f10_simhash", simhash_sql() + "select doc_id, hi, lo from s")
 def f10_simhash(spark, sf_dir):
     """The SimHash of every document as two halves."""
     return dedup.simhash(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -79,7 +79,7 @@ def f10_simhash(spark, sf_dir):
 
 @_r.query(
     "j5_simhash_pairs",
-    _simhash_sql() + ", r as (select hi, lo, min(doc_id) as rep from s group by all) select a.rep as a, b.rep as b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::int as distance from r a join r b on a.rep < b.rep where bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3",
+    simhash_sql() + ", r as (select hi, lo, min(doc_id) as rep from s group by all) select a.rep as a, b.rep as b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::int as distance from r a join r b on a.rep < b.rep where bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3",
 )
 def j5_simhash_pairs(spark, sf_dir):
     """Pairs of different SimHashes at most three bits apart."""
@@ -116,7 +116,7 @@ _CHARACTERS = (
 s as (select doc_id, case when length(f) < 5 then [f] else list_distinct(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) end as s from n),
 """ + SIGNED[len(_SHINGLED) :].rstrip().replace("g as (", "g as materialized (")
 )
-_HASHED = _simhash_sql().strip().removeprefix("with t as").replace("s as (select doc_id, (", "z as materialized (select doc_id, (")
+_HASHED = simhash_sql().strip().removeprefix("with t as").replace("s as (select doc_id, (", "z as materialized (select doc_id, (")
 
 
 @_r.query(

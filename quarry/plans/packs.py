@@ -68,7 +68,12 @@ def c15_specialised_packs(spark, sf_dir):
     return rows.select("c_custkey", F.array_sort(F.array_union(F.array(F.lit("base")), F.array("c_mktsegment"))).alias("tags"), made["mode"].alias("mode"))
 
 
-@_r.query("w4_merged_scrolls")
+@_r.query("w4_merged_scrolls", f"""
+with recursive r as materialized (select user_id, event_id, epoch_us(ts) / 1e10::double as s, case when event_type = 'view' then 'scroll' else event_type end as kind, coalesce(value % 90 - 40, 0)::double as d, row_number() over (partition by user_id order by ts, event_id) as n from events),
+c as (select user_id, n, event_id, kind, d as total, s, 0 as step from r where n = 1
+  union all select user_id, n, event_id, kind, case when joins then before + d else d end, s, step + (not joins)::int
+  from (select r.*, c.total as before, c.step, r.kind = 'scroll' and c.kind = 'scroll' and r.s - c.s <= {packs.SCROLL_SECONDS} and abs(r.d) <= {packs.SCROLL_PX} and c.total * r.d >= 0 as joins from c join r on r.user_id = c.user_id and r.n = c.n + 1))
+select user_id, step::int as step, min(kind) as kind, arg_max(total, n) as delta, arg_min(event_id, n) as first, arg_max(event_id, n) as last, count(*)::int as n from c group by user_id, step""")
 def w4_merged_scrolls(spark, sf_dir):
     """Views as scrolls: runs within half a second, of one direction, as a step."""
     rows = table(spark, sf_dir, "events").select(

@@ -33,7 +33,7 @@ def _written(lines: DataFrame, suffix: str, path: str | None = None) -> str:
     listed = fs.listFiles(root, True)
     while listed.hasNext():
         found = listed.next().getPath()
-        if found.getName().startswith("part-") and ".c000" in found.getName():
+        if found.getName().startswith("part-") and "c000." in found.getName():
             fs.rename(found, jvm.org.apache.hadoop.fs.Path(found.getParent(), f"{found.getName()[:10]}.{suffix}"))
     return path
 

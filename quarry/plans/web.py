@@ -81,8 +81,15 @@ def f38_link_hosts(spark, sf_dir):
     return rows.groupBy(F.regexp_extract("l", "://([^/]*)", 1).alias("host")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
 
 
-@_r.query("f39_meta_tags")
+_NAMED = """(?i)<meta\\s+(?:[^>]*?\\s+)?(?:property|name)=["'']([^"'']+)["''][^>]*content=["'']([^"'']*)["'']"""
+_TURNED = """(?i)<meta\\s+(?:[^>]*?\\s+)?content=["'']([^"'']*)["''][^>]*(?:property|name)=["'']([^"'']+)["'']"""
+
+
+@_r.query("f39_meta_tags", f"""
+with t as (select page_id, html, list_concat(regexp_extract_all(html, '{_NAMED}', 1), regexp_extract_all(html, '{_TURNED}', 2)) as k, list_concat(regexp_extract_all(html, '{_NAMED}', 2), regexp_extract_all(html, '{_TURNED}', 1)) as v from pages)
+select page_id, case when html is not null then '{{' || coalesce(array_to_string(list_transform(list_filter(range(1, len(k) + 1), lambda i: not list_contains(k[i + 1:], k[i])), lambda i: to_json(k[i])::varchar || ':' || to_json(v[i])::varchar), ','), '') || '}}' end as meta from t""")
 def f39_meta_tags(spark, sf_dir):
+    """The meta tags of all pages as JSON."""
     return table(spark, sf_dir, "pages").select("page_id", F.to_json(html.meta_tags(F.col("html"))).alias("meta"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import patterns as P
@@ -137,13 +136,23 @@ def p13_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(names, lambda x: x.rlike(f"(?i){html.BOILERPLATE}"))).alias("n_boilerplate"))
 
 
-@_r.query("c7_crawl")
+@_r.query("c7_crawl", f"""
+with k as (select page_id, regexp_replace(url, '[?#].*$', '') as url from pages),
+u as materialized (select distinct url from k where url is not null),
+e as materialized (select distinct k.url, unnest(l.links) as dest from k join ({_LINKS}) l using (page_id)
+  union select k.url, t.url from k join k as t on t.page_id in (2 * k.page_id + 1, 2 * k.page_id + 2)),
+d0 as materialized (select distinct url from k where page_id % 100 = 0 and url is not null),
+d1 as materialized (select distinct dest as url from e join d0 using (url) where dest in (from u) and dest not in (from d0)),
+d2 as (select distinct dest as url from e join d1 using (url) where dest in (from u) and dest not in (from d0) and dest not in (from d1))
+select url, 0 as depth from d0 union all select url, 1 from d1 union all select url, 2 from d2""")
 def c7_crawl(spark, sf_dir):
-    """Levels of pages reached from the ten first pages of each host by links among the pages."""
-    pages = table(spark, sf_dir, "pages")
-    by = Window.partitionBy(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))).orderBy("page_id")
-    seeds = pages.withColumn("_r", F.row_number().over(by)).where("_r <= 10").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"))
-    return html.crawl(pages, seeds, "page_id", "url", "html")
+    """Levels of pages reached from every hundredth page. The links of the generated pages lead out of the table, so each
+    page gets two more, to the pages of twice its number and one or two."""
+    pages = table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("url", r"[?#].*$", ""))
+    to = pages.select(F.expr("(page_id - 1) div 2").alias("page_id"), F.concat(F.lit('<a href="'), "plain", F.lit('">')).alias("link")).where("page_id >= 0 and link is not null")
+    more = to.groupBy("page_id").agg(F.array_join(F.collect_list("link"), "").alias("more"))
+    linked = pages.join(more, "page_id", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce("more", F.lit(""))))
+    return html.crawl(linked, pages.where("page_id % 100 = 0").select(F.col("plain").alias("url")), "page_id", "url", "html")
 
 
 @_r.query("f43_key_values", """

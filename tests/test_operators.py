@@ -185,6 +185,13 @@ def test_markdown_triples(spark):
     assert ("Saw", "is_a", "tool") in got and ("Glue", "defined_as", "sticks well") in got and len(got) == 6
 
 
+def test_triples_of_a_long_run_of_words(spark):
+    words = "w " * 20_000
+    texts = [(1, f"{words}is a b was authored by {words}"), (2, "x and y are related and are related z and t are relatedness and u")]
+    got = [(r.i, len(r.subject), r.predicate, len(r.object)) for r in graph.triples(spark.createDataFrame(texts, "i int, t string"), "i", "t").orderBy("i", "pos").collect()]
+    assert got == [(1, 40_006, "authored_by", 39_999), (1, 39_999, "is_a", 40_017), (2, 37, "related_to", 1)]
+
+
 def test_triples_and_groups(spark):
     df = spark.createDataFrame([(1, "Spark was created by Matei. Spark is built by Matei. Spark uses Scala.")], "i int, t string")
     found = graph.triples(df, "i", "t")

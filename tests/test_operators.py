@@ -185,6 +185,16 @@ def test_markdown_triples(spark):
     assert ("Saw", "is_a", "tool") in got and ("Glue", "defined_as", "sticks well") in got and len(got) == 6
 
 
+def test_derived_hashes_by_batches(spark):
+    sets = [[], None, [0, 2**32 - 1, 2**31 - 1, 2**31, 2**31 - 2], [7], list(range(0, 2**32, 60_013)), []]
+    signed = spark.createDataFrame(list(enumerate(sets)), "i int, h array<bigint>").select("i", dedup.derived(F.col("h"), 6).alias("s"))
+    for r in signed.collect():
+        assert r.s == [min(((x * a + b) % dedup.PRIME for x in sets[r.i] or []), default=dedup.PRIME) for a, b in dedup.FAMILY[:6]]
+    # no lambda of SQL runs for each shingle and seed
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+
+
 def test_triples_of_a_long_run_of_words(spark):
     words = "w " * 20_000
     texts = [(1, f"{words}is a b was authored by {words}"), (2, "x and y are related and are related z and t are relatedness and u")]

@@ -185,6 +185,13 @@ def test_markdown_triples(spark):
     assert ("Saw", "is_a", "tool") in got and ("Glue", "defined_as", "sticks well") in got and len(got) == 6
 
 
+def test_minhash_cuts_digests_once(spark):
+    signed = spark.createDataFrame([(["a b", "c"],), ([],)], "s array<string>").select("s", dedup.minhash(F.col("s"), 3).alias("g"))
+    for r in signed.collect():
+        assert r.g == [min((hashlib.sha256(f"{seed}:{x}".encode()).hexdigest()[:16] for x in r.s), default="f" * 16) for seed in range(3)]
+    assert "substring(sha2" not in signed._jdf.queryExecution().analyzed().toString()
+
+
 def test_derived_hashes_by_batches(spark):
     sets = [[], None, [0, 2**32 - 1, 2**31 - 1, 2**31, 2**31 - 2], [7], list(range(0, 2**32, 60_013)), []]
     signed = spark.createDataFrame(list(enumerate(sets)), "i int, h array<bigint>").select("i", dedup.derived(F.col("h"), 6).alias("s"))

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._words import Lexer, mix, slices, words
-from quarry.session import checkpointed
+from quarry.session import checkpointed, small_batches
 
 LEAST, LONGEST, MOST, SCALE = 100, 5, 2000, 1000
 #: Hands to which a language's phrases are dealt before its best are found.
 HANDS = 64
-#: Tokens or phrases that a task gathers before it hands their counts on.
-FLUSH = 4_000_000
+#: Words that a task gathers before it hands their counts on; phrases found that are summed together, and
+#: counts that a task holds before it hands them on.
+FLUSH, RUN, HELD = 1_000_000, 1 << 18, 1 << 20
 #: Bits of the broadcast table for each frequent phrase, and the most there are (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 
@@ -70,6 +71,7 @@ def _spelled(found, at: np.ndarray) -> pa.Array:
 
 
 def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -100,7 +102,7 @@ def _words_of(texts: DataFrame) -> DataFrame:
                 own, first, n = np.unique(ids, return_index=True, return_counts=True)
                 held.append((own, n, _spelled(found, first), batch.column("lang").take(pa.array(text[first] + lo)).cast(pa.large_string())))
                 size += len(own)
-                if size >= FLUSH // 4:
+                if size >= FLUSH:
                     yield from flush()
         yield from flush()
 
@@ -119,24 +121,48 @@ def _bits(ids: DataFrame, n: int) -> bytes:
     return held.astype("<i8").tobytes()
 
 
+def _summed(parts: list[tuple]) -> tuple:
+    """(first, last, n) of several such arrays as one, a row for each phrase."""
+    first, last, n = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    _, at, group = np.unique(_chain(first, last), return_index=True, return_inverse=True)
+    return first[at], last[at], np.bincount(group, n, len(at)).astype(np.int64)
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The counts of the phrases found. They are summed in runs of RUN, and these when there are HELD counts: so
+    a task holds as many rows as it has different phrases, up to HELD, and not all that it found."""
+    fresh, sums = [], []
+    size = lambda parts: sum(len(x[0]) for x in parts)
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        first, last, n = sums.pop()
+        yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(last.view(np.int64)), pa.array(n)], names=["first", "last", "n"])
+
+    for first, last in found:
+        fresh.append((first, last, np.ones(len(first), np.int32)))
+        if size(fresh) < RUN:
+            continue
+        sums, fresh = [*sums, _summed(fresh)], []
+        if size(sums) >= HELD:
+            sums = [_summed(sums)]
+            if size(sums) >= HELD // 2:
+                yield from handed()
+    if fresh or sums:
+        sums = [_summed([*sums, *fresh])]
+        yield from handed()
+
+
 def _phrases_of(texts: DataFrame, k: int, frequent: bytes) -> DataFrame:
     """(first, last, n): how often each phrase of k words occurs whose first and last k - 1 words have
     their bits set."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, size = np.frombuffer(shared.value, np.uint8), [], 0
-        mask = np.uint64(len(bits) * 8 - 1)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            if not held:
-                return
-            first, last = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            _, at, n = np.unique(_chain(first, last), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(n, pa.int64())], names=["first", "last", "n"])
-            held, size = [], 0
+        yield from _gathered(found(batches))
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        mask = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
             for _, _, ids, joined, _ in _read(batch):
                 at = np.arange(len(ids))  # where phrases of a length begin, in order, with their ids
@@ -150,11 +176,7 @@ def _phrases_of(texts: DataFrame, k: int, frequent: bytes) -> DataFrame:
                     if length < k:
                         at, ids = at[:-1][follows], _chain(first, last)
                 if len(first):
-                    held.append((first, last))
-                    size += len(first)
-                    if size >= FLUSH:
-                        yield from flush()
-        yield from flush()
+                    yield first, last
 
     parts = texts.mapInArrow(run, "first long, last long, n long")
     return parts.groupBy("first", "last").agg(F.sum("n").alias("n"))

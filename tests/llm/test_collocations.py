@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import collocations
@@ -87,3 +89,36 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, got.collect())) == plain([r[1:] for r in docs], 2)
     assert collocations.collocations(frame.limit(0)).collect() == []
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_tasks_hold_different_phrases_only(monkeypatch):
+    monkeypatch.setattr(collocations, "RUN", 64)
+    monkeypatch.setattr(collocations, "HELD", 256)
+    held, summed = [], collocations._summed
+
+    def watched(parts):
+        held.append(sum(len(x[0]) for x in parts))
+        return summed(parts)
+
+    monkeypatch.setattr(collocations, "_summed", watched)
+    make = np.random.default_rng(0)
+    few = [(make.integers(0, 4, 50, np.uint64), make.integers(0, 4, 50, np.uint64)) for _ in range(400)]
+    (batch,) = collocations._gathered(iter(few))
+    want = Counter((int(a), int(b)) for x in few for a, b in zip(*x, strict=True))
+    assert {(r["first"], r["last"]): r["n"] for r in batch.to_pylist()} == want
+    many = [(make.integers(0, 1 << 20, 50, np.uint64), make.integers(0, 4, 50, np.uint64)) for _ in range(400)]
+    got, want = Counter(), Counter((int(a), int(b)) for x in many for a, b in zip(*x, strict=True))
+    for batch in collocations._gathered(iter(many)):
+        got.update({(r["first"], r["last"]): r["n"] for r in batch.to_pylist()})
+    assert got == want and max(held) < 256 + 2 * (64 + 50)
+    assert list(collocations._gathered(iter([]))) == []
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    docs = spark.createDataFrame([("a b " * 1000, "en")], "text string, lang string").crossJoin(spark.range(4000, numPartitions=1))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    assert max(r.n for r in collocations._texts(docs, "lang", "text").mapInArrow(sizes, "n long").collect()) < 5_000_000

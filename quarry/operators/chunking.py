@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import small_batches
+
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 BLANK = re.compile(r"\n\s*\n")
 HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
@@ -148,6 +150,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, strategy: str, least: i
                 rows += [(i, n, *p) for n, p in enumerate(kept)]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "text", "start_char", "end_char"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"{id_col} {kind}, chunk_index int, text string, start_char int, end_char int")
 

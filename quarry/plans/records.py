@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.operators import evaluate, graph, packs
 from quarry.plans._registry import Registry
 from quarry.session import shared_dir, table
-from quarry.sources import connectors, readers, variants
+from quarry.sources import connectors, readers, sinks, variants
 from quarry.streaming import events as streams
 
 _r = Registry()
@@ -89,15 +89,10 @@ def s14_vendor_records(spark, sf_dir):
 
 @_r.query("s10_database", "select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 1000 and o_orderstatus <> 'P'")
 def s10_database(spark, sf_dir):
-    """Orders written to a database and read from it in parts, filters and columns being its own work. The database is
-    one of files that a single process holds, so this query needs tasks within the driver, as the reader doesn't."""
-    from urllib.parse import urlparse
-
-    url = f"jdbc:derby:{urlparse(shared_dir(spark)).path}/database-{uuid.uuid4().hex[:12]}"
-    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    """Orders loaded into a database from files that tasks wrote, and read from it in parts by all executors, filters and
+    columns being its own work."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    rows.limit(0).write.option("createTableColumnTypes", "o_orderstatus VARCHAR(8)").jdbc(f"{url};create=true", "orders", properties=options)
-    rows.write.jdbc(url, "orders", "append", properties=options)
+    url, options = sinks.database(rows, f"{shared_dir(spark)}/database-{uuid.uuid4().hex[:12]}", "orders", {"o_orderstatus": "VARCHAR(8)"})
     held = readers.jdbc_partitioned(spark, url, "orders", "o_orderkey", 6, **options)
     return held.where("o_totalprice > 1000 and o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus", "o_totalprice")
 

@@ -9,8 +9,11 @@ import sqlite3
 import urllib.request
 import zipfile
 from collections.abc import Callable, Iterable
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -154,3 +157,35 @@ def webhook(url: str, secret: bytes, send: Callable[[str, bytes, dict[str, str]]
                 raise RuntimeError(f"batch {epoch}: {url} took no message in {tries} tries")
 
     return run
+
+
+def database(rows: DataFrame, path: str, name: str, kinds: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """Loads rows into a table of a new database under a shared folder, which driver and executors mount alike: its JDBC
+    URL and options. kinds are the SQL types of text columns.
+
+    A Derby database that can be written is held by one process. So tasks write rows as CSV files, which
+    the database in the driver's JVM imports by itself, a file at a time; then it is shut down and put, uncompressed, into
+    an archive, which any number of processes read at once."""
+    jvm, local = rows.sparkSession.sparkContext._jvm, urlparse(path).path
+    url, options = f"jdbc:derby:{local}/db", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    connect = lambda more="": jvm.org.apache.derby.iapi.jdbc.AutoloadedDriver().connect(url + more, jvm.java.util.Properties())
+    rows.write.option("escape", '"').csv(f"{path}/rows")
+    typed = rows.limit(0).write.option("createTableColumnTypes", ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    typed.jdbc(f"{url};create=true", name, properties=options)
+    held = connect()
+    for part in sorted(Path(f"{local}/rows").glob("part-*")):
+        call = held.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+        call.setString(1, name.upper())
+        call.setString(2, str(part))
+        call.execute()
+        call.close()
+    held.close()
+    try:
+        connect(";shutdown=true")
+    except Py4JJavaError as told:
+        if told.java_exception.getSQLState() != "08006":  # how Derby says that it is shut down
+            raise
+    with zipfile.ZipFile(f"{local}/db.jar", "w", zipfile.ZIP_STORED) as out:
+        for part in sorted(Path(f"{local}/db").rglob("*")):
+            out.write(part, part.relative_to(local))
+    return f"jdbc:derby:jar:({local}/db.jar)db", options

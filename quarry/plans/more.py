@@ -10,7 +10,7 @@ from quarry.operators import chunking, dedup, evaluate, governance, graph, packs
 from quarry.operators import textstats as S
 from quarry.plans._registry import Registry
 from quarry.plans.similarity import SIGNED, simhash_sql
-from quarry.session import table
+from quarry.session import checkpointed, table
 from quarry.sources import readers, sinks
 
 _r = Registry()
@@ -30,7 +30,7 @@ def f20_metadata(spark, sf_dir):
 @_r.query("f9_estimated_jaccard", SIGNED + "select x.doc_id, len(list_filter(range(1, 129), lambda i: x.signature[i] = y.signature[i])) / 128.0::double as similarity from g x join g y on y.doc_id = x.doc_id + 1")
 def f9_estimated_jaccard(spark, sf_dir):
     """Estimated similarity of each document and the next by id."""
-    signed = dedup.derived_signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
+    signed = checkpointed(dedup.derived_signatures(table(spark, sf_dir, "documents"), "doc_id", "text"))  # read twice
     nxt = signed.select((F.col("doc_id") - 1).alias("doc_id"), F.col("signature").alias("other"))
     return signed.join(nxt, "doc_id").select("doc_id", dedup.estimated_jaccard(F.col("signature"), F.col("other")).alias("similarity"))
 

@@ -35,3 +35,14 @@ def test_terms_inside_others_of_any_length(spark):
     terms = sorted({"".join(rng.choices("ab", k=rng.randrange(1, 14))) for _ in range(80)} | {"ab" * 400, "x" + "ab" * 400, "é\nab"})
     got = graph.contained_terms(spark.createDataFrame([(t,) for t in [*terms, terms[3]]], "term string")).collect()
     assert sorted((r.term, r.other) for r in got) == sorted((a, b) for a in terms for b in terms if 3 <= len(a) < len(b) and a in b)
+
+
+def test_texts_stay_where_they_are_read_for_pairs_and_keywords(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma{i % 3} delta{i % 5}") for i in range(40)] + [(40, None)], "id long, text string")
+    monkeypatch.setattr(textstats, "_by_blocks", None)
+    monkeypatch.setattr(textstats, "TEXTS", 7)
+    pairs = textstats.pmi_pairs(docs, "id", "text", 1, -9.0, 0.02)
+    want = Counter(p for i in range(40) for p in combinations(sorted(["alpha", "beta", f"gamma{i % 3}", f"delta{i % 5}"]), 2))
+    assert {(r.term_a, r.term_b): r.n for r in pairs.collect()} == want
+    plan = textstats.keywords(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*term", plan)

@@ -105,10 +105,14 @@ def wire(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def handoff(packs: DataFrame, subscriptions: DataFrame, status: str, kind: str) -> DataFrame:
-    """(pack columns, agents): promoted packs with the sorted agents subscribed to their kind."""
+    """(pack columns, agents): promoted packs with the sorted agents subscribed to their kind.
+
+    A list is made once for each kind and broadcast, so all lists together (an agent and kind each once) have to fit a task;
+    packs are dealt to all cores, for those of one kind are given the same long list."""
     wants = subscriptions.select("agent", F.explode("pack_types").alias(kind))
     agents = wants.groupBy(kind).agg(F.array_sort(F.collect_set("agent")).alias("agents"))
-    return packs.where(F.col(status) == "promoted").join(agents, kind, "left").withColumn("agents", F.coalesce("agents", F.array().cast("array<string>")))
+    dealt = packs.where(F.col(status) == "promoted").repartition(4 * packs.sparkSession.sparkContext.defaultParallelism)
+    return dealt.join(F.broadcast(agents), kind, "left").withColumn("agents", F.coalesce("agents", F.array().cast("array<string>")))
 
 
 def put(new: DataFrame, store: DataFrame, content: str, order: str) -> DataFrame:

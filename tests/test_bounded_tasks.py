@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 
 from quarry.operators import chunking, search
+from quarry.sources import sinks
 
 
 def test_a_task_keeps_the_best_of_all_its_batches(spark, monkeypatch):
@@ -89,6 +90,14 @@ def test_cosines_are_made_where_texts_are_read(spark, monkeypatch):
             assert "MapInArrow" in plan and "HashAggregate" not in plan and "Join" not in plan  # no row for a text and term is shuffled
 
 
+def test_packs_of_one_kind_are_dealt_to_all_cores(spark):
+    packs = spark.range(800, numPartitions=1).selectExpr("id", "'promoted' as status", "'k' as kind")
+    subs = spark.range(50).selectExpr("concat('a', id) as agent", "array('k') as pack_types")
+    got = sinks.handoff(packs, subs, "status", "kind")
+    parts = [n for n in got.rdd.mapPartitions(lambda rows: [sum(len(r.agents) for r in rows)]).collect() if n]
+    assert sum(parts) == 800 * 50 and max(parts) <= 800 * 50 // spark.sparkContext.defaultParallelism
+
+
 def test_rounding_is_that_of_spark(spark):
     from pyspark.sql import functions as F
 

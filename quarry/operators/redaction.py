@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,12 +17,34 @@ from quarry.functions import patterns as P
 CONTEXT = (r"(?i)\b(mr|mrs|ms|dr|prof)\.?\s", r"(?i)\b(name|patient|customer|employee|contact)\b\s*[:=]", r"(?i)\b(born|dob|ssn|passport)\b", r"(?i)\b(lives|resides|address)\b", r"(?i)\b(signed|sincerely|regards)\b")
 
 
+#: Letters that patterns of any case take for i, k and s beside those of ASCII.
+_FOLDED = ("\u0130", "\u0131", "\u017f", "\u212a")
+
+
+def _may_match(text: Column, lower: Column, run: Column, odd: Column, signs: dict) -> Column:
+    """Whether a text holds what every match of a pattern holds (`patterns.SIGNS`)."""
+    out = run >= signs["run"] if "run" in signs else F.lit(True)
+    for s in signs.get("all", ()):
+        out = out & F.contains(text, F.lit(s))
+    if "some" in signs:
+        out = out & reduce(or_, [F.contains(text, F.lit(s)) for s in signs["some"]])
+    if "words" in signs:
+        out = out & reduce(or_, [F.contains(lower, F.lit(s)) for s in signs["words"]], odd)
+    return out & text.rlike(signs["shape"]) if "shape" in signs else out
+
+
 def scan_counts(docs: DataFrame, id_col: str, text_col: str, extended: bool = False) -> DataFrame:
     """(id, counts by pattern, secret_count, pii_count, redaction_required): matches of each pattern, in
-    generated code; patterns see Unicode classes."""
+    generated code; patterns see Unicode classes. A pattern runs over texts that hold its signs only."""
     found = P.active(extended)
-    count = lambda p: F.coalesce(F.regexp_count(F.col(text_col), F.lit("(?U)" + p)), F.lit(0))
-    rows = docs.select(id_col, *[count(p).alias(name) for name, (_, p) in found.items()])
+    text = F.col("_text")
+    runs = F.when(~text.rlike(r"(?U)\d"), 0)
+    for shorter, n in zip(P.RUNS, P.RUNS[1:], strict=False):
+        runs = runs.when(~text.rlike(rf"(?U)\d{{{n}}}"), shorter)
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in _FOLDED])
+    rows = docs.select(id_col, F.col(text_col).alias("_text")).select(id_col, "_text", F.lower("_text").alias("_lower"), runs.otherwise(P.RUNS[-1]).alias("_run"), odd.alias("_odd"))
+    count = lambda n, p: F.when(_may_match(text, F.col("_lower"), F.col("_run"), F.col("_odd"), P.SIGNS.get(n, {})), F.regexp_count(text, F.lit("(?U)" + p))).otherwise(0)
+    rows = rows.select(id_col, *[F.coalesce(count(name, p), F.lit(0)).alias(name) for name, (_, p) in found.items()])
     total = lambda kind: sum((F.col(n) for n, (k, _) in found.items() if k == kind), F.lit(0)).cast("int")
     return rows.withColumn("secret_count", total("secret")).withColumn("pii_count", total("pii")).withColumn("redaction_required", F.col("secret_count") + F.col("pii_count") > 0)
 

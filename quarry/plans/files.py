@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,14 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _written(lines: DataFrame, suffix: str, path: str | None = None) -> str:
-    """The folder of text files of a suffix that a frame of lines (value), and of a column `file` for one file
-    each, is written to; names are changed through Spark's own file system."""
+    """The folder of text files of a suffix that a frame of lines (value) is written to; names are changed through
+    Spark's own file system. With a column `file`, a key, each row is a file of that name (folders and all)."""
     spark = lines.sparkSession
     path = path or _folder(spark, suffix)
-    (lines.write.partitionBy("file") if "file" in lines.columns else lines.write).mode("append").text(path)
+    if "file" in lines.columns:
+        _one_each(lines, suffix, path)
+        return path
+    lines.write.mode("append").text(path)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -38,6 +43,33 @@ def _written(lines: DataFrame, suffix: str, path: str | None = None) -> str:
     return path
 
 
+def _one_each(lines: DataFrame, suffix: str, path: str) -> None:
+    """Each row (file, value) as a file of a folder, by the tasks themselves: a table's share of small files would be moved
+    one by one by the driver, were it Spark's commit. A file takes its name when it is whole, so a task may run again."""
+    uri = path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        made, n = set(), 0
+        for batch in batches:
+            for name, value in zip(batch["file"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                folder, _, base = f"{root}/{name}.{suffix}".rpartition("/")
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                part = f"{folder}/.{base}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(f"{value or ''}\n".encode())
+                store.move(part, f"{folder}/{base}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    dealt = lines.select(F.col("file").cast("string").alias("file"), "value").repartition(lines.sparkSession.sparkContext.defaultParallelism)
+    dealt.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 @_r.query("s1_json_files", "select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
 def s1_json_files(spark, sf_dir):
     """Customers as a JSON array in a file for each nation, read as whole files."""

@@ -206,3 +206,15 @@ def test_stream_seals_and_dead_letters(spark, feed, tmp_path):
 
     streams.with_dead_letters(fails, str(tmp_path / "dead"))(spark.range(2), 3)
     assert spark.read.parquet(str(tmp_path / "dead")).first().error == "OSError: no"
+
+
+def test_tasks_write_a_file_for_each_row(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from quarry.plans import files
+
+    monkeypatch.setattr(DataFrameWriter, "text", None)  # Spark's commit would move the files one by one
+    rows = spark.range(900).selectExpr("concat(id % 3, '/', id) as file", "case when id > 0 then concat('é', id) end as value").repartition(1)
+    path = files._written(rows, "md", f"file:{tmp_path}/out")
+    assert sorted((r.path[-5:] == "/0.md", bytes(r.content)) for r in readers.files(spark, path, "*.md").collect()) == sorted((i == 0, (f"é{i}" if i else "").encode() + b"\n") for i in range(900))
+    assert not [x for x in (tmp_path / "out").rglob(".*")]

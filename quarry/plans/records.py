@@ -110,36 +110,42 @@ def s15_connector(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((e % SHARES).alias("share"), F.expr(f"event_id div {SHARES} div {PAGE}").alias("page"), e.cast("string").alias("record_id"), F.col("event_type").alias("title"))
     half = (rows.agg(F.max("page")).first()[0] or 0) // 2 + 1
     spark.dataSource.register(connectors.paged("pages", _page_of, _pages_held))
+    from quarry.plans.files import _written
+
+    packed = rows.groupBy("share", "page").agg(F.array_join(F.collect_list(F.to_json(F.struct("record_id", "title"))), "\n").alias("value"))
     for part in (F.col("page") < half, F.col("page") >= half):
-        rows.where(part).write.mode("append").partitionBy("share", "page").json(f"{folder}/in")
+        _written(packed.where(part).select(F.format_string("share=%d/page=%d", "share", "page").alias("file"), "value"), "jsonl", f"{folder}/in")
         stream = spark.readStream.format("pages").option("folder", f"{folder}/in").option("shares", str(SHARES)).load()
         streams.stored(stream, f"{folder}/out", f"{folder}/state")
     found = spark.read.schema(connectors.RECORD).parquet(f"{folder}/out")
     return found.select("record_id", "title", "source_type", F.col("metadata")["page"].alias("page"))
 
 
-def _store(options: dict[str, str], place: str = ""):
+def _store(options: dict[str, str]):
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(options["folder"] if "://" in options["folder"] or options["folder"].startswith("/") else options["folder"].replace("file:", "file://", 1))
-    return store, fs.FileSelector(f"{root}/share={options['share']}{place}", allow_not_found=True)
+    return store, f"{root}/share={options['share']}"
 
 
 def _pages_held(options: dict[str, str]) -> int:
     """How many pages a share has."""
-    store, chosen = _store(options)
-    return max((int(f.base_name.removeprefix("page=")) + 1 for f in store.get_file_info(chosen) if f.base_name.startswith("page=")), default=0)
+    from pyarrow import fs
+
+    store, share = _store(options)
+    names = [f.base_name for f in store.get_file_info(fs.FileSelector(share, allow_not_found=True))]
+    return max((int(x.removeprefix("page=").removesuffix(".jsonl")) + 1 for x in names if x.startswith("page=")), default=0)
 
 
 def _page_of(options: dict[str, str], number: int) -> list[dict]:
     """The records of a page."""
-    store, chosen = _store(options, f"/page={number}")
-    out = []
-    for file in store.get_file_info(chosen):
-        if file.base_name.startswith("part-"):
-            with store.open_input_stream(file.path) as held:
-                out += [json.loads(x) | {"metadata": {"page": number}} for x in held.read().decode().splitlines()]
-    return out
+    store, share = _store(options)
+    try:
+        held = store.open_input_stream(f"{share}/page={number}.jsonl")
+    except FileNotFoundError:
+        return []
+    with held:
+        return [json.loads(x) | {"metadata": {"page": number}} for x in held.read().decode().split("\n") if x]
 
 
 _SAID = r"([a-zA-Z][a-zA-Z0-9_\-]+)\s+(is|has|uses|contains|belongs_to|related_to|part_of)\s+([a-zA-Z][a-zA-Z0-9_\-]+)"

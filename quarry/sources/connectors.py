@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 RECORD = "record_id string, title string, content string, source_url string, source_type string, metadata map<string,string>"
 Page = tuple[list[dict], str | None]
+#: Pages of a share that a task of a stream fetches.
+PAGES = 500
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def paged(name: str, page: Callable[[dict[str, str], int], list[dict]], held: Ca
     """A streaming source of uniform records from numbered pages of several shares (option shares): page(options, n) gives
     the records of a share's page, held(options) how many pages it has by now; options has the share.
 
-    A batch takes, of each share, the pages that came since the batch before, a task for each share; pages are
+    A batch takes, of each share, the pages that came since the batch before, a task for each PAGES of them; pages are
     fetched by tasks alone. How far each share was read is the stream's offset, which the query's checkpoint keeps:
     a query that is stopped, or loses an executor, goes on behind the last batch it finished, and fetches a
     batch again only whole."""
@@ -107,7 +109,7 @@ def paged(name: str, page: Callable[[dict[str, str], int], list[dict]], held: Ca
             return {s: held(self._of(s)) for s in self.initialOffset()}
 
         def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-            return [InputPartition((s, start.get(s, 0), n)) for s, n in end.items() if n > start.get(s, 0)]
+            return [InputPartition((s, a, min(a + PAGES, n))) for s, n in end.items() for a in range(start.get(s, 0), n, PAGES)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
             share, first, end = partition.value

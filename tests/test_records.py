@@ -83,6 +83,12 @@ def test_paged_streams_go_on_behind_what_they_read(spark, tmp_path):
     assert sorted(fetched) == sorted(set(fetched)) == ["0.0", "0.1", "1.0", "1.1", "1.2", "2.0"]
 
 
+def test_pages_of_a_share_are_dealt_to_tasks():
+    reader = connectors.paged("dealt", None, None)({"shares": "2"}).streamReader(None)
+    parts = [p.value for p in reader.partitions({"0": 7, "1": 3}, {"0": 1207, "1": 3})]
+    assert [n for s, a, b in parts for n in range(a, b)] == list(range(7, 1207)) and max(b - a for _, a, b in parts) <= 500
+
+
 def test_tables_of_a_database_are_read_in_parts_of_equal_size(spark, tmp_path):
     url, options = f"jdbc:derby:{tmp_path}/db", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     keys = [*range(100), *range(100_000, 100_300), 5_000_000, None, None]
